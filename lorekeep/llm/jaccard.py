@@ -33,7 +33,7 @@ from .components import components
 from .shingles import hashed_sets, mix
 
 BITS, SLICE = 24, 1 << 16
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 8, 3
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -70,6 +70,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def bands(s: np.ndarray) -> list[int]:
+    """Min-hash bands: the least token of each of BANDS * ROWS classes of tokens, ROWS at a time."""
+    least = np.zeros(BANDS * ROWS, np.uint64)
+    which, first = np.unique(s % np.uint64(BANDS * ROWS), return_index=True)
+    least[which.astype(np.int64)] = s[first]
+    least = least.reshape(BANDS, ROWS)
+    keys = mix((least * np.array([3, 5, 7], np.uint64)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return keys[least.any(axis=1)].astype(np.int64).tolist()
+
+
 def summaries(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents (doc_id, n, a, b, keys) and rows of token counts (part, slice, payload).
 
@@ -96,8 +106,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 for s in sets:
                     a.append(int(mix(s, 11).sum(dtype=np.uint64).astype(np.int64)))
                     b.append(int(mix(s, 12).sum(dtype=np.uint64).astype(np.int64)))
-                    least = [mix(s, 100 + i).min() for i in range(BANDS * ROWS)] if len(s) else []
-                    keys.append([int(mix(np.array([sum(int(x) * (r + 3) for r, x in enumerate(least[j : j + ROWS])) % 2**64], np.uint64), j).astype(np.int64)[0]) for j in range(0, len(least), ROWS)])
+                    keys.append(bands(s))
                 seen.append(np.concatenate([s & np.uint64((1 << BITS) - 1) for s in sets] or [np.zeros(0, np.uint64)]).astype(np.uint32))
                 size += len(seen[-1])
                 m = len(sets)
@@ -157,45 +166,41 @@ def heavy_tokens(counts: DataFrame) -> tuple[np.ndarray, float]:
     return np.unpackbits(heavy).astype(bool), squares / max(1.0, total)
 
 
-def lists(docs: DataFrame, heavy, wanted: DataFrame, boundary: int, k: int, num: int, den: int) -> DataFrame:
-    """(key, light, pos, n, node): list entries of the sets of `wanted` nodes.
-
-    pos counts from 0 in the order of tokens; it is -1 in entries of enumerated subsets.
-    """
-    schema = pa.schema([("key", pa.int64()), ("light", pa.bool_()), ("pos", pa.int32()), ("n", pa.int32()), ("node", pa.int64())])
+def lists(docs: DataFrame, heavy, boundary: int, k: int, num: int, den: int) -> DataFrame:
+    """(node, n, calm, keys, subsets): per set the tokens of its prefix, of which the first `calm` are light, and its enumerated subsets."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("calm", pa.int32()), ("keys", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64()))])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = heavy.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                key, light, pos, size, node = [], [], [], [], []
+                out = []
                 for doc, s in zip(batch.column(0).to_pylist(), hashed_sets(batch.column(1).to_pylist(), k), strict=True):
-                    n = len(s)
+                    n, calm, own, subsets = len(s), np.zeros(0, int), np.zeros(0, int), []
                     if not n or doc is None:
                         continue
                     for c in subset_sizes(n, boundary, num, den) if n <= boundary else []:
                         base = mix(s, 21)
-                        for sub in itertools.combinations(range(n), c):
-                            key.append(mix(base[list(sub)].sum(dtype=np.uint64, keepdims=True), 1000 + c).astype(np.int64))
-                            light.append(np.array([True]))
-                            pos.append(np.array([-1], np.int32))
-                            size.append(np.array([n], np.int32))
-                            node.append(np.array([doc], np.int64))
+                        subsets += [int(mix(base[list(sub)].sum(dtype=np.uint64, keepdims=True), 1000 + c).astype(np.int64)[0]) for sub in itertools.combinations(range(n), c)]
                     if den * n // num > boundary:
                         p = prefix_length(n, num, den)
                         h = marked[(s & np.uint64((1 << BITS) - 1)).astype(np.int64)]
                         calm = np.flatnonzero(~h)[:p]
                         own = np.concatenate([calm, np.flatnonzero(h)[: p - len(calm)]])
-                        key.append(s[own].astype(np.int64))
-                        light.append(~h[own])
-                        pos.append(np.arange(p, dtype=np.int32))
-                        size.append(np.full(p, n, np.int32))
-                        node.append(np.full(p, doc, np.int64))
-                if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, light, pos, size, node)], schema=schema)
+                    out.append((doc, n, len(calm), s[own].astype(np.int64), subsets))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return docs.mapInArrow(go, "node long, n int, calm int, keys array<long>, subsets array<long>")
 
-    return docs.mapInArrow(go, "key long, light boolean, pos int, n int, node long").join(wanted.select("node"), "node", "left_semi")
+
+def entries_of(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Light and heavy list entries (key, pos, n, node, comp); pos is the place in the order of tokens, -1 for a subset."""
+    subsets = F.transform("subsets", lambda x: F.struct(F.lit(-1).alias("pos"), x.alias("key")))
+    tokens = F.transform("keys", lambda x, i: F.struct(i.alias("pos"), x.alias("key")))
+    light = F.concat(F.slice(tokens, F.lit(1), F.col("calm")), subsets)
+    dark = F.slice(tokens, F.col("calm") + 1, F.size("keys"))
+    return tuple(listed.filter(F.size(e) > 0).select(F.explode(e).alias("e"), "n", "node", "comp").select("e.key", "e.pos", "n", "node", "comp") for e in (light, dark))
 
 
 def bitmap_of(ids: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -208,6 +213,17 @@ def bitmap_of(ids: DataFrame, bits: int = BITS) -> np.ndarray:
     return np.unpackbits(out, bitorder="little").astype(bool)
 
 
+def _short(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each token: within a pair of sets these tell tokens apart as well as 64 bits for all purposes."""
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    whole = np.zeros((len(short) // 6, 8), np.uint8)
+    whole[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+    return whole.view(">u8").ravel().astype(np.uint64)
+
+
 def linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The (x, y, overlap, union) of pairs(x, y) whose full sets reach the threshold.
 
@@ -217,7 +233,7 @@ def linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
     pairs = scratch.table(pairs, "pairs")
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
     kept = spark.sparkContext.broadcast(np.packbits(bitmap_of(ids)))
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(kept.value).astype(bool)
@@ -226,19 +242,18 @@ def linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
             for lo in range(0, chosen.num_rows, 500):
                 batch = chosen.slice(lo, 500)
                 sets = hashed_sets(batch.column(1).to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_short(s) for s in sets], pa.binary())], schema=schema)
 
     hashed = docs.filter("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)))
-    sets = hashed.mapInArrow(go, "id long, tokens array<long>")
-    sets = scratch.table(sets.join(ids, "id", "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("q")), "y")
+    sets = scratch.table(hashed.mapInArrow(go, "id long, tokens binary"), "sets")
+    left, right = (sets.select(F.col("id").alias(i), F.col("tokens").alias(t)).hint("merge") for i, t in (("x", "p"), ("y", "q")))
+    both = pairs.join(left, "x").join(right, "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            left, right = batch.column(2), batch.column(3)
-            for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                p, q = left[i].values.to_numpy(), right[i].values.to_numpy()
+            for x, y, p, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p, q = _long(p), _long(q)
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 whole = len(p) + len(q) - same
                 if den * same >= num * whole:
@@ -276,15 +291,14 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     known = components(first.select("x", "y"))
 
     # the exact join between different components
-    entries = lists(texts, heavy, sets, boundary, k, num, den)
-    entries = entries.join(known, "node", "left").select("key", "light", "pos", "n", "node", F.coalesce("component", "node").alias("comp"))
-    entries = scratch.table(entries, "lists")
-    light, dark = entries.filter("light"), entries.filter("not light")
+    named = sets.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    listed = scratch.table(lists(texts, heavy, boundary, k, num, den).join(named.hint("merge"), "node"), "lists")
+    light, dark = entries_of(listed)
     mixed = dark.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
     pairs = _pairs(light, num, den).union(_pairs(dark.join(mixed, "key", "left_semi"), num, den)).distinct()
     second = linked(texts, pairs, k, num, den)
     final = components(first.select("x", "y").union(second.select("x", "y")))
-    scratch.drop(entries)
+    scratch.drop(listed)
 
     named = sets.join(final, "node", "left").select(F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.coalesce("component", "node").alias("component_id"))
     out = rows.join(named, (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left")
