@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from .plans import rollups, searches, texts  # noqa: F401  they register their queries
+from .plans.base import QUERIES, SQL  # noqa: F401
