@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import shipping
-from . import scratch
+from . import caches, scratch
 from .components import components
 from .shingles import hashed_sets, mix
 
@@ -97,6 +97,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*none, pa.array([part] * m, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("shingles")
         seen, size = [], 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
@@ -111,7 +112,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 size += len(seen[-1])
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted(seen)
                     seen, size = [], 0
         if size:
@@ -171,6 +172,7 @@ def lists(docs: DataFrame, heavy, boundary: int, k: int, num: int, den: int) ->
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("calm", pa.int32()), ("keys", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64()))])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("shingles")
         marked = heavy.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
@@ -236,6 +238,7 @@ def linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("shingles")
         bits = np.unpackbits(kept.value).astype(bool)
         for whole in batches:
             chosen = whole.filter(pa.array(bits[whole.column(2).to_numpy()]))

@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import shipping
-from . import scratch
+from . import caches, scratch
 
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 def default_vocabulary() -> str:
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str
         given = docs.sparkSession.sparkContext.broadcast(prob)
 
         def count(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            caches.only("fit")
             own, old = vocabulary(vocab_path, longest), given.value
             sums = {g: np.zeros(size) for g in langs}
             for batch in batches:
@@ -146,7 +147,7 @@ class _Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.new, self.rows = model, [], np.zeros((0, len(model.langs) + 1))
+        self.model, self.new, self.rows = model, [], np.zeros((0, len(model.langs) + 1), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = len(self)
@@ -165,7 +166,7 @@ class _Scorer(dict):
                 runs, at = zip(*same[lo : lo + 8192], strict=True)
                 gain = forward(lattice(list(runs), vocab, m.longest), m.prob)
                 np.add.at(out, np.array(at), np.hstack([gain, np.ones((len(runs), 1))]))
-        self.rows = np.vstack([self.rows, out])
+        self.rows = np.vstack([self.rows, out.astype(np.float32)])
         self.new = []
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
@@ -174,10 +175,7 @@ class _Scorer(dict):
             self.rows = self.rows[:0]
         at = [np.fromiter(map(self.__getitem__, (t or "").split()), np.int64) for t in texts]
         self.score_new()
-        return np.array([self.rows[a].sum(axis=0) for a in at]).reshape(len(texts), -1)
-
-
-_scorers: dict[str, _Scorer] = {}
+        return np.array([self.rows[a].sum(axis=0, dtype=np.float64) for a in at]).reshape(len(texts), -1)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -188,18 +186,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     shipping.ship(spark)
     given = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *[F.col(c) for c in keep])
+    rows = docs.select(F.col(id_col), *keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    at, width = (1 + keep.index(text_col) if text_col in keep else 1 + len(keep)), 1 + len(keep)
     out = docs.select(F.col(id_col), *keep).schema.add("lang_pred", "string").add("score", "double")
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
-        if m.name not in _scorers:
-            _scorers.clear()
-            _scorers[m.name] = _Scorer(m)
+        scorer = caches.only(("languages", m.name), lambda: _Scorer(m))
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                sums = _scorers[m.name].texts(batch.column(0).to_pylist())
+                sums = scorer.texts(batch.column(at).to_pylist())
                 langs, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
                 if m.langs:
                     raw = sums[:, :-1] + m.prior
@@ -208,7 +205,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     for i in np.flatnonzero(sums[:, -1]):
                         j = int(p[i].argmax())
                         langs[i], scores[i] = m.langs[j], float(p[i, j])
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs), pa.array(scores)], names=[*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:width], "lang_pred", "score"])
 
     return rows.mapInArrow(guess, out)
 

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import shipping
-from . import scratch
+from . import caches, scratch
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 class _Words(dict):
@@ -58,16 +58,11 @@ class _Words(dict):
         return out
 
 
-_words: dict[str, _Words] = {}
-
-
 def words_of(path: str) -> _Words:
     """The word cache of this Python worker for a tokenizer file whose normaliser, splitter and merges end at blanks."""
-    if path not in _words:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
-        _words[path] = _Words(Tokenizer.from_file(path))
-    return _words[path]
+    return caches.only(("words", path), lambda: _Words(Tokenizer.from_file(path)))
 
 
 def token_bytes(text: str | None, words: _Words) -> bytes:
