@@ -1,4 +1,4 @@
-"""What a Python worker keeps from task to task: one thing at a time, so that its memory stays bounded."""
+"""What a Python worker keeps during a task: one thing at a time, so that its memory stays bounded."""
 
 from __future__ import annotations
 
@@ -14,3 +14,8 @@ def only(key: Any, make: Callable[[], Any] = object) -> Any:
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+def clear() -> None:
+    """At the end of a task: an idle worker keeps nothing."""
+    _held.clear()

@@ -206,6 +206,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         j = int(p[i].argmax())
                         langs[i], scores[i] = m.langs[j], float(p[i, j])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:width], "lang_pred", "score"])
+        caches.clear()
 
     return rows.mapInArrow(guess, out)
 

@@ -59,7 +59,7 @@ class _Words(dict):
 
 
 def words_of(path: str) -> _Words:
-    """The word cache of this Python worker for a tokenizer file whose normaliser, splitter and merges end at blanks."""
+    """The word cache of this task for a tokenizer file whose normaliser, splitter and merges end at blanks."""
     from tokenizers import Tokenizer
 
     return caches.only(("words", path), lambda: _Words(Tokenizer.from_file(path)))
@@ -86,6 +86,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int |
                     seen[n] += 1
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        caches.clear()
 
     kind = docs.select(id_col).schema[0].dataType
     arrow = pa.schema([("doc_id", pa.string() if kind.simpleString() == "string" else pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])

@@ -57,7 +57,7 @@ def _joined(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def hashed_sets(texts: list[bytes | None], k: int, block: int = 1 << 20) -> list[np.ndarray]:
+def hashed_sets(texts: list[bytes | None], k: int, block: int = 1 << 18) -> list[np.ndarray]:
     """Per UTF-8 text the sorted distinct 64-bit hashes of its k-word shingles, A-Z lower-cased.
 
     Words are runs of other bytes than blanks (0x20, 0x09-0x0D).  A text of fewer words is one
