@@ -117,6 +117,8 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                     seen, size = [], 0
         if size:
             yield counted(seen)
+        del seen
+        caches.clear()
 
     return docs.mapInArrow(go, "doc_id long, n long, a long, b long, keys array<long>, part int, slice int, payload binary")
 
@@ -192,6 +194,7 @@ def lists(docs: DataFrame, heavy, boundary: int, k: int, num: int, den: int) ->
                         own = np.concatenate([calm, np.flatnonzero(h)[: p - len(calm)]])
                     out.append((doc, n, len(calm), s[own].astype(np.int64), subsets))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        caches.clear()
 
     return docs.mapInArrow(go, "node long, n int, calm int, keys array<long>, subsets array<long>")
 
@@ -246,6 +249,7 @@ def linked(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
                 batch = chosen.slice(lo, 500)
                 sets = hashed_sets(batch.column(1).to_pylist(), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_short(s) for s in sets], pa.binary())], schema=schema)
+        caches.clear()
 
     hashed = docs.filter("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS)))
     sets = scratch.table(hashed.mapInArrow(go, "id long, tokens binary"), "sets")

@@ -131,6 +131,7 @@ def fit(docs: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str
                         some = part.iloc[lo : lo + 4096]
                         expected(lattice([START + x for x in some["word"]], own, longest), old[:, at], some["n"].to_numpy(float), sums[g])
             yield pd.DataFrame([(g, int(i), float(s[i])) for g, s in sums.items() for i in np.flatnonzero(s)], columns=["lang", "piece", "n"])
+            caches.clear()
 
         found = words.mapInPandas(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
         new = np.full((size, len(langs)), 0.05)
@@ -206,6 +207,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         j = int(p[i].argmax())
                         langs[i], scores[i] = m.langs[j], float(p[i, j])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:width], "lang_pred", "score"])
+        del scorer
         caches.clear()
 
     return rows.mapInArrow(guess, out)

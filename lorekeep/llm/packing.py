@@ -86,6 +86,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int |
                     seen[n] += 1
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        del words
         caches.clear()
 
     kind = docs.select(id_col).schema[0].dataType
