@@ -8,7 +8,7 @@ probabilities are fitted by expectation-maximisation over the same sums.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,19 +52,20 @@ def vocabulary(path: str, longest: int = 8) -> dict[str, int]:
 def lattice(words: list[str], vocab: dict[str, int], longest: int) -> np.ndarray:
     """ids[w, i, k]: the piece that ends before position i + 1 and is k + 1 long; -1 if there is none.  All words have one length."""
     n, get = len(words[0]), vocab.get
-    spans = [(max(0, i - k), i, k) for i in range(1, n + 1) for k in range(1, longest + 1)]
-    flat = [(get(w[a:b], 0 if k == 1 else -1) if b - a == k else -1) for w in words for a, b, k in spans]
-    return np.array(flat, np.int32).reshape(len(words), n, longest)
+    spans = lambda: ((max(0, i - k), i, k) for i in range(1, n + 1) for k in range(1, longest + 1))
+    listed = list(spans()) if n <= 256 else None  # the spans of a very long run are not kept
+    flat = ((get(w[a:b], 0 if k == 1 else -1) if b - a == k else -1) for w in words for a, b, k in listed or spans())
+    return np.fromiter(flat, np.int32, len(words) * n * longest).reshape(len(words), n, longest)
 
 
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language: prob[piece, language], its last row zero (for -1)."""
     w, n, longest = ids.shape
-    alphas, scales = [np.ones((w, prob.shape[1]))], [np.zeros(w)]
+    alphas, scales = deque([np.ones((w, prob.shape[1]))], longest), deque([np.zeros(w)], longest)
     for i in range(1, n + 1):
         total, base = np.zeros_like(alphas[0]), scales[-1]
         for k in range(1, min(longest, i) + 1):
-            total += prob[ids[:, i - 1, k - 1]] * (alphas[i - k] * np.exp(scales[i - k] - base)[:, None])
+            total += prob[ids[:, i - 1, k - 1]] * (alphas[-k] * np.exp(scales[-k] - base)[:, None])
         top = total.max(axis=1)
         alphas.append(total / top[:, None])
         scales.append(base + np.log(top))
@@ -162,9 +163,10 @@ class _Scorer(dict):
         for i, w in enumerate(self.new):
             for run in LETTERS.findall(w.lower()):
                 by_length[len(run)].append((START + run, i))
-        for same in by_length.values():
-            for lo in range(0, len(same), 8192):
-                runs, at = zip(*same[lo : lo + 8192], strict=True)
+        for n, same in by_length.items():
+            step = max(1, (1 << 16) // (n + 1))  # letters at a time, so that long runs need no more memory
+            for lo in range(0, len(same), step):
+                runs, at = zip(*same[lo : lo + step], strict=True)
                 gain = forward(lattice(list(runs), vocab, m.longest), m.prob)
                 np.add.at(out, np.array(at), np.hstack([gain, np.ones((len(runs), 1))]))
         self.rows = np.vstack([self.rows, out.astype(np.float32)])
