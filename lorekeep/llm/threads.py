@@ -23,16 +23,16 @@ def lines(text: Column) -> Column:
 
 def passages(parsed: Column) -> Column:
     """Array of (level, text): runs of lines of one level, blank lines ending a run."""
-    none = F.array().cast("array<struct<level:int,text:string>>")
+    at = lambda i: F.get(parsed, i - 1)
+    solid = lambda x: x.line.rlike(r"\S")
+    goes_on = lambda i: F.coalesce((at(i - 1).level == at(i).level) & solid(at(i - 1)) & solid(at(i)), F.lit(False))
+    starts = F.filter(F.sequence(F.lit(1), F.size(parsed)), lambda i: ~goes_on(i))
 
-    def step(s, x):
-        last = F.try_element_at(s, F.lit(-1))
-        one = F.array(F.struct(x.level.alias("level"), x.line.alias("text")))
-        joined = F.array(F.struct(last.level.alias("level"), F.concat_ws("\n", last.text, x.line).alias("text")))
-        goes_on = F.coalesce((last.level == x.level) & last.text.rlike(r"\S") & x.line.rlike(r"\S"), F.lit(False))
-        return F.when(goes_on, F.concat(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), joined)).otherwise(F.concat(s, one))
+    def cut(s):
+        run = lambda a, j: F.slice(parsed, a, F.coalesce(F.get(s, j + 1), F.size(parsed) + 1) - a)
+        return F.transform(s, lambda a, j: F.struct(at(a).level.alias("level"), F.array_join(F.transform(run(a, j), lambda x: x.line), "\n").alias("text")))
 
-    return F.filter(F.aggregate(parsed, none, step), lambda p: p.text.rlike(r"\S"))
+    return F.filter(F.transform(F.array(starts), cut)[0], lambda p: p.text.rlike(r"\S"))
 
 
 def normal(text: Column) -> Column:
