@@ -3,8 +3,10 @@
 Vectors are grouped by their nearest pivot.  A group's summary is its size, its radius and
 its members nearest to the pivot; |q . x - q . p| <= |q| |x - p| turns it into bounds on
 the scores within the group.  The near members give each query a score that k others reach
-at least, hence the groups that can matter to it: a query is sent to those alone.  Groups
-are cut into tiles, so a hot group is many tasks' work, and solved locally.
+at least, hence the groups that can matter to it: a query is sent to those alone.  Queries
+of neighbouring groups form bunches, and a group's data is replicated only to the bunches
+that sent it a query.  Groups are cut into tiles, so a hot group is many tasks' work, and
+solved locally.
 """
 
 from __future__ import annotations
@@ -47,6 +49,23 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def bunches(queries: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """group: (first, number) of the bunches that its queries go to.
+
+    A bunch holds neighbouring groups' queries, about `most` in all, as these need the same
+    data; a group with more queries is split over bunches of its own.
+    """
+    out, at, held = {}, 0, 0
+    for cell in sorted(queries):
+        n = queries[cell]
+        if held and held + n > most:
+            at, held = at + 1, 0
+        parts = max(1, -(-n // most))
+        out[cell] = (at, parts)
+        at, held = (at + parts, 0) if parts > 1 else (at, held + n)
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, tile_rows: int = 4096, tile_queries: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: each query's k highest scores among all rows of another id, ties to the smaller id.
 
@@ -89,9 +108,8 @@ def _top_k(rows: DataFrame, k: int, pivots: int, tile_rows: int, tile_queries: i
     summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.count_if("q").alias("queries")).join(near, "cell").collect()
     cells = np.array([r.cell for r in summary])
     radius, tiles = np.array([r.radius for r in summary]), np.array([-(-r.n // tile_rows) for r in summary])
-    n_queries = sum(r.queries for r in summary)
     known = spark.sparkContext.broadcast((points[cells], radius, cells, tiles, [np.array(r.near) for r in summary]))
-    bunches = max(1, -(-n_queries // tile_queries))
+    bunch_of = bunches({r.cell: r.queries for r in summary}, tile_queries)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centre, reach, names, cut, nears = known.value
@@ -110,11 +128,14 @@ def _top_k(rows: DataFrame, k: int, pivots: int, tile_rows: int, tile_queries: i
                 tile = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, int)
                 yield pd.DataFrame({"cell": names[j].astype(np.int32), "tile": tile.astype(np.int32), "bunch": f["bunch"].to_numpy()[at], "id": f["id"].to_numpy()[at], "v": [q[a] for a in at]})
 
-    asked = placed.filter("q").withColumn("bunch", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(bunches)).cast("int"))
-    asked = asked.select("id", "v", "bunch").mapInPandas(send, "cell int, tile int, bunch int, id long, v array<double>")
+    first, split = (F.create_map(*[F.lit(x) for c, b in bunch_of.items() for x in (c, b[i])]) for i in (0, 1))
+    bunch = F.element_at(first, F.col("cell")) + F.pmod(F.xxhash64("id", F.lit(2)), F.element_at(split, F.col("cell")).cast("long"))
+    asked = placed.filter("q").select("id", "v", bunch.cast("int").alias("bunch"))
+    asked = scratch.table(asked.mapInPandas(send, "cell int, tile int, bunch int, id long, v array<double>"), "asked")
+    needed = asked.groupBy(F.col("cell").alias("of")).agg(F.collect_set("bunch").alias("bunches"))  # one row a group
     cut = F.create_map(*[F.lit(int(x)) for r, t in zip(summary, tiles, strict=True) for x in (r.cell, t)])
     data = placed.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(3)), F.element_at(cut, F.col("cell")).cast("long")).cast("int"))
-    data = data.select("cell", "tile", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(bunches - 1))).alias("bunch"))
+    data = data.join(needed, F.col("cell") == F.col("of")).select("cell", "tile", "id", "v", F.explode("bunches").alias("bunch"))
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "id", "score"]
