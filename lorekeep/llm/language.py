@@ -33,10 +33,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-_pieces: dict[tuple[str, int], dict[str, int]] = {}
+class Pieces(dict):
+    """Pieces and their numbers, with their trie: `edges` holds (node, next letter) in order, `child` the node each leads to, `piece` the piece a node spells or -1."""
 
+    def __init__(self, numbered: dict[str, int]):
+        super().__init__(numbered)
+        nodes = {"": 0}
+        for p in self:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+        steps = sorted((nodes[p[:-1]] << 21 | ord(p[-1]), nodes[p]) for p in nodes if p)
+        self.edges, self.child = np.array(steps, np.int64).reshape(-1, 2).T.copy()
+        self.piece = np.array([self.get(p, -1) for p in nodes], np.int32)
 
-def vocabulary(path: str, longest: int = 8) -> dict[str, int]:
+
+_pieces: dict[tuple[str, int], Pieces] = {}
+
+
+def vocabulary(path: str, longest: int = 8) -> Pieces:
     """Lower-cased letter pieces of at most `longest` characters, numbered; 0 is any other single letter."""
     key = (path, longest)
     if key not in _pieces:
@@ -45,17 +59,30 @@ def vocabulary(path: str, longest: int = 8) -> dict[str, int]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = dict.fromkeys(model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
         found = [p for p in found if len(p) <= longest and (p == START or p.removeprefix(START).isalpha())]
-        _pieces[key] = {p: i + 1 for i, p in enumerate(dict.fromkeys([START, *found]))}
+        _pieces[key] = Pieces({p: i + 1 for i, p in enumerate(dict.fromkeys([START, *found]))})
     return _pieces[key]
 
 
 def lattice(words: list[str], vocab: dict[str, int], longest: int) -> np.ndarray:
-    """ids[w, i, k]: the piece that ends before position i + 1 and is k + 1 long; -1 if there is none.  All words have one length."""
-    n, get = len(words[0]), vocab.get
-    spans = lambda: ((max(0, i - k), i, k) for i in range(1, n + 1) for k in range(1, longest + 1))
-    listed = list(spans()) if n <= 256 else None  # the spans of a very long run are not kept
-    flat = ((get(w[a:b], 0 if k == 1 else -1) if b - a == k else -1) for w in words for a, b, k in listed or spans())
-    return np.fromiter(flat, np.int32, len(words) * n * longest).reshape(len(words), n, longest)
+    """ids[w, i, k]: the piece that ends before position i + 1 and is k + 1 long; -1 if there is none.  All words have one length.
+
+    All places of all words walk down the trie together, a letter a step, until no piece begins so.
+    """
+    n, trie = len(words[0]), vocab if isinstance(vocab, Pieces) else Pieces(vocab)
+    letters = np.array(words, f"U{n}").view(np.uint32).astype(np.int64)
+    ids = np.full((len(words) * n, longest), -1, np.int32)
+    at = np.arange(len(letters))  # where the next letter of each live walk stands
+    node = np.zeros(len(letters), np.int64)
+    for k in range(longest if len(trie) else 0):
+        key = node << 21 | letters[at]
+        edge = np.minimum(np.searchsorted(trie.edges, key), len(trie.edges) - 1)
+        live = trie.edges[edge] == key
+        at, node = at[live], trie.child[edge[live]]
+        ids[at, k] = trie.piece[node]
+        more = (at + 1) % n != 0  # the word goes on
+        at, node = at[more] + 1, node[more]
+    ids[ids[:, 0] < 0, 0] = 0
+    return ids.reshape(len(words), n, longest)
 
 
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
