@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
-A rule is a regular expression with a label, a priority and a keyword; it runs only on
-texts that hold the keyword.  Rules are made from a table of licenses and a table of
+A rule is a regular expression with a label, a priority, a keyword and a cue; it runs only
+on texts that hold the keyword at the start of a word and the cue, which every text that it
+matches does.  Rules are made from a table of licenses and a table of
 phrasings.  Where detections overlap, one that lies within the interval of a better one
 (lower priority number, then longer) is suppressed.
 """
@@ -50,7 +51,7 @@ NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
     "cc-by-nd-4.0": ("cc", ("cc by nd( \\d 0)?",)),
     "cc-by-nc-sa-4.0": ("cc", ("cc by nc sa( \\d 0)?",)),
     "cc-by-nc-nd-4.0": ("cc", ("cc by nc nd( \\d 0)?",)),
-    "cc-text": ("creative", ("creative commons attribution[a-z ]{0,60}",)),
+    "cc-text": ("creative", ("creative commons attribution( non ?commercial)?( no ?deriv(ative)?s| share ?alike)?",)),
     "isc": ("isc", ("isc",)),
     "zlib": ("zlib", ("zlib",)),
     "unlicense": ("unlicense", ("unlicense",)),
@@ -63,6 +64,8 @@ NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
     "postgresql": ("postgresql", ("postgresql",)),
     "proprietary": ("reserved", ("all rights reserved",)),
 }
+#: Keywords of names that do not hold their label's.
+KEYWORDS = {"expat": "expat", "asl 2( 0)?": "asl"}
 #: priority, template with {}, label's certainty
 PHRASINGS = (
     (0, "spdx license identifier {}", 1.0),
@@ -75,19 +78,20 @@ PHRASINGS = (
 BARE = ("-text", "public-domain", "proprietary", "unlicense", "cc-by", "cc0")
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, regular expression, certainty) of every rule, in order: some 290."""
+def rules() -> list[tuple[int, str, str, str, str, float]]:
+    """(priority, label, keyword, cue, regular expression, certainty) of every rule, in order: some 300."""
+    cue = lambda t: next((c for c in ("spdx", "under", "licen") if c in t), "")
     out = []
     for label, (keyword, names) in NAMES.items():
         for name in names:
             shapes = [*PHRASINGS, *([(4, "{}", 0.6)] if any(b in label for b in BARE) else [])]
-            out += [(p, label.removesuffix("-text"), keyword, compiled(t.format(f"({name})")), certain) for p, t, certain in shapes]
+            out += [(p, label.removesuffix("-text"), KEYWORDS.get(name, keyword), cue(t), compiled(t.format(f"({name})")), certain) for p, t, certain in shapes]
     return sorted(out)
 
 
 def compiled(phrase: str) -> str:
     """A phrase as a pattern on the squeezed text of words: words between single blanks."""
-    return rf"(?<=\x20){phrase.replace(',', '').replace('.', ' ').strip()}(?=\x20)"
+    return rf"(?<=\x20){phrase.replace(',?', '').replace('.', ' ').strip()}(?=\x20)"
 
 
 def squeezed(text: Column) -> Column:
@@ -123,13 +127,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col), F.lit(""))
     keywords = sorted({r[2] for r in every})
     low = F.lower("t")
-    hinted = F.col("t").rlike("(?i)licen[cs]|rights reserved|public domain|spdx|creative commons|\\bCC0?[ -]|wtfpl|cddl|agpl|lgpl")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("hit", hinted)
-    base = F.when(F.col("hit"), F.concat(*[_base(F.col("t"), p, k) for k, (p, _) in enumerate(BASE)])).otherwise(F.array().cast("array<struct<word:bigint,k:int>>"))
-    rows = rows.select("id", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), base.alias("base"), F.when(F.col("hit"), F.filter(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in keywords]), lambda w: w.isNotNull())).alias("keys"), F.when(F.col("hit"), squeezed(F.col("t"))).alias("words"))
+    base = F.when(F.contains(low, F.lit("license")), F.concat(*[_base(F.col("t"), p, k) for k, (p, _) in enumerate(BASE)])).otherwise(F.array().cast("array<struct<word:bigint,k:int>>"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
+    rows = rows.select("id", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), base.alias("base"), F.when(F.greatest(*[F.contains(low, F.lit(w)) for w in keywords]), squeezed(F.col("t"))).alias("words"))
+    rows = rows.select("id", "n_words", "base", "words", F.filter(F.array(*[F.when(F.contains("words", F.lit(" " + w)), F.lit(w)) for w in keywords]), lambda w: w.isNotNull()).alias("keys"))
+    rows = rows.withColumn("words", F.when(F.size("keys") > 0, F.col("words")))
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "licenses")
-    table = F.broadcast(spark.createDataFrame(every, "priority int, label string, keyword string, rule string, certainty double"))  # a fixed list
-    gated = rows.filter("size(keys) > 0").select("row", "words", F.explode("keys").alias("keyword")).join(table, "keyword").filter(F.expr("words rlike rule"))
+    table = F.broadcast(spark.createDataFrame(every, "priority int, label string, keyword string, cue string, rule string, certainty double"))  # a fixed list
+    gated = rows.filter("size(keys) > 0").select("row", "words", F.explode("keys").alias("keyword")).join(table, "keyword").filter(F.contains("words", "cue")).filter(F.expr("words rlike rule"))
     span = F.struct(F.expr("regexp_instr(words, rule)").cast("long").alias("start"), F.length(F.expr("regexp_substr(words, rule)")).cast("long").alias("size"), "label", "priority", "certainty")
     found = gated.select("row", span.alias("s")).groupBy("row").agg(F.collect_list("s").alias("s"))
     end = lambda x: x.start + x["size"]

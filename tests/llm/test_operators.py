@@ -180,6 +180,25 @@ def test_licenses(spark, docs):
     assert {f.label for f in licenses.scan(s).first().found} == {"apache-2.0", "mit"}
 
 
+def _shortest(phrase):
+    """A text that a phrase of the license rules matches: what may be left out is left out."""
+    while "(" in phrase:
+        phrase = re.sub(r"\(([^()|]*)(\|[^()]*)?\)(\??)", lambda m: "" if m[3] else m[1], phrase, count=1)
+    phrase = re.sub(r" \?|,\?", "", phrase)
+    return phrase.replace("[cs]", "c").replace("v?", "v").strip()
+
+
+def test_every_license_rule_fires_alone(spark):
+    shapes = [t for _, t, _ in licenses.PHRASINGS]
+    texts = [(label, t.format(name)) for label, (_, names) in licenses.NAMES.items() for name in names for t in [*shapes, *(["{}"] if any(b in label for b in licenses.BARE) else [])]]
+    texts = [(label.removesuffix("-text"), _shortest(t)) for label, t in texts]
+    assert len(texts) == len(licenses.rules()) and all(re.fullmatch(r"[a-z0-9 ]+", t) for _, t in texts)
+    rows = [(label, t.title().replace(" ", gap)) for label, t in texts for gap in (" ", "\n", "  ")]
+    rows += [("gpl-3.0", "Released under the GPLv3"), ("apache-2.0", "Distributed under the terms of Apache 2.0"), ("mit", "released under Expat"), ("apache-2.0", "published under ASL 2.0")]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string").selectExpr("struct(doc_id, text) AS doc_id", "text")).collect()
+    assert len(out) == len(rows) and [r.doc_id for r in out if r.doc_id.doc_id not in {f.label for f in r.found}] == []
+
+
 def test_quotation_linking(spark):
     rows = [(1, 0, "user", "Hello there\nsecond line\n\nOther para"), (1, 1, "assistant", "> Hello there\n> second line\n\nI answer"), (1, 2, "user", "unrelated"), (1, 3, "user", ">> Hello there\n>> second line\n> I answer\nthanks"), (1, 5, "user", "> other  PARA!\nyes"), (2, None, "user", None), (3, 4, "user", "> never written"), (3, 4, "user", "again")]
     out = [(r.conv_id, r.turn, r.own_text, r.n_quotes, r.reply_to, r.by_quote, r.reply_depth) for r in threads.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
