@@ -9,7 +9,7 @@ phrasings.  Where detections overlap, one that lies within the interval of a bet
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -115,6 +115,34 @@ def _base(text: Column, phrase: str, k: int) -> Column:
     ).places
 
 
+def _places(gated: DataFrame) -> DataFrame:
+    """(row, start, end, label, priority, certainty) of all places of each rule that matches a row's words."""
+    gaps = F.transform(F.split("words", F.col("rule"), -1), lambda x: F.length(x))
+    sizes = F.transform(F.regexp_extract_all("words", F.col("rule"), F.lit(0)), lambda x: F.length(x))
+    each = gated.withColumn("sizes", sizes).select("row", "rule", "label", "priority", "certainty", F.posexplode(F.arrays_zip(F.slice(gaps, F.lit(1), F.size("sizes")).alias("gap"), F.col("sizes").alias("size"))).alias("nth", "m"))
+    line = Window.partitionBy("row", "rule", "label").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(line)
+    each = each.repartition("row").select("row", "label", "priority", "certainty", (end + 1).alias("end"), F.col("m.size").cast("long").alias("size"))
+    return each.select("row", (F.col("end") - F.col("size")).alias("start"), "end", "label", "priority", "certainty")
+
+
+def _unsuppressed(places: DataFrame) -> DataFrame:
+    """Places without those that lie within a better one, in one pass over a row's places.
+
+    In order of start, priority and falling end, a better place that holds one stands before
+    it; of each priority the furthest end so far is known, with the first start that reaches it.
+    """
+    line = Window.partitionBy("row").orderBy("start", "priority", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    worst = max(p for p, _, _ in PHRASINGS) + 1
+    far = [F.max(F.when(F.col("priority") == p, F.struct("end", (-F.col("start")).alias("back")))).over(line).alias(f"far{p}") for p in range(worst + 1)]
+    better = F.lit(False)
+    for p in range(worst + 1):
+        end, back = F.col(f"far{p}.end"), F.col(f"far{p}.back")
+        own = (end > F.col("end")) | ((end == F.col("end")) & (-back < F.col("start")))
+        better |= F.coalesce(F.when(F.col("priority") == p, own).when(F.col("priority") > p, end >= F.col("end")), F.lit(False))
+    return places.select("*", *far).filter(~better)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, base: array of (word, k), found: array of (start, end, label, priority, certainty).
 
@@ -135,12 +163,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "licenses")
     table = F.broadcast(spark.createDataFrame(every, "priority int, label string, keyword string, cue string, rule string, certainty double"))  # a fixed list
     gated = rows.filter("size(keys) > 0").select("row", "words", F.explode("keys").alias("keyword")).join(table, "keyword").filter(F.contains("words", "cue")).filter(F.expr("words rlike rule"))
-    span = F.struct(F.expr("regexp_instr(words, rule)").cast("long").alias("start"), F.length(F.expr("regexp_substr(words, rule)")).cast("long").alias("size"), "label", "priority", "certainty")
-    found = gated.select("row", span.alias("s")).groupBy("row").agg(F.collect_list("s").alias("s"))
-    end = lambda x: x.start + x["size"]
-    within = lambda x, y: (y.start <= x.start) & (end(x) <= end(y)) & ((y.priority < x.priority) | ((y.priority == x.priority) & (y["size"] > x["size"])))
-    kept = F.filter("s", lambda x: ~F.exists(F.col("s"), lambda y: within(x, y)))
-    found = found.select("row", F.array_sort(F.transform(kept, lambda x: F.struct(x.start.alias("start"), end(x).alias("end"), x.label.alias("label"), x.priority.alias("priority"), x.certainty.alias("certainty")))).alias("found"))
+    kept = _unsuppressed(_places(gated))
+    found = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "priority", "certainty"))).alias("found"))
     out = rows.select("row", "id", "n_words", "base").join(found, "row", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string,priority:int,certainty:double>>")
     return out.select(F.col("id").alias(id_col), "n_words", "base", F.coalesce("found", none).alias("found"))

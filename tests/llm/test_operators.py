@@ -199,6 +199,22 @@ def test_every_license_rule_fires_alone(spark):
     assert len(out) == len(rows) and [r.doc_id for r in out if r.doc_id.doc_id not in {f.label for f in r.found}] == []
 
 
+def _license_places(text):
+    words = " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())) + " "
+    found = [(m.start() + 1, m.end() + 1, label, p) for p, label, _, _, rule, _ in licenses.rules() for m in re.finditer(rule, words)]
+    within = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[3] < x[3] or (y[3] == x[3] and y[1] - y[0] > x[1] - x[0]))
+    return Counter(x for x in found if not any(within(x, y) for y in found))
+
+
+def test_license_rules_report_all_places(spark):
+    notices = ["Images are CC BY-SA 4.0, text is CC BY", "licensed under CC BY-SA 4.0", "licensed under CC BY", "the MIT license", "SPDX-License-Identifier: GPL-2.0", "All rights reserved", "GNU Lesser General Public License, version 3", "and so on", "license mit license mit"]
+    rng = np.random.default_rng(7)
+    texts = ["Images are CC BY-SA 4.0, text is CC BY", "licensed under CC BY-SA 4.0 x licensed under CC BY"] + [". ".join(notices[int(i)] for i in rng.integers(len(notices), size=n)) for n in (2, 3, 5, 8, 13, 40)]
+    out = {r.doc_id: r.found for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all("cc-by-4.0" in {f.label for f in out[i]} for i in (0, 1))
+    assert all(Counter((f.start, f.end, f.label, f.priority) for f in out[i]) == _license_places(t) for i, t in enumerate(texts))
+
+
 def test_quotation_linking(spark):
     rows = [(1, 0, "user", "Hello there\nsecond line\n\nOther para"), (1, 1, "assistant", "> Hello there\n> second line\n\nI answer"), (1, 2, "user", "unrelated"), (1, 3, "user", ">> Hello there\n>> second line\n> I answer\nthanks"), (1, 5, "user", "> other  PARA!\nyes"), (2, None, "user", None), (3, 4, "user", "> never written"), (3, 4, "user", "again")]
     out = [(r.conv_id, r.turn, r.own_text, r.n_quotes, r.reply_to, r.by_quote, r.reply_depth) for r in threads.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
