@@ -1,9 +1,10 @@
 """Quotation linking: which message answers which, from what it quotes.
 
 A message's leading `>` marks give each line a quote level; a passage is a run of lines of
-one level.  Passages are normalised and hashed, and so are the own passages and whole own
-texts of all messages; a quoted passage links its message to the latest earlier message of
-the conversation that wrote it.  Conversations come out in reply order without quotes.
+one level.  Passages, their lines and their sentences are normalised and hashed, and so are
+those of the own passages and whole own texts of all messages; a quoted passage links its
+message to the earlier message of the conversation that wrote the passage or else most of
+its lines and sentences.  Conversations come out in reply order without quotes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 MARKS = r"^(\s*>)+"
+#: Between sentences: after a full stop and blanks, or after a full-width one.
+STOPS = r"(?<=[.!?\u2026])[\"')\]\u201d\u2019]*\s+|(?<=[\u3002\uff01\uff1f])"
 
 
 def lines(text: Column) -> Column:
@@ -44,16 +47,24 @@ def digest(text: Column) -> Column:
     return F.sha2(normal(text), 256)
 
 
+def pieces(text: Column) -> Column:
+    """Distinct digests of a passage's lines and sentences; those without a word are left out."""
+    cut = F.concat(F.split(text, "\n", -1), F.split(text, STOPS, -1))
+    return F.array_distinct(F.transform(F.filter(F.transform(cut, normal), lambda x: x != ""), lambda x: F.sha2(x, 256)))
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, own_text, n_quotes, quote_depth, reply_to, by_quote, reply_depth.
-
-    reply_to is the turn that wrote the message's outermost and first quotation that an earlier
-    turn of the conversation wrote (of several such turns, the latest); without such a quotation
-    it is the turn before, and null for a first turn.  by_quote tells the two apart.
-    reply_depth counts the answers up to the root; within a conversation, (reply_depth, turn) is
-    the reply order.  Null texts are empty; rows with a null conversation or turn answer none and
-    are answered by none; rows that repeat a turn are messages of their own that link alike.  An
-    empty table gives an empty table; other columns are ignored.
+    """One row per message: conv_id, turn, role, own_text, n_quotes, quote_depth, reply_to, by_quote, reply_depth, reply_order.
+
+    reply_to is the turn that wrote the message's outermost and first quotation of which an earlier
+    turn of the conversation wrote anything: of several such turns one that wrote all of it in one,
+    then the one that wrote most of its lines and sentences, then the latest; without such a
+    quotation it is the turn before, and null for a first turn.  by_quote tells the two apart.
+    reply_depth counts the answers up to the root.  reply_order numbers a conversation's turns from
+    0 by (reply_depth, turn): own_text in that order is the conversation without quotes.  Equal
+    quotations of a conversation are looked up once.  Null texts are empty; rows with a null conversation or turn answer none and
+    are answered by none; rows that repeat a turn are messages of their own that link alike and share a place in the order, which
+    rows with a null conversation or turn do not have.  An empty table gives an empty table; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), lines(text).alias("parsed"))
@@ -61,17 +72,46 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = rows.withColumn("p", passages(F.col("parsed"))).select("conv", "turn", "role", F.regexp_replace(own, r"^\s+|\s+$", "").alias("own_text"), F.filter("p", lambda x: x.level > 0).alias("quotes"), F.filter("p", lambda x: x.level == 0).alias("said"))
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "messages")
     placed = rows.filter("conv is not null and turn is not null")
-    asked = placed.select("row", "conv", "turn", F.posexplode("quotes").alias("nth", "q")).select("row", "conv", "turn", "nth", "q.level", digest(F.col("q.text")).alias("h")).filter(F.col("h") != F.sha2(F.lit(""), 256))
-    written = placed.select("conv", F.col("turn").alias("by"), F.explode(F.array_distinct(F.concat(F.array(digest(F.col("own_text"))), F.transform("said", lambda s: digest(s.text))))).alias("h"))
-    written = written.join(asked.select("conv", "h").distinct(), ["conv", "h"], "left_semi").distinct()
-    hit = asked.join(written, ["conv", "h"]).filter("by < turn")
-    answer = hit.groupBy("row").agg(F.min_by("by", F.struct("level", "nth", -F.col("by"))).alias("quoted"))
+    blank = F.sha2(F.lit(""), 256)
+    quoted = placed.select("row", "conv", "turn", F.posexplode("quotes").alias("nth", "q")).select("row", "conv", "turn", "nth", "q.level", digest(F.col("q.text")).alias("whole"), pieces(F.col("q.text")).alias("pieces")).filter(F.col("whole") != blank)
+    # equal quotations have one name; what they look for has as many rows as it has pieces
+    quoted = scratch.table(quoted.withColumn("name", F.sha2(F.concat_ws(" ", F.col("whole"), F.array_sort("pieces")), 256)), "quoted")
+    named = quoted.select("conv", "name", "whole", "pieces").dropDuplicates(["conv", "name"])
+    sought = scratch.table(named.select("conv", "name", "whole", F.explode(F.array_union(F.array("whole"), F.col("pieces"))).alias("h")), "sought")
+    own_parts = F.array_distinct(F.concat(F.array(digest(F.col("own_text"))), F.transform("said", lambda s: digest(s.text)), F.flatten(F.transform("said", lambda s: pieces(s.text)))))
+    written = placed.select("conv", F.col("turn").alias("by"), F.explode(own_parts).alias("h"))
+    written = written.join(sought.select("conv", "h").distinct(), ["conv", "h"], "left_semi").distinct()
+    covered = sought.join(written, ["conv", "h"]).groupBy("conv", "name", "by").agg(F.struct(F.bool_or(F.col("h") == F.col("whole")).alias("all"), F.count(F.lit(1)).alias("n"), F.col("by")).alias("best"))
+    answer = _best_before(quoted, covered).groupBy("row").agg(F.min_by("best.by", F.struct("level", "nth")).alias("quoted"))
     turns = placed.select("conv", "turn").distinct()
     joined = rows.join(answer, "row", "left").join(_before(turns), ["conv", "turn"], "left")
     replies = scratch.table(joined.select("row", "conv", "turn", "role", "own_text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q.level)), F.lit(0)).cast("long").alias("quote_depth"), F.coalesce("quoted", "before").alias("reply_to"), F.col("quoted").isNotNull().alias("by_quote")), "replies")
     depth = _depths(replies.filter("conv is not null and turn is not null").groupBy("conv", "turn").agg(F.max("reply_to").alias("up")))
-    out = replies.join(depth, ["conv", "turn"], "left")
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "own_text", "n_quotes", "quote_depth", "reply_to", "by_quote", F.coalesce("depth", F.lit(0)).cast("long").alias("reply_depth"))
+    out = replies.join(_order(depth), ["conv", "turn"], "left")
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "own_text", "n_quotes", "quote_depth", "reply_to", "by_quote", F.coalesce("depth", F.lit(0)).cast("long").alias("reply_depth"), "reply_order")
+
+
+def _best_before(quoted: DataFrame, covered: DataFrame, block: int = 1024) -> DataFrame:
+    """(row, level, nth, best): the greatest best(conv, name, by) of a quotation's name with by < turn, if any.  In blocks of turns, as in _before."""
+    none = F.lit(None).cast("long")
+    asks = quoted.select("conv", "name", F.col("turn").alias("at"), "row", "level", "nth", F.lit(None).cast(covered.schema["best"].dataType).alias("best"))
+    both = asks.unionByName(covered.select("conv", "name", F.col("by").alias("at"), none.alias("row"), F.lit(None).cast(asks.schema["level"].dataType).alias("level"), F.lit(None).cast("int").alias("nth"), "best")).withColumn("block", F.floor(F.col("at") / block))
+    ends = covered.groupBy("conv", "name", F.floor(F.col("by") / block).alias("block")).agg(F.max("best").alias("top"))
+    ends = quoted.select("conv", "name", F.floor(F.col("turn") / block).alias("block"), F.lit(None).cast(covered.schema["best"].dataType).alias("top")).distinct().unionByName(ends).groupBy("conv", "name", "block").agg(F.max("top").alias("top"))
+    ends = ends.select("conv", "name", "block", F.max("top").over(Window.partitionBy("conv", "name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    within = Window.partitionBy("conv", "name", "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("near", F.max("best").over(within)).filter("row is not null")
+    return both.join(ends, ["conv", "name", "block"], "left").select("row", "level", "nth", F.greatest("near", "earlier").alias("best")).filter("best is not null")
+
+
+def _order(depths: DataFrame) -> DataFrame:
+    """(conv, turn, depth, reply_order): places by (depth, turn) from 0.  Ranges of equal size are numbered, so a long conversation is many tasks' work."""
+    ranged = depths.repartitionByRange("conv", "depth", "turn").withColumn("part", F.spark_partition_id())
+    ranged = scratch.table(ranged, "order")
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n")).select("conv", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("conv", "part").orderBy("depth", "turn"))
+    return ranged.withColumn("place", place).join(counts, ["conv", "part"]).select("conv", "turn", "depth", (F.col("base") + F.col("place") - 1).alias("reply_order"))
 
 
 def _before(turns: DataFrame, block: int = 1024) -> DataFrame:
@@ -88,7 +128,8 @@ def _depths(parents: DataFrame) -> DataFrame:
     known = scratch.table(parents.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "depths")
     while not known.filter("up is not null").isEmpty():
         above = known.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        new = scratch.table(known.join(above, ["conv", "up"], "left").select("conv", "turn", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+        # chains that have reached their root are not joined again
+        new = scratch.table(known.filter("up is not null").join(above, ["conv", "up"]).select("conv", "turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")).unionByName(known.filter("up is null")), "depths")
         scratch.drop(known)
         known = new
     return known.select("conv", "turn", "depth")

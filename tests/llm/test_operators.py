@@ -221,6 +221,22 @@ def test_quotation_linking(spark):
     assert sorted(out, key=str) == sorted([(1, 0, "Hello there\nsecond line\n\nOther para", 0, None, False, 0), (1, 1, "I answer", 1, 0, True, 1), (1, 2, "unrelated", 0, 1, False, 2), (1, 3, "thanks", 2, 1, True, 2), (1, 5, "yes", 1, 0, True, 1), (2, None, "", 0, None, False, 0), (3, 4, "", 1, None, False, 0), (3, 4, "again", 0, None, False, 0)], key=str)
 
 
+def test_trimmed_and_interleaved_quotations(spark):
+    rows = [
+        (1, 0, "Hello there\nsecond line"), (1, 1, "I said. So it is! Done\nhello there"), (1, 2, "else"), (1, 3, "> Second line\nmy reply"), (1, 4, "> I said.\nno\n> so it is\nyes"),
+        (1, 5, "> Hello there\n> second line\n> trimmed\nboth lines are of turn 0"), (1, 6, "> Hello there\none line: the latest"), (1, 2000, "> else\nfar"), (1, 2001, "> so it\n> is!\n> done\nwrapped"),
+        (2, 0, "a b"), (2, 1, "c\n\na b"), (2, 2, "> nothing that was written\nx"), (None, 3, "> a b"),
+    ]
+    out = threads.link(spark.createDataFrame(rows, "conv_id long, turn long, text string").selectExpr("*", "'user' as role")).collect()
+    got = {(r.conv_id, r.turn): (r.reply_to, r.by_quote) for r in out}
+    assert [got[1, t] for t in (3, 4, 5, 6, 2000, 2001)] == [(0, True), (1, True), (0, True), (1, True), (2, True), (1, True)]
+    assert got[2, 2] == (1, False) and got[None, 3] == (None, False)
+    for c in (1, 2):
+        own = [r for r in out if r.conv_id == c]
+        assert sorted(own, key=lambda r: r.reply_order) == sorted(own, key=lambda r: (r.reply_depth, r.turn)) and sorted(r.reply_order for r in own) == list(range(len(own)))
+    assert [r.reply_order for r in out if r.conv_id is None] == [None]
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = quality.score(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
