@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIFF = "array<struct<kind: string, text: string>>"
+DIFF = "same: long, added: long, removed: long, truncated: boolean, identical: boolean, rows: array<struct<kind: string, text: string>>"
 
 
 def _volumes(text: str, most: int) -> list[str]:
@@ -64,16 +65,63 @@ def _diff(before: list[str], after: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def line_diff(before: Column, after: Column, most_lines: int = 320, most_rows: int = 500) -> Column:
-    """Rows (kind, text) of an exact line difference; kinds are same, removed and added, removed first on ties.
+def _bits(places: list[int], size: int) -> int:
+    out = bytearray(size // 8 + 1)
+    for i in places:
+        out[i >> 3] |= 1 << (i & 7)
+    return int.from_bytes(out, "little")
+
+
+def _common(before: list[str], after: list[str]) -> int:
+    """The length of a longest common subsequence, by bit-parallel columns: one bit a line of before, no table."""
+    least = min(len(before), len(after))
+    head = next((i for i in range(least) if before[i] != after[i]), least)
+    tail = next((i for i in range(least - head) if before[-1 - i] != after[-1 - i]), least - head)
+    left, right = before[head : len(before) - tail], after[head : len(after) - tail]
+    size, at = len(left), defaultdict(list)
+    for i, line in enumerate(left):
+        at[line].append(i)
+    often = {line: _bits(p, size) for line, p in at.items() if len(p) ** 2 > size}
+    full = rest = (1 << size) - 1
+    for line in right:
+        if line in at:
+            hit = rest & (often[line] if line in often else _bits(at[line], size))
+            rest = ((rest + hit) | (rest - hit)) & full
+    return head + tail + size - rest.bit_count()
+
+
+def _changes(before: str | None, after: str | None, preview: bool, most_lines: int, most_rows: int, most_chars: int, most_shown: int) -> tuple:
+    texts = [(t or "").replace("\r\n", "\n").replace("\r", "\n") for t in (before, after)]
+    a, b = (t.split("\n") for t in texts)
+    same = _common(a, b)
+    cut = [(t or "")[:most_chars].replace("\r\n", "\n").replace("\r", "\n").split("\n") for t in (before, after)]
+    truncated = any(len(t or "") > most_chars or len(c) > most_lines for t, c in zip((before, after), cut, strict=True))
+    rows = None
+    if preview or not truncated:
+        x, y = (c[:most_lines] for c in cut)
+        longest = max(map(len, [*x, *y]))
+        if preview or (longest > most_shown and len(x) + len(y) > most_rows):
+            rows = _diff(x, y)
+            truncated |= len(rows) > most_rows or any(len(t) > most_shown for _, t in rows[:most_rows])
+            rows = [{"kind": k, "text": t if len(t) <= most_shown else t[:most_shown] + "…"} for k, t in rows[:most_rows]] if preview else None
+        else:
+            truncated |= longest > most_shown or len(a) + len(b) - same > most_rows
+    return same, len(b) - same, len(a) - same, truncated, texts[0] == texts[1], rows
+
+
+def line_diff(before: Column, after: Column, preview: bool = False, most_lines: int = 320, most_rows: int = 500, most_chars: int = 64_000, most_shown: int = 800) -> Column:
+    """struct(same, added, removed, truncated, identical, rows) of an exact line difference.  Null counts as empty.
 
-    A preview: `most_lines` lines of each text are compared and `most_rows` rows returned.  Null counts as empty.
+    The counts and identical are those of the whole texts.  rows, only with preview, are (kind, text) of the
+    first `most_lines` lines of the first `most_chars` characters, `most_rows` rows at most and `most_shown`
+    characters of each; kinds are same, removed and added, removed first on ties.  truncated: such rows leave
+    something out.
     """
 
     @F.pandas_udf(DIFF)
-    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
-        lines = [[(t or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")[:most_lines] for t in side] for side in (a, b)]
-        return pd.Series([[{"kind": k, "text": t} for k, t in _diff(x, y)[:most_rows]] for x, y in zip(*lines, strict=True)], dtype=object)
+    def diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [_changes(x, y, preview, most_lines, most_rows, most_chars, most_shown) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame(found, columns=["same", "added", "removed", "truncated", "identical", "rows"]).astype({"rows": object})
 
     return diff(before, after)
 

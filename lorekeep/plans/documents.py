@@ -11,10 +11,6 @@ from ..operators import sinks as S
 from .base import query
 
 
-def _of(kind: str):
-    return lambda row: row.kind == kind
-
-
 @query("SELECT doc_id, sha256(text) AS joined_sha, true AS all_fit FROM documents WHERE text IS NOT NULL")
 def volume_round_trip(read):
     """Documents cut into volumes of at most 4096 bytes and put together again."""
@@ -31,7 +27,7 @@ def turn_line_diff(read):
     shipping.ship(turns.sparkSession)
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     rows = turns.withColumn("d", D.line_diff(before, F.col("text")))
-    return rows.select("conv_id", "turn", *(F.size(F.filter("d", _of(k))).alias("n_" + k) for k in ("same", "added", "removed")))
+    return rows.select("conv_id", "turn", *(F.col("d." + k).cast("int").alias("n_" + k) for k in ("same", "added", "removed")), "d.truncated", "d.identical")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS repaired FROM events")

@@ -36,6 +36,22 @@ def test_line_diff_is_exact(a, b):
     assert sum(k == "same" for k, _ in rows) == common
 
 
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+def test_line_counts_are_those_of_the_difference(a, b):
+    assert D._common(a, b) == sum(k == "same" for k, _ in D._diff(a, b))
+
+
+def test_line_diff_counts_whole_texts(spark):
+    shipping.ship(spark)
+    many = [f"line {i}" for i in range(1000)]
+    texts = [("\n".join(many), "\n".join([*many[:400], "other", *many[401:]])), ("\n".join(many[:320]), "\n".join(f"x{i}" for i in range(320))), ("a\r\nb", "a\nb"), (None, "a"), ("a", "b" * 801)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, a string, b string")
+    got = rows.select("i", D.line_diff(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()
+    assert [tuple(r.d) for r in got] == [(999, 1, 1, True, False, None), (0, 320, 320, True, False, None), (2, 0, 0, False, True, None), (0, 1, 1, False, False, None), (0, 1, 1, True, False, None)]
+    shown = rows.select("i", D.line_diff(F.col("a"), F.col("b"), preview=True).alias("d")).orderBy("i").collect()
+    assert [tuple(r.d)[:5] for r in shown] == [tuple(r.d)[:5] for r in got] and [len(r.d.rows) for r in shown] == [320, 500, 2, 2, 2]
+
+
 def _within(some, of):
     rest = iter(of)
     return all(x in rest for x in some)
