@@ -2,8 +2,8 @@
 
 Three patterns give the base findings.  Other long tokens of letters and digits are
 candidates: every candidate and every base finding is hashed, and the hashes are counted
-over the whole corpus by distinct repository and owner.  What few owners hold looks live;
-what many hold is an example that was copied.  A candidate becomes a finding (kind `owned`)
+over the whole corpus by distinct repository and owner.  What few owners hold in few
+repositories looks live; what many hold is an example that was copied.  A candidate becomes a finding (kind `owned`)
 only if it looks live; base findings always stay, marked live or copied.
 """
 
@@ -19,13 +19,15 @@ KEYWORD = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC
 ASSIGN = rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Base patterns in the order of their kinds; the last two are those of shorter runs with the length built in, which finds the same runs.
 BASE = (("assign", ASSIGN), ("access", "AKIA[A-Z0-9]{12,}"), ("hex", "[0-9a-f]{32,}"))
-#: A candidate has a letter and a digit in a run of 24 or more that no other such character borders.
-CANDIDATE = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,200}[0-9])(?=[0-9_]{0,200}[A-Za-z])[A-Za-z0-9_]{24,}(?![A-Za-z0-9_])"
+#: A candidate is a run of 24 or more that no other such character borders; it has to have a letter and a digit.
+CANDIDATE = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}+"
 KINDS = ("assign", "access", "hex", "owned")
 
 
 def _kind(text: Column, kind: str, pattern: str) -> Column:
     found = matches(text, pattern)
+    if kind == "owned":
+        found = F.filter(found, lambda m: m.match.rlike("[0-9]") & m.match.rlike("[A-Za-z]"))
     value = lambda m: F.regexp_extract(m.match, pattern, 2) if kind == "assign" else m.match
     valued = F.transform(found, lambda m: F.struct(m.start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), m.end.alias("end"), F.sha2(value(m), 256).alias("hash"), F.length(value(m)).alias("size")))
     return F.filter(valued, lambda m: m["size"] >= 8) if kind == "assign" else valued
@@ -36,10 +38,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s.k], s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", few: int = 2) -> DataFrame:
-    """One row per row of docs: id, base and found: arrays of (start, k, end, hash, live), ordered by start and kind.
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", few: int = 2, few_repos: int = 8) -> DataFrame:
+    """One row per row of docs: id, base and found: arrays of (start, k, end, hash, live, owners, repos), ordered by start and kind.
 
-    k numbers KINDS.  live: at most `few` owners hold the value anywhere.  A null repository
+    k numbers KINDS.  owners and repos count who holds the value anywhere and in how many
+    repositories; live: at most `few` owners hold it, in at most `few_repos` repositories.  A null repository
     or owner counts as one of its own.  Null texts are empty; repeated rows are rows of their
     own; an empty table gives an empty table; other columns are ignored.
     """
@@ -54,19 +57,21 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     some = rows.filter("size(base) + size(extra) > 0").select("row", "repo", "owner", F.explode(F.concat("base", "extra")).alias("s"))
     held = some.select(F.col("s.hash").alias("hash"), F.coalesce("repo", F.lit("\u0000")).alias("repo"), F.coalesce("owner", F.lit("\u0000")).alias("owner")).distinct()
     owners = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    told = some.join(owners, some.s.hash == owners.hash).select("row", F.struct(F.col("s.start").alias("start"), F.col("s.k").alias("k"), F.col("s.end").alias("end"), F.col("s.hash").alias("hash"), (F.col("owners") <= few).alias("live")).alias("s"))
+    told = some.join(owners, some.s.hash == owners.hash).select("row", F.struct(F.col("s.start").alias("start"), F.col("s.k").alias("k"), F.col("s.end").alias("end"), F.col("s.hash").alias("hash"), ((F.col("owners") <= few) & (F.col("repos") <= few_repos)).alias("live"), "owners", "repos").alias("s"))
     spans = told.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     out = rows.select("row", "id").join(spans, "row", "left")
-    none = F.array().cast("array<struct<start:bigint,k:int,end:bigint,hash:string,live:boolean>>")
+    none = F.array().cast("array<struct<start:bigint,k:int,end:bigint,hash:string,live:boolean,owners:bigint,repos:bigint>>")
     out = out.withColumn("spans", F.coalesce("spans", none))
     return out.select(F.col("id").alias(id_col), F.filter("spans", lambda s: s.k < 3).alias("base"), F.filter("spans", lambda s: (s.k < 3) | s.live).alias("found"))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
-    rows = findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = findings(spark.read.parquet(f"{sf_dir}/documents.parquet"), repo_col="doc_id")
+    held = F.transform("found", lambda s: F.concat_ws(":", s.owners.cast("string"), s.repos.cast("string")))
     count = lambda k: F.size(F.filter("base", lambda s: s.k == k)).cast("long")
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda s: s.live)).cast("long").alias("n_live"),
+        F.array_join(held, ",").alias("owners_repos"),
     )

@@ -180,6 +180,14 @@ def test_licenses(spark, docs):
     assert {f.label for f in licenses.scan(s).first().found} == {"apache-2.0", "mit"}
 
 
+def test_secrets_count_repositories(spark):
+    copied, own, late = "EXAMPLE0123456789abcdefXYZ", "x OWN9876543210abcdefghijkl y", "z" * 300 + "1"
+    rows = [(i, f"see {copied}", "hot") for i in range(20)] + [(100, own, "hot"), (101, late, "hot"), (102, "z" * 30, "hot"), (103, "1_" * 150 + "z", "hot")]
+    out = {r.doc_id: r.found for r in secrets.findings(spark.createDataFrame(rows, "doc_id long, text string, source string"), repo_col="doc_id").collect()}
+    assert all(out[i] == [] for i in (*range(20), 102))  # one owner, but many repositories
+    assert all([(s.k, s.live, s.owners, s.repos) for s in out[i]] == [(3, True, 1, 1)] for i in (100, 101, 103))
+
+
 def _shortest(phrase):
     """A text that a phrase of the license rules matches: what may be left out is left out."""
     while "(" in phrase:
