@@ -145,18 +145,47 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(language.forward(language.lattice([word], vocab, 3), p)[0, 0], np.log(whole(word)))
 
 
+def brute_top_k(rows, k=5):
+    v = [(i, [int(np.floor(256 * x)) if abs(x) < 2**53 else int(256 * x) for x in e]) for i, e in rows if i is not None and e and None not in e and np.isfinite(e).all()]
+    want = []
+    for n, (i, q) in enumerate(v):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for m, (j, x) in enumerate(v) if m != n and len(x) == len(q))[:k]
+            want += [(i, r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
+def asked_top_k(spark, rows, **options):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(tuple(r) for r in knn.top_k(table, knn.F.col("vec_id") % 50 == 0, **options).collect())
+
+
 def test_top_k_by_brute_force(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(400 + i, [0.5] * 6) for i in range(60)] + [(900, None), (950, [float("nan")] * 6), (901, [0.1, None, 0.0, 0.0, 0.0, 0.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in knn.top_k(table, knn.F.col("vec_id") % 50 == 0, tile_rows=64, tile_queries=4, pivots=8).collect()]
-    v = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows if e and None not in e and np.isfinite(e).all()}
-    want = []
-    for q in v:
-        if q % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v[q], v[x], strict=True)), x) for x in v if x != q))[:5]
-            want += [(q, n + 1, x, -s) for n, (s, x) in enumerate(best)]
-    assert sorted(got) == sorted(want)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(400 + i, [0.5] * 6) for i in range(60)] + [(900, None), (950, [float("nan")] * 6), (901, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (1000, []), (None, [1.0] * 6)]
+    assert asked_top_k(spark, rows, tile_rows=64, tile_queries=4, pivots=8) == brute_top_k(rows)
+    again = [*rows, *rows[:60], (50, rows[0][1]), (50, rows[0][1])]  # repeated rows are queries and candidates of their own
+    assert asked_top_k(spark, again, tile_rows=64, tile_queries=4) == brute_top_k(again)
+
+
+def test_top_k_of_many_widths_and_large_numbers(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(50 * w + i, [float(x) for x in rng.normal(size=w)]) for w in range(1, 81) for i in (0, 0, 1, 2)]
+    monkeypatch.setattr(knn, "PIVOT_NUMBERS", 2000)  # several blocks of widths
+    assert asked_top_k(spark, rows) == brute_top_k(rows)
+    large = [(i, [float(x) * 10.0 ** (17 if i % 3 else 150) for x in rng.normal(size=3)]) for i in range(120)]
+    got = asked_top_k(spark, large, tile_rows=16)
+    assert got == brute_top_k(large) and any(abs(s) >= 2**63 - 1 for *_, s in got)
+
+
+def test_top_k_prunes_clusters(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, [float(x) for x in centres[i % 20] + 0.02 * rng.normal(size=16)]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(knn.F.col("vec_id").alias("id"), knn.quantised(knn.F.col("embedding")).alias("v"), (knn.F.col("vec_id") % 50 == 0).alias("q"), knn.F.lit(16).alias("w"))
+    asked, data = knn._asked(table, [(16, 200, 2.0**-12)], 5, 4, 50, 4096)
+    assert asked.count() < 40 * 40 / 4  # of 40 tiles or more, each of 40 queries is sent to fewer than a quarter
+    assert asked_top_k(spark, rows, tile_rows=50) == brute_top_k(rows)
 
 
 def test_secrets_and_owners(spark):
