@@ -22,6 +22,11 @@ def only(key: Any, make: Callable[[], Any] = object) -> Any:
 def clear() -> None:
     """At the end of a task: an idle worker keeps nothing, and freed memory goes back to the system."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """At the end of a task whose cache the next one uses: freed memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
     if trim is not None:

@@ -14,6 +14,7 @@ a run of bins), and Spark joins the pieces to it by their rank within their leng
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import shipping
 from . import caches, scratch
+from .words import distinct, portions
 
 CACHED_WORDS = 500_000
 
@@ -59,14 +61,18 @@ class _Words(dict):
 
 
 def words_of(path: str) -> _Words:
-    """The word cache of this task for a tokenizer file whose normaliser, splitter and merges end at blanks."""
+    """The word cache of this worker, kept until other work needs its memory, for a tokenizer file whose normaliser, splitter and merges end at blanks."""
     from tokenizers import Tokenizer
 
     return caches.only(("words", path), lambda: _Words(Tokenizer.from_file(path)))
 
 
-def token_bytes(text: str | None, words: _Words) -> bytes:
-    return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+def token_bytes(texts: pa.Array, words: _Words) -> tuple[memoryview, np.ndarray]:
+    """The ids of all texts one after another as little-endian 32-bit numbers, and the byte at which each text begins."""
+    found, at, begin = distinct(texts)
+    ids = pa.array([words[w] for w in found], pa.large_binary()).take(pa.array(at))
+    ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+    return memoryview(ids.buffers()[2] or b""), ends[begin]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
@@ -76,18 +82,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int |
         words, end = words_of(tokenizer_path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (max_tokens + 1)
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(token_bytes(text, words) + end)
-                for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    own = ids[at : at + 4 * max_tokens]
-                    n = len(own) // 4
-                    out.append((doc, k, at // 4, n, zlib.crc32(own), part, seen[n]))
-                    seen[n] += 1
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-        del words
-        caches.clear()
+            for lo, hi in portions(batch.column(1)):
+                out: list[tuple] = []
+                ids, begin = token_bytes(batch.column(1).slice(lo, hi - lo), words)
+                for i, doc in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                    first, last = int(begin[i]), int(begin[i + 1])
+                    total = (last - first + len(end)) // 4
+                    for k, at in enumerate(range(0, total, max_tokens)):
+                        n = min(max_tokens, total - at)
+                        crc = zlib.crc32(ids[first + 4 * at : min(first + 4 * (at + n), last)])
+                        if at + n == total:
+                            crc = zlib.crc32(end, crc)
+                        out.append((doc, k, at, n, crc, part, seen[n]))
+                        seen[n] += 1
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                del ids
+        caches.trim()
 
     kind = docs.select(id_col).schema[0].dataType
     arrow = pa.schema([("doc_id", pa.string() if kind.simpleString() == "string" else pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
@@ -102,8 +113,13 @@ def best_fit(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost
     offset + (r - rank_from) % per_bin * length.  A piece that exceeds a capacity on its own
     gets a bin of its own.  Each placement uses a set of equal bins up, or ends a length.
     """
+    return filled(histogram, max_tokens, max_docs, max_cost, weights, rule)[0]
+
+
+def filled(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost: int, weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4), rule: str = "norm") -> tuple[list[tuple[int, int, int, int, int, int]], int, list[int]]:
+    """The placements of `best_fit`, the number of bins, and the most documents and cost that a bin holds."""
     capacity, w = np.array([max_tokens, max_docs, max_cost], float), np.array(weights, float)
-    free, first, count, bins, placed = np.zeros((0, 3)), [], [], 0, []
+    free, first, count, bins, placed, most = np.zeros((0, 3)), [], [], 0, [], [1, 1]
     for length in sorted(histogram, reverse=True):
         demand, left, rank = np.array([length, 1, length * length], float), histogram[length], 0
 
@@ -134,6 +150,7 @@ def best_fit(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost
             per = placed[-1][5]
             placed[-1] = (*placed[-1][:4], int(max_tokens - residual[0]), per)
             rest, moved = (at + used, of - used), residual - per * demand
+            most = [max(m, int(c - r)) for m, c, r in zip(most, capacity[1:], moved[1:], strict=True)]
             if g is None:
                 free = np.vstack([free, moved])
                 first.append(at)
@@ -148,20 +165,48 @@ def best_fit(histogram: dict[int, int], max_tokens: int, max_docs: int, max_cost
         if full.sum() > 256:  # full bins take nothing more
             keep = np.flatnonzero(~full)
             free, first, count = free[keep], [first[i] for i in keep], [count[i] for i in keep]
-    return placed
+    return placed, bins, most
+
+
+def balanced(histogram: dict[int, int], max_tokens: int, tries: int = 3, **options) -> tuple[int, int]:
+    """The tightest document and cost capacities found that need no more bins than tokens alone do.
+
+    Each is sought by halving, in `tries` steps, between what a bin holds on average and the
+    most that a bin holds: the documents first, then, with that capacity, the cost.
+    """
+    caps = [max_tokens, max_tokens**2]
+    _, least, used = filled(histogram, max_tokens, *caps, **options)
+    mean = [sum(histogram.values()) / max(1, least), sum(n * x * x for x, n in histogram.items()) / max(1, least)]
+    for i in (0, 1):
+        low, caps[i] = mean[i], used[i]
+        for _ in range(tries):
+            tried = [*caps]
+            tried[i] = math.ceil(math.sqrt(low * caps[i]))
+            _, bins, most = filled(histogram, max_tokens, *tried, **options)
+            if bins <= least:
+                caps, used = tried, most
+            else:
+                low = tried[i]
+    return caps[0], caps[1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_docs: int | None = None, max_cost: int | None = None, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_docs: int | None = None, max_cost: int | None = None, balance: bool = False, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are their end id alone (no row without an end id).  Only documents
-    longer than max_tokens are cut.  max_docs and max_cost left out do not bind.  Repeated rows
-    are documents like any other; an empty table gives an empty table; other columns are ignored.
+    longer than max_tokens are cut, however long they are.  max_docs and max_cost left out do not
+    bind, or, with `balance`, are the tightest that need no more sequences (see `balanced`).  Among
+    pieces of equal length, and among bins that fit equally well, the order of the input and the
+    first bin decide.  Repeated rows are documents like any other; an empty table gives an empty
+    table; other columns are ignored.
     """
     shipping.ship(docs.sparkSession)
     rows = scratch.table(pieces(docs, tokenizer_path, max_tokens, end_id, id_col, text_col), "pieces")
     counts = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_tokens rows
+    if balance:
+        tight = balanced(histogram, max_tokens, **options)
+        max_docs, max_cost = max_docs or tight[0], max_cost or tight[1]
     plan = best_fit(histogram, max_tokens, max_docs or max_tokens, max_cost or max_tokens**2, **options)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -186,4 +231,4 @@ def default_tokenizer() -> str:
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer(), balance=True)
