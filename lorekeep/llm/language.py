@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import shipping
 from . import caches, scratch
+from .words import distinct, portions
 
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
@@ -45,35 +46,37 @@ class Pieces(dict):
         steps = sorted((nodes[p[:-1]] << 21 | ord(p[-1]), nodes[p]) for p in nodes if p)
         self.edges, self.child = np.array(steps, np.int64).reshape(-1, 2).T.copy()
         self.piece = np.array([self.get(p, -1) for p in nodes], np.int32)
+        self.longest = max(1, max(map(len, self), default=1))
 
 
-_pieces: dict[tuple[str, int], Pieces] = {}
+_pieces: dict[str, Pieces] = {}
 
 
-def vocabulary(path: str, longest: int = 8) -> Pieces:
-    """Lower-cased letter pieces of at most `longest` characters, numbered; 0 is any other single letter."""
-    key = (path, longest)
-    if key not in _pieces:
+def vocabulary(path: str) -> Pieces:
+    """The vocabulary's lower-cased letter pieces, numbered; 0 is any other single letter."""
+    if path not in _pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = dict.fromkeys(model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-        found = [p for p in found if len(p) <= longest and (p == START or p.removeprefix(START).isalpha())]
-        _pieces[key] = Pieces({p: i + 1 for i, p in enumerate(dict.fromkeys([START, *found]))})
-    return _pieces[key]
+        found = [p for p in found if p == START or p.removeprefix(START).isalpha()]
+        _pieces[path] = Pieces({p: i + 1 for i, p in enumerate(dict.fromkeys([START, *found]))})
+    return _pieces[path]
 
 
-def lattice(words: list[str], vocab: dict[str, int], longest: int) -> np.ndarray:
+def lattice(words: list[str], vocab: dict[str, int]) -> np.ndarray:
     """ids[w, i, k]: the piece that ends before position i + 1 and is k + 1 long; -1 if there is none.  All words have one length.
 
+    k goes as far as any piece in these words is long.
+
     All places of all words walk down the trie together, a letter a step, until no piece begins so.
     """
     n, trie = len(words[0]), vocab if isinstance(vocab, Pieces) else Pieces(vocab)
     letters = np.array(words, f"U{n}").view(np.uint32).astype(np.int64)
-    ids = np.full((len(words) * n, longest), -1, np.int32)
+    ids = np.full((len(words) * n, min(n, trie.longest)), -1, np.int32)
     at = np.arange(len(letters))  # where the next letter of each live walk stands
     node = np.zeros(len(letters), np.int64)
-    for k in range(longest if len(trie) else 0):
+    for k in range(ids.shape[1] if len(trie) else 0):
         key = node << 21 | letters[at]
         edge = np.minimum(np.searchsorted(trie.edges, key), len(trie.edges) - 1)
         live = trie.edges[edge] == key
@@ -82,7 +85,7 @@ def lattice(words: list[str], vocab: dict[str, int], longest: int) -> np.ndarray
         more = (at + 1) % n != 0  # the word goes on
         at, node = at[more] + 1, node[more]
     ids[ids[:, 0] < 0, 0] = 0
-    return ids.reshape(len(words), n, longest)
+    return ids.reshape(len(words), n, -1)[:, :, : 1 + int(np.flatnonzero((ids >= 0).any(axis=0))[-1])]
 
 
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -123,11 +126,10 @@ class Model:
     prior: np.ndarray  # log probability of each language
     prob: np.ndarray  # [piece, language], last row zero
     vocab_path: str
-    longest: int
     name: str
 
 
-def fit(docs: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str = "lang", max_rows: int = 8000, rounds: int = 3, longest: int = 8, id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str = "lang", max_rows: int = 8000, rounds: int = 3, id_col: str = "doc_id") -> Model:
     """Piece probabilities of each language from at most about `max_rows` labelled rows, chosen by a hash of their id and text.
 
     Rows without a language or text are left out.  What the driver collects is bounded by
@@ -141,7 +143,7 @@ def fit(docs: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str
     words = scratch.table(words, "words")
     by_lang = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(by_lang)
-    vocab = vocabulary(vocab_path, longest)
+    vocab = vocabulary(vocab_path)
     size = len(vocab) + 1
     prob = np.zeros((size + 1, len(langs)))
     prob[:size] = 1 / size
@@ -150,14 +152,14 @@ def fit(docs: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str
 
         def count(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
             caches.only("fit")
-            own, old = vocabulary(vocab_path, longest), given.value
+            own, old = vocabulary(vocab_path), given.value
             sums = {g: np.zeros(size) for g in langs}
             for batch in batches:
                 for (g, _), part in batch.groupby(["lang", batch["word"].str.len()]):
                     at = langs.index(g)
                     for lo in range(0, len(part), 4096):
                         some = part.iloc[lo : lo + 4096]
-                        expected(lattice([START + x for x in some["word"]], own, longest), old[:, at], some["n"].to_numpy(float), sums[g])
+                        expected(lattice([START + x for x in some["word"]], own), old[:, at], some["n"].to_numpy(float), sums[g])
             yield pd.DataFrame([(g, int(i), float(s[i])) for g, s in sums.items() for i in np.flatnonzero(s)], columns=["lang", "piece", "n"])
             caches.clear()
 
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str
         prob = np.vstack([new / new.sum(axis=0), np.zeros((1, len(langs)))])
         given.unpersist()
     prior = np.log(np.array([by_lang[g] for g in langs], float) / max(1, sum(by_lang.values()))) if langs else np.zeros(0)
-    return Model(langs, np.maximum(prior, -5), prob, vocab_path, longest, str(hash(prob.tobytes())))
+    return Model(langs, np.maximum(prior, -5), prob, vocab_path, str(hash(prob.tobytes())))
 
 
 class _Scorer(dict):
@@ -184,7 +186,7 @@ class _Scorer(dict):
         return self[word]
 
     def score_new(self) -> None:
-        m, vocab = self.model, vocabulary(self.model.vocab_path, self.model.longest)
+        m, vocab = self.model, vocabulary(self.model.vocab_path)
         out = np.zeros((len(self.new), len(m.langs) + 1))
         by_length: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for i, w in enumerate(self.new):
@@ -194,18 +196,20 @@ class _Scorer(dict):
             step = max(1, (1 << 16) // (n + 1))  # letters at a time, so that long runs need no more memory
             for lo in range(0, len(same), step):
                 runs, at = zip(*same[lo : lo + step], strict=True)
-                gain = forward(lattice(list(runs), vocab, m.longest), m.prob)
+                gain = forward(lattice(list(runs), vocab), m.prob)
                 np.add.at(out, np.array(at), np.hstack([gain, np.ones((len(runs), 1))]))
         self.rows = np.vstack([self.rows, out.astype(np.float32)])
         self.new = []
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
+    def texts(self, texts: pa.Array) -> np.ndarray:
         if len(self) > CACHED_WORDS:
             self.clear()
             self.rows = self.rows[:0]
-        at = [np.fromiter(map(self.__getitem__, (t or "").split()), np.int64) for t in texts]
+        found, at, begin = distinct(texts)
+        own = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
         self.score_new()
-        return np.array([self.rows[a].sum(axis=0, dtype=np.float64) for a in at]).reshape(len(texts), -1)
+        rows = self.rows[own][at].astype(np.float64)
+        return np.add.reduceat(np.vstack([rows, np.zeros((1, rows.shape[1]))]), begin[:-1]) if len(texts) else rows
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -224,9 +228,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         m = given.value
         scorer = caches.only(("languages", m.name), lambda: _Scorer(m))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
-                sums = scorer.texts(batch.column(at).to_pylist())
+            for lo, hi in portions(whole.column(at)):
+                batch = whole.slice(lo, hi - lo)
+                sums = scorer.texts(batch.column(at))
                 langs, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
                 if m.langs:
                     raw = sums[:, :-1] + m.prior
@@ -236,8 +240,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         j = int(p[i].argmax())
                         langs[i], scores[i] = m.langs[j], float(p[i, j])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:width], "lang_pred", "score"])
-        del scorer
-        caches.clear()
+        caches.trim()
 
     return rows.mapInArrow(guess, out)
 

@@ -142,7 +142,44 @@ def test_forward_sums_all_segmentations():
     p = np.array([[0.01], [0.1], [0.2], [0.15], [0.05], [0.3], [0.19], [0.0]])
     whole = lambda w: 1.0 if not w else sum(p[vocab[w[:n]], 0] * whole(w[n:]) for n in range(1, len(w) + 1) if w[:n] in vocab)
     for word in ("▁a", "▁ab", "▁abab", "▁abba"):
-        assert np.isclose(language.forward(language.lattice([word], vocab, 3), p)[0, 0], np.log(whole(word)))
+        assert np.isclose(language.forward(language.lattice([word], vocab), p)[0, 0], np.log(whole(word)))
+
+
+def test_expected_counts_by_all_segmentations():
+    vocab = language.Pieces({"▁": 1, "▁a": 2, "a": 3, "b": 4, "ab": 5, "▁ab": 6, "abab": 7})
+    p = np.array([0.01, 0.1, 0.2, 0.15, 0.05, 0.3, 0.15, 0.04, 0.0])
+
+    def cuts(w):
+        return [[]] if not w else [[vocab[w[:n]], *rest] for n in range(1, len(w) + 1) if w[:n] in vocab for rest in cuts(w[n:])]
+
+    for words in (["▁abab", "▁abba", "▁bbbb"], ["▁ababab", "▁abaaba", "▁bababa"]):
+        got, want, times = np.zeros(8), np.zeros(8), np.array([3.0, 1.0, 2.0])
+        language.expected(language.lattice(words, vocab), p, times, got)
+        for w, n in zip(words, times, strict=True):
+            weighed = [(np.prod(p[c]), c) for c in cuts(w)]
+            for x, c in weighed:
+                for piece in c:
+                    want[piece] += n * x / sum(x for x, _ in weighed)
+        assert np.allclose(got, want)
+
+
+def test_vocabulary_has_pieces_of_any_length():
+    v = language.vocabulary(language.default_vocabulary())
+    assert v.longest > 12
+    long = max(v, key=len)
+    assert v[long] in language.lattice([long], v)
+
+
+def test_language_repeats_ties_and_clashes(spark):
+    texts = ["the house was with them", "le chat dans la maison", "the house was with them", "", None, "数" * 30, "word " * 40_000, "x" * 20_000]
+    rows = [(i % 6, t, "en" if i % 2 else "fr", 0.5, "s") for i in range(3) for t in texts]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    out = language.identify(table)
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == len(rows)
+    got = {(r.doc_id, r.lang_pred, r.score) for r in out.collect()}
+    assert len(got) < len(rows)  # rows that repeat a text are told alike
+    model = language.Model(["a", "b"], np.zeros(2), np.full((len(language.vocabulary(language.default_vocabulary())) + 2, 2), 0.1), language.default_vocabulary(), "even")
+    assert {r.lang_pred for r in language.predict(table.filter("length(text) > 20"), model).collect()} == {"a"}  # ties go to the first language
 
 
 def brute_top_k(rows, k=5):
