@@ -13,36 +13,52 @@ from lorekeep.llm import exact_dedup, jaccard, language, mixing, packing, scratc
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those of no language in particular (best probability under 0.4)."""
+    """Drops texts without a letter and those of no language in particular (best probability under 0.4).
+
+    Null, empty and blank texts go; rows that repeat a text stay or go alike.  Without a
+    language to learn every text goes.
+    """
     model = language.fit(docs, language.default_vocabulary())
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    told = language.predict(docs, model, keep=others)
-    return told.filter("lang_pred <> 'und' and score >= 0.4").select(*docs.columns)
+    return language.predict(docs, model, docs.columns).filter("lang_pred <> 'und' and score >= 0.4").select("doc.*")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs, written once with a number for each row: stages decide by row, as ids may be null or repeat."""
+    return scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "rows")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows of the dropped ids; these are written first, so that Spark knows their size."""
-    return docs.join(scratch.table(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped"), F.col("doc_id") == F.col("_dropped"), "left_anti")
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents of the rows that are kept; their numbers are written first, so that Spark knows their size."""
+    return rows.join(scratch.table(kept.select("row"), "kept"), "row", "left_semi").select("doc.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the longest original, then the smallest id."""
-    return _without(docs, exact_dedup.exact_duplicates(docs).filter("not kept"))
+    """Of rows with equal texts one stays: the longest original, then the smallest id (null last), then the first row.
+
+    Null, empty and blank texts are equal to each other.
+    """
+    rows = _keyed(docs)
+    named = rows.select(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row").alias("name"), F.col("doc.text").alias("text"))
+    return _only(rows, exact_dedup.exact_duplicates(named, id_col="name").filter("kept").select("name.row"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more on 5-word shingles keeps the smallest id."""
-    return _without(docs, jaccard.similar_components(docs, k=5, num=4, den=5).filter("component_id <> doc_id"))
+    """Of rows linked by a Jaccard similarity of 0.8 or more on 5-word shingles the first stays.
+
+    Texts without a word are linked with nothing and stay.
+    """
+    rows = _keyed(docs)
+    return _only(rows, jaccard.similar_components(rows.select("row", F.col("doc.text").alias("text")), k=5, num=4, den=5, id_col="row").filter("component_id = row"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents by the sources' target weights; a document taken twice is two rows."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    """Takes rows by the sources' target weights; one taken twice is two rows.  Texts without a word are not taken."""
+    return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mixture into sequences of at most 4096 tokens."""
-    return packing.pack(docs, packing.default_tokenizer())
+    """Packs the mixture into sequences of at most 4096 tokens; a null text is its end id alone."""
+    return packing.pack(docs, packing.default_tokenizer(), balance=True)
 
 
 STAGES = [
@@ -53,7 +69,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Model fitting, connected components and packing have no SQL; the tests compare stages with brute force.
+#: Model fitting, connected components and packing have no SQL: tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 

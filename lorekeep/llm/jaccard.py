@@ -66,10 +66,6 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-
-
 def bands(s: np.ndarray) -> list[int]:
     """Min-hash bands: the least token of each of BANDS * ROWS classes of tokens, ROWS at a time."""
     least = np.zeros(BANDS * ROWS, np.uint64)
@@ -276,13 +272,30 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     """One row per row of docs: id, n_shingles, component_id.
 
     Two documents link when den * overlap >= num * union of their sets of k-word shingles.
-    component_id is the least id reachable by links.  Null, empty and blank texts have 0
-    shingles and are their own component.  Rows that repeat an id are documents of their own
-    with that id.  An empty table gives an empty table; other columns are ignored.
+    component_id is the least id reachable by links, nulls aside.  Null, empty and blank texts
+    have 0 shingles and are their own component.  Rows that repeat an id, or have none, are
+    documents of their own with that id.  Ids may be of any type that has an order.  A text's
+    length is bounded by its task's memory alone.  An empty table gives an empty table; other
+    columns are ignored.
     """
-    spark = docs.sparkSession
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    if kind in ("bigint", "int"):
+        seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("distinct")).first()
+        if seen.n == seen.distinct:
+            own = _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), k, num, den)
+            return own.select(F.col("doc_id").cast(kind).alias(id_col), "n_shingles", F.col("component").cast(kind).alias("component_id"))
+    # rows have numbers of their own, and a component the least id of its rows
+    rows = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), "rows")
+    told = scratch.table(_components(rows.select(F.col("row").alias("doc_id"), "text"), k, num, den).join(rows.select(F.col("row").alias("doc_id"), "id"), "doc_id"), "told")
+    least = told.filter("component <> doc_id").select("component").distinct().join(told, "component").groupBy("component").agg(F.min("id").alias("least"))
+    out = told.join(least, "component", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+
+
+def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component) of texts(doc_id long, text binary), whose ids are all different: the least id reachable."""
+    spark = texts.sparkSession
     shipping.ship(spark)
-    texts = _texts(docs, id_col, text_col)
     rows = scratch.table(summaries(texts, k), "summaries")
     marked, list_length = heavy_tokens(rows.filter("payload is not null").select("part", "slice", "payload"))
     heavy = spark.sparkContext.broadcast(marked)
@@ -309,7 +322,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     named = sets.join(final, "node", "left").select(F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.coalesce("component", "node").alias("component_id"))
     out = rows.join(named, (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component"))
 
 
 def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import shipping
 from . import caches, scratch
@@ -212,17 +213,19 @@ class _Scorer(dict):
         return np.add.reduceat(np.vstack([rows, np.zeros((1, rows.shape[1]))]), begin[:-1]) if len(texts) else rows
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns of `keep`, lang_pred and score (the probability of lang_pred among the languages).
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """doc (a struct of the columns of `keep`), lang_pred and score (the probability of lang_pred among the languages).
 
     Null texts, texts without a letter, and every text if no language was learned: `und`, score 0.
+    Ties go to the first language by name.
     """
     spark = docs.sparkSession
     shipping.ship(spark)
     given = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), *keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
-    at, width = (1 + keep.index(text_col) if text_col in keep else 1 + len(keep)), 1 + len(keep)
-    out = docs.select(F.col(id_col), *keep).schema.add("lang_pred", "string").add("score", "double")
+    kept = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)])
+    rows = kept if text_col in keep else docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text_col].alias("text"))
+    at, width = keep.index(text_col) if text_col in keep else len(keep), len(keep)
+    out = StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = given.value
@@ -242,7 +245,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:width], "lang_pred", "score"])
         caches.trim()
 
-    return rows.mapInArrow(guess, out)
+    told = rows.mapInArrow(guess, out)
+    return told.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]).alias("doc"), "lang_pred", "score")
 
 
 def crc_part(id_col: Column | str, parts: int) -> Column:
@@ -250,10 +254,14 @@ def crc_part(id_col: Column | str, parts: int) -> Column:
 
 
 def identify(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; fitted on the rows whose crc32 of the id leaves another remainder than 2 by 4."""
+    """doc_id, held_out, lang_pred, score; fitted on the rows whose crc32 of the id leaves another remainder than 2 by 4.
+
+    Repeated rows are told alike; an empty table gives an empty table; other columns are ignored.
+    A very long text is scored whole, in portions of its words.
+    """
     part = crc_part(id_col, 4)
     model = fit(docs.filter(part != 2), vocab_path or default_vocabulary(), text_col, lang_col, id_col=id_col, **options)
-    return predict(docs, model, id_col, text_col).select(F.col(id_col), (part == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, [id_col], text_col).select("doc.*", "lang_pred", "score").select(F.col(id_col), (part == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

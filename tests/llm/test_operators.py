@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, blanks, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -60,17 +61,77 @@ def test_best_fit_keeps_every_capacity(rule):
                 end += x
 
 
-def test_mixing(docs):
-    out = mixing.mix(docs, block_words=4, shards=4)
-    rows = [(r.doc_id, r.size, r.target, sum(d.word_to - d.word_from for d in r.draws)) for r in out.collect()]
-    assert len(rows) == docs.count() and all(n <= 2 * size for _, size, _, n in rows)
-    assert sorted(rows) == sorted((r.doc_id, r.size, r.target, sum(d.word_to - d.word_from for d in r.draws)) for r in mixing.mix(docs, block_words=4, shards=4).collect())
-    source = {r.doc_id: r.source for r in docs.collect()}
-    taken, target = Counter(), {}
-    for i, _, t, n in rows:
-        taken[source[i]] += n
-        target[source[i]] = t
-    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+def brute_targets(sizes, share=1.5, weights=(5, 2, 1), most=2.0):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full, left = {}, share * sum(sizes.values())
+    while True:
+        open_ = [s for s in names if s not in full]
+        rate = left / max(1, sum(w[s] for s in open_))
+        over = [s for s in open_ if rate * w[s] > most * sizes[s]]
+        if not over:
+            return {s: full.get(s, rate * w[s]) for s in names}
+        for s in over:
+            full[s] = most * sizes[s]
+            left -= full[s]
+
+
+def test_mixing_by_brute_force(spark, docs):
+    rng = np.random.default_rng(4)
+    more = [(int(rng.integers(50)) if i % 9 else None, " ".join(["w"] * int(rng.integers(0, 60))), None, f"h{int(rng.integers(9)) ** 2}" if i % 3 else "hot", 0, "x", 1) for i in range(400)]
+    table = docs.unionByName(spark.createDataFrame(more + more[:20], docs.schema))
+    out = mixing.mix(table, block_words=4, shards=6).collect()
+    again = mixing.mix(table.repartition(3), block_words=4, shards=6).collect()
+    assert Counter(map(str, out)) == Counter(map(str, again))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for r in table.collect():
+        sizes[r.source] += words(r.text)
+    target = brute_targets(sizes)
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((r.doc_id, words(r.text)) for r in table.collect())
+    assert sorted({(r.source_size, round(r.target, 6)) for r in out}) == sorted({(sizes[s], round(target[s], 6)) for s in sizes})
+    assert all(sum(d.word_to - d.word_from for d in r.draws) <= 2 * r.size for r in out)
+    named = mixing.mix(table.withColumn("doc_id", mixing.F.struct("doc_id", "source")), block_words=4, shards=6).collect()
+    taken, shards, by_shard = Counter(), defaultdict(Counter), Counter()
+    for r in named:
+        for d in r.draws:
+            taken[r.doc_id.source] += d.word_to - d.word_from
+            by_shard[d.shard] += d.word_to - d.word_from
+        spans = sorted((d.epoch, d.word_from, d.word_to) for d in r.draws)
+        for (e, _, b), (f, c, _) in itertools.pairwise(spans):
+            assert c == (b if e == f else 0)  # disjoint and gapless within an epoch
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-9 for s in target)
+    assert set(by_shard) == set(range(6)) and max(by_shard.values()) < 1.3 * min(by_shard.values())
+
+
+def test_splitting_tree_keeps_quotas_at_every_node(spark):
+    blocks = [0, 7, 1000, 3, 0, 12, 1, 500, 64, 2, 9]
+    for shards in (1, 6, 63):
+        rows = {r.key: list(r.alloc) for r in mixing.split_quotas(spark.createDataFrame(list(enumerate(blocks)), "key long, blocks long"), shards, 5).collect()}
+        assert [sum(rows.get(k, [0])) for k in range(len(blocks))] == blocks
+        total, share = sum(blocks), np.sum(list(rows.values()), axis=0)
+        assert [int(x) for x in share] == [total * (s + 1) // shards - total * s // shards for s in range(shards)]
+        for level in range(5):  # any node: its sources' quotas among the shards
+            for node in range(16 >> level):
+                under = [k for k in rows if k >> level == node]
+                assert sum(sum(rows[k]) for k in under) == sum(b for k, b in enumerate(blocks) if k >> level == node)
+                assert all(min(rows[k]) >= 0 for k in under)
+
+
+def test_blocks_are_permuted(spark):
+    for n in (1, 2, 30, 1009):
+        at = [r[0] for r in spark.range(n).select(mixing.permuted(mixing.F.col("id"), mixing.F.lit(n), mixing.F.lit(3), 7)).collect()]
+        assert sorted(at) == list(range(n)) and (n < 30 or at != sorted(at))
+
+
+def test_mixed_documents_are_rows_of_their_own(spark, docs):
+    rows = [(None, f"null id {i} a b c", "en", "s") for i in range(5)] + [(7, "one two three four", "en", "s"), (7, "another text of seven words is here", "en", "t"), (7, "another text of seven words is here", "en", "t"), (8, None, "en", "t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("doc", mixing.F.lit(1)).withColumn("_shard", mixing.F.lit("x"))
+    out = mixing.mixed_documents(table, block_words=4, shards=4, share=2.0, weights=(1.0,), shard_col="shard")
+    assert out.columns == [*table.columns, "shard"]
+    assert Counter((r.doc_id, r.text, r.source) for r in out.collect()) == Counter({x: 2 * n for x, n in Counter((i, t, s) for i, t, _, s in rows if t).items()})
+    many = mixing.mixed_documents(docs.union(docs), block_words=4, shards=4, shard_col="shard").withColumn("part", mixing.F.spark_partition_id()).collect()
+    assert len({(r.shard, r.part) for r in many}) == len({r.part for r in many}) and {r.shard for r in many} == set(range(4))  # no partition holds two shards
 
 
 def test_exact_dedup_by_brute_force(docs):
@@ -179,7 +240,7 @@ def test_language_repeats_ties_and_clashes(spark):
     got = {(r.doc_id, r.lang_pred, r.score) for r in out.collect()}
     assert len(got) < len(rows)  # rows that repeat a text are told alike
     model = language.Model(["a", "b"], np.zeros(2), np.full((len(language.vocabulary(language.default_vocabulary())) + 2, 2), 0.1), language.default_vocabulary(), "even")
-    assert {r.lang_pred for r in language.predict(table.filter("length(text) > 20"), model).collect()} == {"a"}  # ties go to the first language
+    assert {r.lang_pred for r in language.predict(table.filter("length(text) > 20"), model, ["doc_id", "score"]).collect()} == {"a"}  # ties go to the first language
 
 
 def brute_top_k(rows, k=5):
