@@ -315,7 +315,7 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     listed = scratch.table(lists(texts, heavy, boundary, k, num, den).join(named.hint("merge"), "node"), "lists")
     light, dark = entries_of(listed)
     mixed = dark.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    pairs = _pairs(light, num, den).union(_pairs(dark.join(mixed, "key", "left_semi"), num, den)).distinct()
+    pairs = _pairs(light, num, den).union(_heavy_pairs(dark.join(mixed, "key", "left_semi"), num, den)).distinct()
     second = linked(texts, pairs, k, num, den)
     final = components(first.select("x", "y").union(second.select("x", "y")))
     scratch.drop(listed)
@@ -325,15 +325,36 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component"))
 
 
-def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes of different components that share a list and may overlap enough, by their sizes and places in the order."""
-    x, y = entries.alias("x"), entries.alias("y")
+def _may_link(num: int, den: int):
+    """Of list entries x and y: different components, and enough overlap possible by their sizes and their places in the order."""
     c = F.col
     need = F.ceil(F.lit(num) * (c("x.n") + c("y.n")) / F.lit(float(num + den)) - 1e-9)
     rest = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))  # at most so many can be shared if this is the first shared token
-    on = (c("x.key") == c("y.key")) & (c("x.node") < c("y.node")) & (c("x.comp") != c("y.comp"))
-    on = on & (den * F.least(c("x.n"), c("y.n")) >= num * F.greatest(c("x.n"), c("y.n"))) & ((c("x.pos") < 0) == (c("y.pos") < 0)) & ((c("x.pos") < 0) | (rest >= need))
-    return x.join(y, on).select(c("x.node").alias("x"), c("y.node").alias("y"))
+    sizes = den * F.least(c("x.n"), c("y.n")) >= num * F.greatest(c("x.n"), c("y.n"))
+    return (c("x.comp") != c("y.comp")) & sizes & ((c("x.pos") < 0) == (c("y.pos") < 0)) & ((c("x.pos") < 0) | (rest >= need))
+
+
+def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nodes of different components that share a light list and may link."""
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & _may_link(num, den)
+    return entries.alias("x").join(entries.alias("y"), on).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+
+
+def _heavy_pairs(entries: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
+    """The same of heavy lists.
+
+    A list is cut into classes of sizes so wide that partners are of one class or of neighbours,
+    and only these meet; a class of many entries is cut into blocks, each one task's work.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9))).cast("int") if den > num else F.col("n")
+    entries = entries.withColumn("size", size)
+    parts = entries.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    x = entries.join(parts, ["key", "size"]).withColumn("part", F.pmod(F.hash("node"), "parts"))
+    y = entries.withColumnRenamed("size", "own").withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    y = y.join(parts, ["key", "size"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.part") == F.col("y.part"))
+    once = (F.col("x.size") < F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
+    return x.alias("x").join(y.alias("y"), same & once & _may_link(num, den)).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -184,6 +184,26 @@ def test_jaccard_by_brute_force(spark, docs, k, num, den):
     assert got == brute_components(table.collect(), k, num, den)
 
 
+def test_jaccard_of_any_ids(spark):
+    """String, repeated and null ids: rows are documents, a component has the least id of its rows."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [("z", a), ("y", a), ("q", b), ("q", "else where is it"), (None, b + " more"), ("x", a + " tail"), ("r", None), (None, None), ("r", "")]
+    for kind, name in (("string", lambda i: i), ("long", lambda i: i and ord(i))):
+        table = spark.createDataFrame([(name(i), t, 1) for i, t in rows], f"key {kind}, text string, n_shingles int")
+        out = Counter((r.key, r.n_shingles, r.component_id) for r in jaccard.similar_components(table, id_col="key").collect())
+        want = [("z", 56, "x"), ("y", 56, "x"), ("q", 56, "q"), ("q", 1, "q"), (None, 57, "q"), ("x", 57, "x"), ("r", 0, "r"), (None, 0, None), ("r", 0, "r")]
+        assert out == Counter((name(i), n, name(c)) for i, n, c in want)
+
+
+def test_heavy_pairs_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(3)), int(rng.integers(12)), int(rng.integers(1, 60)), i, int(rng.integers(40))) for i in range(300)]
+    entries = spark.createDataFrame(rows, "key long, pos int, n int, node long, comp long")
+    for num, den in ((85, 100), (4, 5), (1, 1)):
+        want = {(x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[0] == y[0] and x[4] != y[4] and den * min(x[2], y[2]) >= num * max(x[2], y[2]) and min(x[2] - x[1], y[2] - y[1]) >= -(-num * (x[2] + y[2]) // (num + den))}
+        assert Counter((r.x, r.y) for r in jaccard._heavy_pairs(entries, num, den, block=16).collect()) == Counter(want)
+
+
 def test_shingles_ignore_blocks():
     texts = [(t or "").encode() for t in TEXTS]
     assert [x.tolist() for x in shingles.hashed_sets(texts, 4)] == [x.tolist() for x in shingles.hashed_sets(texts, 4, block=50)]
