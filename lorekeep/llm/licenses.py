@@ -2,8 +2,9 @@
 
 A rule is a regular expression with a label, a priority, a keyword and a cue; it runs only
 on texts that hold the keyword at the start of a word and the cue, which every text that it
-matches does.  Rules are made from a table of licenses and a table of
-phrasings.  Where detections overlap, one that lies within the interval of a better one
+matches does.  Hand-written signatures tell license texts, headers, notices, exceptions and
+addresses; names in phrases ("licensed under ...") are made from a table of licenses and one
+of phrasings.  Where detections overlap, one that lies within the interval of a better one
 (lower priority number, then longer) is suppressed.
 """
 
@@ -64,6 +65,158 @@ NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
     "postgresql": ("postgresql", ("postgresql",)),
     "proprietary": ("reserved", ("all rights reserved",)),
 }
+#: Label, keyword, signature: what stands in license texts, headers and notices.  Spaces stand for any gap between words, <some> for one to twelve words.
+SIGNATURES: tuple[tuple[str, str, str], ...] = (
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation( files)?"),
+    ("mit", "above", "the above copyright notice and this permission notice( including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("mit", "hereby", "hereby granted free of charge to any person obtaining a copy of <some>to deal in the software without restriction"),
+    ("mit", "opensource", "opensource org licenses? mit"),
+    ("mit-0", "mit", "mit no attribution"),
+    ("x11", "advertising", "except as contained in this notice the names? of <some>shall not be used in advertising or otherwise to promote"),
+    ("isc", "permission", "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("0bsd", "permission", "permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted( provided that the following conditions are met)?"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "opensource", "opensource org licenses? bsd license"),
+    ("bsd-2-clause", "opensource", "opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", "opensource", "opensource org licenses? bsd 3 clause"),
+    ("bsd-3-clause", "endorse", "neither the names? of <some>may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "governed", "governed by a bsd style license that can be found in the license file"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "apache", "apache license version 2 0 january 2004"),
+    ("apache-2.0", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "apache", "apache org licenses license 2 0"),
+    ("apache-2.0", "unless", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "asf", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2.0", "opensource", "opensource org licenses? apache 2 0"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache (software foundation|group)"),
+    ("gpl", "gnu", "under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license along with"),
+    ("gpl", "gnu", "see the gnu general public license for more details"),
+    ("gpl", "gnu", "gnu org (licenses|copyleft) gpl html"),
+    ("gpl-1.0", "gnu", "gnu general public license version 1 february 1989"),
+    ("gpl-2.0", "gnu", "gnu general public license version 2 june 1991"),
+    ("gpl-2.0", "gnu", "gnu general public license as published by the free software foundation( either)? version 2( of the license)?"),
+    ("gpl-2.0-or-later", "gnu", "gnu general public license as published by the free software foundation( either)? version 2( of the license)? or at your option any later version"),
+    ("gpl-2.0", "gnu", "gnu org licenses (old licenses )?gpl 2 0"),
+    ("gpl-3.0", "gnu", "gnu general public license version 3 29 june 2007"),
+    ("gpl-3.0", "gnu", "gnu general public license as published by the free software foundation( either)? version 3( of the license)?"),
+    ("gpl-3.0-or-later", "gnu", "gnu general public license as published by the free software foundation( either)? version 3( of the license)? or at your option any later version"),
+    ("gpl-3.0", "gnu", "gnu org licenses gpl 3 0"),
+    ("lgpl", "gnu", "under the terms of the gnu (lesser|library) general public license as published by the free software foundation"),
+    ("lgpl", "gnu", "you should have received a copy of the gnu (lesser|library) general public license along with"),
+    ("lgpl-2.0", "gnu", "gnu library general public license version 2 june 1991"),
+    ("lgpl-2.1", "gnu", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-2.1", "gnu", "gnu org licenses (old licenses )?lgpl 2 1"),
+    ("lgpl-3.0", "gnu", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-3.0", "gnu", "gnu org licenses lgpl 3 0"),
+    ("agpl", "gnu", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "gnu", "you should have received a copy of the gnu affero general public license along with"),
+    ("agpl-3.0", "gnu", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3.0", "gnu", "gnu org licenses agpl 3 0"),
+    ("gfdl", "gnu", "under the terms of the gnu free documentation license"),
+    ("gfdl", "gnu", "gnu free documentation license( version 1 [123])?"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v(ersion)? ?2 0"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2.0", "mozilla", "mozilla org (en us )?mpl 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v(ersion)? ?1 0"),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license v?(ersion )?2 0"),
+    ("epl-1.0", "eclipse", "eclipse org legal epl v10"),
+    ("epl-2.0", "eclipse", "eclipse org legal epl (2 0|v20)"),
+    ("cpl-1.0", "common", "common public license version 1 0"),
+    ("ipl-1.0", "ibm", "ibm public license version 1 0"),
+    ("cddl-1.0", "common", "common development and distribution license( cddl)?( version)? 1 0"),
+    ("cddl-1.1", "common", "common development and distribution license( cddl)?( version)? 1 1"),
+    ("cddl", "subject", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("cc0-1.0", "waived", "has waived all copyright and related or neighbou?ring rights"),
+    ("cc-by", "creativecommons", "creativecommons org licenses by \\d \\d"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa \\d \\d"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc \\d \\d"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd \\d \\d"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa \\d \\d"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd \\d \\d"),
+    ("cc-by-sa", "creative", "creative commons attribution share ?alike \\d \\d( (international|unported))?"),
+    ("cc-by-nc", "creative", "creative commons attribution non ?commercial \\d \\d( (international|unported))?"),
+    ("cc-by", "creative", "creative commons attribution \\d \\d( (international|unported))?"),
+    ("public-domain-mark", "creativecommons", "creativecommons org publicdomain mark 1 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "unlicense", "for more information please refer to https? unlicense org"),
+    ("wtfpl", "fuck", "do what the fuck you want to( public license)?"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("libpng", "png", "png reference library license"),
+    ("bsl-1.0", "boost", "boost software license version 1 0( august 17th 2003)?"),
+    ("bsl-1.0", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("python-2.0", "python", "python software foundation license version 2"),
+    ("python-2.0", "psf", "psf license agreement for python"),
+    ("perl", "perl", "under the same terms as perl itself"),
+    ("ruby", "ruby", "under the (same )?terms (as|of) ruby( s license)?"),
+    ("artistic-1.0", "artistic", "the artistic license preamble"),
+    ("artistic-2.0", "artistic", "artistic license 2 0 copyright c 2000 2006 the perl foundation"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "sil", "sil open font license( version 1 1)?( 26 february 2007)?"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("php-3.01", "php", "this product includes php software freely available from"),
+    ("php-3.01", "php", "the php license version 3 01"),
+    ("postgresql", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "illinois", "university of illinois( ncsa)? open source license"),
+    ("hpnd", "permission", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("ntp", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("curl", "stenberg", "copyright and permission notice copyright c <some>daniel stenberg"),
+    ("sleepycat", "redistributions", "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("beerware", "beer", "(the )?beer ?ware license"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("ms-pl", "microsoft", "microsoft public license( ms pl)?"),
+    ("ms-rl", "microsoft", "microsoft reciprocal license( ms rl)?"),
+    ("eupl", "european", "european union public licen[cs]e( v)?( 1 [12])?"),
+    ("cecill", "cecill", "cecill( free software)? license( agreement)?"),
+    ("lppl-1.3c", "latex", "latex project public license"),
+    ("qpl-1.0", "q", "q public license( version 1 0)?"),
+    ("osl-3.0", "open", "open software license( version)? v?3 0"),
+    ("afl-3.0", "academic", "academic free license( version)? v?3 0"),
+    ("upl-1.0", "universal", "universal permissive license( version)? v?1 0"),
+    ("mulanpsl-2.0", "mulan", "mulan (psl|permissive software license)( v)? ?2"),
+    ("blueoak-1.0.0", "blue", "blue oak model license( 1 0 0)?"),
+    ("odbl-1.0", "database", "open database license( odbl)?( v)?( 1 0)?"),
+    ("odc-by-1.0", "commons", "open data commons attribution license"),
+    ("pddl-1.0", "commons", "open data commons public domain dedication"),
+    ("cdla-permissive", "community", "community data license agreement permissive"),
+    ("cdla-sharing", "community", "community data license agreement sharing"),
+    ("ogl-uk", "government", "(under the )?open government licen[cs]e( v)?( ?[123] 0)?"),
+    ("busl-1.1", "business", "business source license( 1 1)?"),
+    ("sspl-1.0", "server", "server side public license( v)?( ?1)?"),
+    ("elastic-2.0", "elastic", "elastic license 2 0"),
+    ("commons-clause", "commons", "commons clause license condition( v)?( ?1 0)?"),
+    ("polyform", "polyform", "polyform (noncommercial|small business|shield|strict|internal use)( license)?( 1 0 0)?"),
+    ("openrail", "openrail", "(creativeml )?openrail( [ms])?( license)?"),
+    ("llama", "llama", "llama \\d( \\d)? community license( agreement)?"),
+    ("bsd", "freebsd", "the freebsd (copyright|license|documentation license)"),
+    ("public-domain", "dedicated", "dedicated to the public domain"),
+    ("public-domain", "placed", "(has been |is )?(hereby )?placed in the public domain"),
+    ("public-domain", "disclaims", "the author disclaims copyright to this source code"),
+    ("classpath-exception-2.0", "linking", "linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("gcc-exception-3.1", "gcc", "gcc runtime library exception( version 3 1)?"),
+    ("llvm-exception", "llvm", "apache license v2 0 with llvm exceptions?"),
+    ("linux-syscall-note", "kernel", "this copyright does not cover user programs that use kernel services by normal system calls"),
+    ("bison-exception-2.2", "bison", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", "autoconf", "as a special exception <some>configure script generated by autoconf"),
+    ("font-exception", "font", "as a special exception if you create a document which uses this font"),
+    ("openssl-exception", "openssl", "permission to link <some>with the openssl (project s )?library"),
+    ("exception", "exception", "as a special exception"),
+    ("proprietary", "proprietary", "(this software is )?proprietary and confidential( information)?"),
+    ("proprietary", "confidential", "confidential and proprietary( information)?"),
+    ("proprietary", "unauthori", "unauthori[sz]ed (copying|use|reproduction|distribution) <some>is strictly prohibited"),
+    ("proprietary", "reproduced", "no part of this (publication|book|document|work|site|website) may be reproduced"),
+    ("proprietary", "redistributed", "may not be (copied |published |reproduced )(broadcast rewritten )?(or )?redistributed"),
+    ("proprietary", "permission", "without( the)?( express)?( prior)? written permission of the (publisher|author|copyright (holder|owner))"),
+    ("proprietary", "agreement", "end user license agreement( eula)?"),
+    ("noncommercial", "commercial", "for non commercial( use| purposes| research)? only"),
+    ("noncommercial", "noncommercial", "for noncommercial( use| purposes| research)? only"),
+)
 #: Keywords of names that do not hold their label's.
 KEYWORDS = {"expat": "expat", "asl 2( 0)?": "asl"}
 #: priority, template with {}, label's certainty
@@ -79,19 +232,19 @@ BARE = ("-text", "public-domain", "proprietary", "unlicense", "cc-by", "cc0")
 
 
 def rules() -> list[tuple[int, str, str, str, str, float]]:
-    """(priority, label, keyword, cue, regular expression, certainty) of every rule, in order: some 300."""
+    """(priority, label, keyword, cue, regular expression, certainty) of every rule, in order: some 450."""
     cue = lambda t: next((c for c in ("spdx", "under", "licen") if c in t), "")
     out = []
     for label, (keyword, names) in NAMES.items():
         for name in names:
             shapes = [*PHRASINGS, *([(4, "{}", 0.6)] if any(b in label for b in BARE) else [])]
             out += [(p, label.removesuffix("-text"), KEYWORDS.get(name, keyword), cue(t), compiled(t.format(f"({name})")), certain) for p, t, certain in shapes]
-    return sorted(out)
+    return sorted(out + [(1, label, keyword, "", compiled(text), 0.97) for label, keyword, text in SIGNATURES])
 
 
 def compiled(phrase: str) -> str:
     """A phrase as a pattern on the squeezed text of words: words between single blanks."""
-    return rf"(?<=\x20){phrase.replace(',?', '').replace('.', ' ').strip()}(?=\x20)"
+    return rf"(?<=\x20){phrase.replace(',?', '').replace('.', ' ').replace('<some>', '([^ ]+ ){1,12}?').strip()}(?=\x20)"
 
 
 def squeezed(text: Column) -> Column:
