@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .spans import matches
+from .spans import let, matches, running
 
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -257,15 +257,8 @@ def _base(text: Column, phrase: str, k: int) -> Column:
     spelt = GAP.join("".join(f"[{c}{c.upper()}]" for c in w) for w in phrase.split())
     found = matches(text, rf"(?<!{EDGE}){spelt}(?!{EDGE})")
     step = len(phrase.split())
-    none = F.array().cast("array<struct<word:bigint,k:int>>")
-    return F.aggregate(
-        found,
-        F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("places")),
-        lambda s, m: F.struct(
-            (s.at + F.regexp_count(m.before, F.lit(WORD)) + step).cast("bigint").alias("at"),
-            F.concat(s.places, F.array(F.struct((s.at + F.regexp_count(m.before, F.lit(WORD))).cast("bigint").alias("word"), F.lit(k).alias("k")))).alias("places"),
-        ),
-    ).places
+    counts = lambda m: F.transform(m, lambda x: (F.regexp_count(x.before, F.lit(WORD)) + step).cast("bigint"))
+    return F.transform(let(found, lambda m: running(counts(m))), lambda at: F.struct((at - step).alias("word"), F.lit(k).alias("k")))
 
 
 def _places(gated: DataFrame) -> DataFrame:
@@ -300,8 +293,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of docs: id, n_words, base: array of (word, k), found: array of (start, end, label, priority, certainty).
 
     base numbers BASE; found is what suppression leaves of the rules' detections, as places in
-    the squeezed text.  Null texts are empty; repeated rows are rows of their own; an empty
-    table gives an empty table; other columns are ignored.
+    the squeezed text, ordered by start, end and label.  Of places that hold each other equally
+    well all stay.  Null texts are empty; very long texts are read whole; repeated rows are rows
+    of their own; an empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
     every = rules()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .spans import let
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,11 +63,6 @@ def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (
     return per.crossJoin(level).withColumn("target", target).select("sid", "source", "source_size", "n_docs", "weight", "target")
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `marked` among `total` are among `drawn` draws, by inversion.
 

@@ -54,15 +54,18 @@ def pieces(text: Column) -> Column:
 
 
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, own_text, n_quotes, quote_depth, reply_to, by_quote, reply_depth, reply_order.
+    """One row per message: conv_id, turn, role, own_text, n_quotes, quote_depth, reply_to, by_quote, from_conv, from_turn, reply_depth, reply_order.
 
     reply_to is the turn that wrote the message's outermost and first quotation of which an earlier
     turn of the conversation wrote anything: of several such turns one that wrote all of it in one,
     then the one that wrote most of its lines and sentences, then the latest; without such a
     quotation it is the turn before, and null for a first turn.  by_quote tells the two apart.
     reply_depth counts the answers up to the root.  reply_order numbers a conversation's turns from
-    0 by (reply_depth, turn): own_text in that order is the conversation without quotes.  Equal
-    quotations of a conversation are looked up once.  Null texts are empty; rows with a null conversation or turn answer none and
+    0 by (reply_depth, turn), so that a message follows the one it answers: own_text in that order
+    is the conversation without quotes.  Equal quotations of a conversation are looked up once.
+    from_conv and from_turn are the first message of another conversation, by its id and turn,
+    that wrote the outermost and first quotation of a message which no turn of its own wrote;
+    it bears on no order.  Very long texts are cut whole.  Null texts are empty; rows with a null conversation or turn answer none and
     are answered by none; rows that repeat a turn are messages of their own that link alike and share a place in the order, which
     rows with a null conversation or turn do not have.  An empty table gives an empty table; other columns are ignored.
     """
@@ -83,12 +86,36 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     written = written.join(sought.select("conv", "h").distinct(), ["conv", "h"], "left_semi").distinct()
     covered = sought.join(written, ["conv", "h"]).groupBy("conv", "name", "by").agg(F.struct(F.bool_or(F.col("h") == F.col("whole")).alias("all"), F.count(F.lit(1)).alias("n"), F.col("by")).alias("best"))
     answer = _best_before(quoted, covered).groupBy("row").agg(F.min_by("best.by", F.struct("level", "nth")).alias("quoted"))
+    # of quotations without an answer in their conversation: who wrote them first elsewhere
+    alone = quoted.join(answer.select("row"), "row", "left_anti").select("row", "conv", "level", "nth", "whole")
+    sources = placed.select("conv", "turn", F.explode(own_parts).alias("h")).join(alone.select(F.col("whole").alias("h")).distinct(), "h", "left_semi")
+    first = _first_two(sources)
+    elsewhere = alone.join(first, alone.whole == first.h).withColumn("p", F.when(F.col("one.conv") != F.col("conv"), F.col("one")).otherwise(F.col("two"))).filter("p is not null").groupBy("row").agg(F.min_by("p", F.struct("level", "nth")).alias("p"))
     turns = placed.select("conv", "turn").distinct()
-    joined = rows.join(answer, "row", "left").join(_before(turns), ["conv", "turn"], "left")
-    replies = scratch.table(joined.select("row", "conv", "turn", "role", "own_text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q.level)), F.lit(0)).cast("long").alias("quote_depth"), F.coalesce("quoted", "before").alias("reply_to"), F.col("quoted").isNotNull().alias("by_quote")), "replies")
+    joined = rows.join(answer, "row", "left").join(elsewhere, "row", "left").join(_before(turns), ["conv", "turn"], "left")
+    replies = scratch.table(joined.select("row", "conv", "turn", "role", "own_text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q.level)), F.lit(0)).cast("long").alias("quote_depth"), F.coalesce("quoted", "before").alias("reply_to"), F.col("quoted").isNotNull().alias("by_quote"), F.col("p.conv").alias("from_conv"), F.col("p.turn").alias("from_turn")), "replies")
     depth = _depths(replies.filter("conv is not null and turn is not null").groupBy("conv", "turn").agg(F.max("reply_to").alias("up")))
     out = replies.join(_order(depth), ["conv", "turn"], "left")
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "own_text", "n_quotes", "quote_depth", "reply_to", "by_quote", F.coalesce("depth", F.lit(0)).cast("long").alias("reply_depth"), "reply_order")
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "own_text", "n_quotes", "quote_depth", "reply_to", "by_quote", "from_conv", "from_turn", F.coalesce("depth", F.lit(0)).cast("long").alias("reply_depth"), "reply_order")
+
+
+def chats(linked: DataFrame, conv_col: str = "conv_id", role_col: str = "role", block: int = 256) -> DataFrame:
+    """conv_id, part and messages, an array of (role, content), of the rows of `link`: conversations in reply order without quotes.
+
+    Messages without a text of their own are left out, and rows without a place.  A part holds at
+    most `block` places of the order, so a long conversation is many rows.
+    """
+    rows = linked.filter("reply_order is not null and own_text <> ''").select(F.col(conv_col).alias("conv"), F.floor(F.col("reply_order") / block).alias("part"), F.struct("reply_order", F.col(role_col).alias("role"), F.col("own_text").alias("content")).alias("m"))
+    parts = rows.groupBy("conv", "part").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return parts.select(F.col("conv").alias(conv_col), "part", F.transform("m", lambda m: F.struct(m.role.alias("role"), m.content.alias("content"))).alias("messages"))
+
+
+def _first_two(sources: DataFrame) -> DataFrame:
+    """(h, one, two): the first place (conv, turn) that wrote h, and the first of another conversation."""
+    each = sources.groupBy("h", "conv").agg(F.min("turn").alias("turn")).select("h", F.struct("conv", "turn").alias("p"))
+    one = each.groupBy("h").agg(F.min("p").alias("one"))
+    two = each.join(one, "h").filter("p.conv <> one.conv").groupBy("h").agg(F.min("p").alias("two"))
+    return one.join(two, "h", "left")
 
 
 def _best_before(quoted: DataFrame, covered: DataFrame, block: int = 1024) -> DataFrame:
