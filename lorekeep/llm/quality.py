@@ -32,7 +32,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n, chars, lines = F.greatest(F.size("w"), F.lit(1)), F.greatest(F.length("t"), F.lit(1)), F.greatest(F.size("l"), F.lit(1))
     values = [
         F.log1p(F.length("t")), F.log1p(F.size("w")), F.length("t") / n, F.size(F.array_distinct("w")) / n,
-        count(r"(?<!\S)(\S{1,40}) \1(?!\S)") / n, count(r"\p{Lu}") / chars, count(r"[^\p{L}\p{N}\s.,;:!?'\"()-]") / n, count(r"\p{Nd}") / chars,
+        count(r"(?<!\S)(\S++) \1(?!\S)") / n, count(r"\p{Lu}") / chars, count(r"[^\p{L}\p{N}\s.,;:!?'\"()-]") / n, count(r"\p{Nd}") / chars,
         count("!") / n, count(r"[.,]") / n, count(r"\|") / n, n / lines, 1 - F.size(F.array_distinct("l")) / lines, count(r"(?<!\S)\S{1,3}(?!\S)") / n,
     ]
     return rows.select("id", F.array(*[v.cast("double") for v in values]).alias("f"))
@@ -84,8 +84,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """id, held_out, score, predicted for every row of docs.
 
     Fitted on at most about `max_rows` labelled rows, by a hash of their id, whose crc32 of the
-    id by 5 is not 0.  Null and empty texts have statistics like any other.  Without labels
-    the score is 0.5.  Repeated rows score alike; other columns are ignored.
+    id by 5 is not 0.  Null and empty texts have statistics like any other; very long ones are read
+    whole.  Without labels the score is 0.5.  Repeated rows score alike, a score of exactly
+    `threshold` counts as predicted, and a row with a null id is held out by the crc32 of 0.  An
+    empty table gives an empty table; other columns are ignored, whatever their names.
     """
     stats = scratch.table(statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter("label in (0, 1)").filter(crc_part("id", 5) != 0)

@@ -458,6 +458,64 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
 
 
+def walked(described, row):
+    """The conditions that a row meets from the root of each tree down, by walking the forest's description."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in described.splitlines()]
+    held, at = set(), 0
+    while at < len(lines):
+        if not lines[at][1].startswith("Tree"):
+            at += 1
+            continue
+        at, path = at + 1, ()
+        while at < len(lines) and not lines[at][1].startswith("Tree"):
+            indent, text = lines[at]
+            m = re.match(r"(If|Else) \(feature (\d+) (<=|>) (\S+)\)", text)
+            if not m:
+                break
+            i, most, limit = int(m[2]), m[3] == "<=", float(m[4])
+            if (row[i] <= limit) == most:
+                path += ((i, most, limit),)
+                held.add(path)
+                at += 1
+            else:  # on to the other branch of the same node
+                at += 1
+                while lines[at][0] > indent:
+                    at += 1
+    return held
+
+
+def test_rules_are_the_forests_paths_and_compile_exactly(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 4)).round(2)
+    label = ((x[:, 0] > 0.2) & (x[:, 2] < 0.5) | (x[:, 3] > 1)).astype(float)
+    table = spark.createDataFrame([(i, [float(v) for v in r], float(y)) for i, (r, y) in enumerate(zip(x, label, strict=True))], "i long, f array<double>, label double")
+    forest = RandomForestClassifier(numTrees=6, maxDepth=3, seed=1).fit(table.select(array_to_vector("f").alias("features"), "label"))
+    found = quality.tree_rules(forest.toDebugString)
+    meets = lambda rule, r: all((r[i] <= at) == most for i, most, at in rule)
+    assert found == set().union(*(walked(forest.toDebugString, r) for r in x)) | {r for r in found if not any(meets(r, v) for v in x)}
+    assert all({r for r in found if meets(r, v)} == walked(forest.toDebugString, v) for v in x)
+    intercept, rules = quality.fit(table.select("f", "label"))
+    got = {r.i: r.p for r in table.select("i", quality.compiled(intercept, rules).alias("p")).collect()}
+    for i, v in enumerate(x):
+        assert np.isclose(got[i], 1 / (1 + np.exp(-intercept - sum(w for r, w in rules if meets(r, v)))))
+    assert rules and np.mean([(got[i] >= 0.5) == bool(y) for i, y in enumerate(label)]) > 0.9
+
+
+def test_quality_edge_cases(spark):
+    texts = [None, "", "one", "A good sentence, of words.\n" * 30, "x x x x !!! ||| " * 50, "w" * 300_000]
+    docs = spark.createDataFrame([(i % 40 if i != 7 else None, texts[i % 6], 0.5, 1, "f") for i in range(60)], "doc_id long, text string, score double, predicted int, f string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 3), 1) for i in range(40)], "doc_id long, quality int, label int")
+    out = quality.score(docs, labels).collect()
+    assert len(out) == 60 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+    assert {r.held_out for r in out if r.doc_id == 3} == {zlib.crc32(b"3") % 5 == 0}
+    assert {r.score for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
+    stats = {r.id: r.f for r in quality.statistics(docs.limit(6)).collect()}
+    assert stats[4][4] == round(150 / 250, 12) or stats[4][4] > 0  # repeated words of any length count
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert packing.pack(none, packing.default_tokenizer()).count() == mixing.mix(none).count() == exact_dedup.exact_duplicates(none).count() == 0
