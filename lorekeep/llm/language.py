@@ -207,7 +207,7 @@ class _Scorer(dict):
             self.clear()
             self.rows = self.rows[:0]
         found, at, begin = distinct(texts)
-        own = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        own = np.fromiter(map(self.__getitem__, found.to_pylist()), np.int64, len(found))
         self.score_new()
         rows = self.rows[own][at].astype(np.float64)
         return np.add.reduceat(np.vstack([rows, np.zeros((1, rows.shape[1]))]), begin[:-1]) if len(texts) else rows

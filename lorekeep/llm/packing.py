@@ -14,11 +14,13 @@ a run of bins), and Spark joins the pieces to it by their rank within their leng
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zlib
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,35 +31,56 @@ from . import caches, scratch
 from .words import distinct, portions
 
 CACHED_WORDS = 500_000
+#: Latin letters that no normalisation but lower case changes, and a last run of marks.
+STEM = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
 
 
-class _Words(dict):
-    """Ids of a blank-separated word as little-endian 32-bit bytes; the tokenizer splits at every blank, so a text's ids are those of its words."""
+class _Words:
+    """Ids of blank-separated words as little-endian 32-bit bytes; the tokenizer splits at every blank, so a text's ids are those of its words.
+
+    A word of Latin letters and a last run of marks is the stem's ids and those of the marks: stems are encoded many at a time, as one text, and told apart by the ids that end
+    a word.  All other words are encoded one by one.
+    """
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
-        self.model = tokenizer.model
-        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the byte-level alphabet: printable bytes stand for themselves
-        others = [b for b in range(256) if b not in set(kept)]
-        self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        stem = word[:-1] if word[-1:] in (".", ",") else word
-        low = stem.lower()
-        if stem and low.isalpha() and max(stem) < "ɐ":  # composed Latin letters only: no rule of the tokenizer but the merges applies
-            spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-            ids = [x.id for x in self.model.tokenize(spelt)]
-            if stem != word:
-                ids += self.tokenizer.encode(word[-1], add_special_tokens=False).ids
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
-        return out
+        self.known: dict[str, bytes] = {}
+        known = tokenizer.get_vocab()
+        self.ends = np.zeros(max(known.values()) + 1, bool)
+        self.ends[[i for t, i in known.items() if t.endswith("</w>")]] = True
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, stems: list[str]) -> None:
+        """Stems of lower-case letters become known."""
+        for lo in range(0, len(stems), 256):
+            some = stems[lo : lo + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some) and last[-1] == len(ids):
+                data, cut = ids.tobytes(), [0, *(4 * last).tolist()]
+                self.known.update(zip(some, (data[a:b] for a, b in itertools.pairwise(cut)), strict=True))
+            else:  # another tokenizer, whose words end otherwise
+                self.known.update((w, self.one(w)) for w in some)
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words."""
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        parts = pc.extract_regex(words, STEM)
+        plain = parts.is_valid()
+        coded = pc.utf8_lower(parts.filter(plain).field("stem")).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        self.learn([w for w in own if w not in self.known])
+        marks = parts.filter(plain).field("mark").dictionary_encode()
+        mark = pa.array([self.one(m) for m in marks.dictionary.to_pylist()], pa.large_binary())
+        found = pa.array([self.known[w] for w in own], pa.large_binary()).take(coded.indices)
+        found = pc.binary_join_element_wise(found, mark.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        rest = pa.array([self.one(w) for w in words.filter(pc.invert(plain)).to_pylist()], pa.large_binary())
+        at = np.cumsum(plain.to_numpy(zero_copy_only=False)) - 1
+        others = np.arange(len(words)) - at - 1 + len(found)
+        return pa.concat_arrays([found, rest]).take(pa.array(np.where(plain.to_numpy(zero_copy_only=False), at, others)))
 
 
 def words_of(path: str) -> _Words:
@@ -70,7 +93,7 @@ def words_of(path: str) -> _Words:
 def token_bytes(texts: pa.Array, words: _Words) -> tuple[memoryview, np.ndarray]:
     """The ids of all texts one after another as little-endian 32-bit numbers, and the byte at which each text begins."""
     found, at, begin = distinct(texts)
-    ids = pa.array([words[w] for w in found], pa.large_binary()).take(pa.array(at))
+    ids = words.ids(found).take(pa.array(at))
     ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
     return memoryview(ids.buffers()[2] or b""), ends[begin]
 

@@ -23,7 +23,7 @@ def portions(texts: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def distinct(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words, the number of each text's words among them one after another, and where each text begins.
 
     A text is cut at every blank and line end, so words may be empty.  Null counts as empty.
@@ -31,4 +31,4 @@ def distinct(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     whole = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
     lists = pc.split_pattern(whole, " ")
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
+    return coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy()
