@@ -31,20 +31,38 @@ def bm25_topk(read):
     """Each benchmark passage as a query; its ten best documents."""
     docs = read("documents")
     asked = read("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    return S.bm25(S.postings(docs, "doc_id", {"text": 1.0}), S.corpus_stats(docs, ["text"]), asked, 10).select("query_id", "id", "score", "rank")
+    return S.bm25(S.postings(docs, "doc_id", {"text": 1.0}, asked), S.corpus_stats(docs, ["text"]), asked, 10).select("query_id", "id", "score", "rank")
+
+
+LINE_SQL = "(CASE WHEN trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = '' THEN '' ELSE ' ' || trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END)"
+
+
+def lexical_sql(table: str, key: str, weighted: dict[str, float], phrases: list[str]) -> str:
+    """BM25 of one query over weighted columns, as (id, score)."""
+    names = [f"l{i}" for i in range(len(weighted))]
+    count = lambda n, p: f"(length({n}) - length(replace({n}, '{p}', ''))) / {len(p)}.0::DOUBLE"
+    lines = ", ".join(f"{LINE_SQL.format(c)} AS {n}" for c, n in zip(weighted, names, strict=True))
+    f = ", ".join(" + ".join(f"{w} * {count(n, p)}" for n, w in zip(names, weighted.values(), strict=True)) + f" AS f{i}" for i, p in enumerate(phrases))
+    has = ", ".join("(" + " + ".join(count(n, p) for n in names) + f") > 0 AS h{i}" for i, p in enumerate(phrases))
+    score = " + ".join(f"greatest(ln((n_docs - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / avg_length))" for i in range(len(phrases)))
+    return f"""(WITH ln AS (SELECT {key} AS id, {lines} FROM {table}), r AS (SELECT id, {f}, {has}, {" + ".join(count(n, " ") for n in names)} AS length FROM ln),
+      st AS (SELECT count(*) AS n_docs, avg(length) AS avg_length, {", ".join(f"count(*) FILTER (h{i}) AS d{i}" for i in range(len(phrases)))} FROM r)
+      SELECT id, round({score}, 6) AS score FROM r, st WHERE {" OR ".join(f"h{i}" for i in range(len(phrases)))})"""
+
+
+PHRASES = T.search_phrases(QUERY, TERMS)
+BEST_SQL = f"SELECT id, score FROM {lexical_sql('documents', 'doc_id', {'text': 1.0}, PHRASES)} ORDER BY score DESC, id LIMIT 30"
 
 
 def _bm25(read, k):
-    docs = read("documents")
-    asked = docs.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.explode(F.array(*[F.lit(t) for t in TERMS])).alias("term"))
-    return S.bm25(S.postings(docs, "doc_id", {"text": 1.0}), S.corpus_stats(docs, ["text"]), asked, k).select("id", "score", "rank")
+    hits = S.lexical(read("documents"), "doc_id", {"text": 1.0}, PHRASES)
+    return S.ranked(hits.orderBy(F.desc("score"), "id").limit(k))
 
 
 def _titled(read):
     return read("documents").select("doc_id", T.first_line(F.col("text")).alias("title"), "text")
 
 
-_VALUES = ", ".join(f"('{t}')" for t in TERMS)
 _HIT = " OR ".join(f"contains(w, '{t}')" for t in [QUERY.lower(), *TERMS])
 _SCORE = " + ".join([f"(CASE WHEN contains(tl, '{QUERY.lower()}') THEN 12.0 ELSE 0.0 END)", f"(CASE WHEN contains(cl, '{QUERY.lower()}') THEN 6.0 ELSE 0.0 END)", *(f"(CASE WHEN contains(tl, '{t}') THEN 4.0 ELSE 0.0 END) + (CASE WHEN contains(cl, '{t}') THEN 1.0 ELSE 0.0 END)" for t in TERMS)])
 SUBSTRING_SQL = f"""
@@ -74,8 +92,7 @@ def semantic_topk(read):
 
 
 RRF_SQL = f"""
-q AS (SELECT 0 AS query_id, term FROM (VALUES {_VALUES}) v(term)), {BM25_SQL},
-l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 30),
+l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({BEST_SQL})),
 u AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({SUBSTRING_SQL})),
 v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({SEMANTIC_SQL})),
 a AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS r, 'bm25' AS m FROM l UNION ALL SELECT id, 1.0::DOUBLE / (60 + rank), 'substring' FROM u UNION ALL SELECT id, 1.0::DOUBLE / (60 + rank), 'semantic' FROM v),
@@ -97,7 +114,15 @@ def feedback_rerank(read):
     return S.rerank(hybrid_rrf(read), told, 20).select("id", F.coalesce("kind", F.lit("none")).alias("kind"), "score")
 
 
-@query()
+FOUND = [f"nullif(instr(lower(text), '{t}'), 0)" for t in TERMS]
+SNIPPET_SQL = f"CASE WHEN least({', '.join(FOUND)}) IS NOT NULL THEN substr(text, greatest(least({', '.join(FOUND)}) - 50, 1), 220) WHEN length(text) > 220 THEN substr(text, 1, 220) || '…' ELSE text END"
+
+
+@query(f"""
+WITH {RRF_SQL}, k AS ({FEEDBACK_SQL}),
+x AS (SELECT f.id, coalesce(kind, 'none') AS kind, round(rrf * CASE kind WHEN 'useful' THEN 1.15 WHEN 'incorrect' THEN 0.3 WHEN 'needs_detail' THEN 0.85 ELSE 1.0 END, 9) AS score FROM f LEFT JOIN k ON k.doc_id = f.id),
+y AS (SELECT * FROM x ORDER BY score DESC, id LIMIT 20)
+SELECT id, score, kind, substr(string_split(text, chr(10))[1], 1, 80) AS title, {SNIPPET_SQL} AS snippet FROM y LEFT JOIN documents ON doc_id = id""")
 def hybrid_search(read):
     """The flagship: re-ranked hybrid hits with their snippets."""
     rows = feedback_rerank(read).join(_titled(read), F.col("id") == F.col("doc_id"), "left")
@@ -156,3 +181,82 @@ def rag_evidence(read):
         return F.struct(F.when(fits, s.used + x.c).otherwise(s.used).alias("used"), F.when(fits, F.concat(s.kept, F.array(x))).otherwise(s.kept).alias("kept"), fits.alias("open"))
 
     return listed.select(F.explode(F.aggregate("x", begin, step).kept).alias("k")).select("k.id", "k.c")
+
+
+KNOWLEDGE = {"title": 4.0, "source": 2.0, "text": 1.0, "lang": 1.0}
+TITLED_SQL = "(SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 80) AS title, source, text, lang FROM documents)"
+SESSION = {"role": 1.0, "text": 1.0}
+SESSIONS_SQL = "(SELECT conv_id, turn, role, text, conv_id * 100000 + turn AS id FROM conversations)"
+SOUGHT = "thonre MIT license src1.x"
+SOUGHT_TERMS = T.analyse(SOUGHT)
+SOUGHT_PHRASES = T.search_phrases(SOUGHT, SOUGHT_TERMS)
+EXCLUDED_SQL = "SELECT doc_id FROM labels WHERE toxic = 1"
+KNOWLEDGE_SQL = f"SELECT id, score FROM {lexical_sql(TITLED_SQL, 'doc_id', KNOWLEDGE, SOUGHT_PHRASES)} WHERE id NOT IN ({EXCLUDED_SQL}) AND id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
+
+
+def _knowledge(read):
+    """Documents with title and fields, and whether they may be found: of the asked language, not excluded."""
+    gone = read("labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("gone"))
+    return read("documents").select("doc_id", T.first_line(F.col("text")).alias("title"), "source", "text", "lang").join(gone, "doc_id", "left")
+
+
+def _shown():
+    return F.col("gone").isNull() & (F.col("lang") == "en")
+
+
+@query(f"SELECT id, score FROM ({KNOWLEDGE_SQL})")
+def lexical_knowledge(read):
+    """Weighted BM25 over four columns of the knowledge corpus, with a filter and exclusions that bear on no frequency."""
+    return S.lexical(_knowledge(read), "doc_id", KNOWLEDGE, SOUGHT_PHRASES, _shown())
+
+
+@query(f"SELECT id, score FROM {lexical_sql(SESSIONS_SQL, 'id', SESSION, SOUGHT_PHRASES)}")
+def lexical_sessions(read):
+    """BM25 over the session corpus with equal weights."""
+    turns = read("conversations").withColumn("id", F.col("conv_id") * 100000 + F.col("turn"))
+    return S.lexical(turns, "id", SESSION, SOUGHT_PHRASES)
+
+
+def _score_sql(query: str, terms: list[str], fields: dict[str, str]) -> str:
+    weights = {"title": (12.0, 4.0), "secondary": (8.0, 2.0), "content": (6.0, 1.0), "metadata": (5.0, 1.0)}
+    parts = [f"CASE WHEN contains(lower({c}), '{n}') THEN {g} ELSE 0.0 END" for f, c in fields.items() for n, g in [(query.lower(), weights[f][0]), *((t, weights[f][1]) for t in terms)]]
+    return "CAST(greatest(" + " + ".join(parts) + ", 0.001) AS DOUBLE)"
+
+
+WINDOW_SQL = f"substr(text, greatest(instr(lower(text), '{SOUGHT.lower()}') - 50, 1), 240)"
+CHANNEL_SQL = f"""SELECT doc_id AS id, title, {_score_sql(SOUGHT, SOUGHT_TERMS, {'title': 'title', 'secondary': 'source', 'content': WINDOW_SQL, 'metadata': 'lang'})} AS score FROM {TITLED_SQL}
+WHERE lang = 'en' AND doc_id NOT IN ({EXCLUDED_SQL}) AND ({" OR ".join(f"contains(lower(title || ' ' || source || ' ' || text || ' ' || lang), '{n}')" for n in [SOUGHT.lower(), *SOUGHT_TERMS])})"""
+
+
+@query(f"""
+WITH a AS ({KNOWLEDGE_SQL}), r AS (SELECT true OR count(*) < 30 AS run FROM a),
+c AS (SELECT a.id, t.title, a.score FROM a JOIN {TITLED_SQL} t ON t.doc_id = a.id UNION ALL SELECT b.* FROM ({CHANNEL_SQL}) b, r WHERE run)
+SELECT id, title, score FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, title) = 1 ORDER BY score DESC, title, id LIMIT 30""")
+def lexical_merged(read):
+    """Both channels of a query with technical characters on one scale, each document once."""
+    docs = _knowledge(read)
+    hits = S.lexical(docs, "doc_id", KNOWLEDGE, SOUGHT_PHRASES, _shown())
+    found = hits.join(docs.select(F.col("doc_id").alias("id"), "title"), "id").select(F.lit("documents").alias("corpus"), "id", "title", "score")
+    more = S.substrings(docs, SOUGHT, SOUGHT_TERMS, "doc_id", {"title": "title", "secondary": "source", "content": "text", "metadata": "lang"}, _shown())
+    more = more.crossJoin(F.broadcast(S.needs_substrings(SOUGHT, hits, 30))).filter("run").select(F.lit("documents").alias("corpus"), "id", "title", "score")  # one row
+    return S.merged_candidates([found, more], 30).select("id", "title", "score")
+
+
+@query(f"""
+SELECT page_id AS id, {_score_sql('example.com', T.analyse('example.com'), {'title': 'host', 'metadata': 'path'})} AS score FROM (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages) WHERE contains(lower(host || ' ' || path), 'example.com')""")
+def metadata_fallback(read):
+    """Recall from metadata alone, where there is no index of contents."""
+    pages = read("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"))
+    return S.substrings(pages, "example.com", T.analyse("example.com"), "page_id", {"title": "host", "metadata": "path"}).select("id", "score")
+
+
+@query(f"""
+WITH a AS (SELECT id FROM ({BEST_SQL})), b AS (SELECT id FROM ({SEMANTIC_SQL}))
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'hybrid' WHEN b.id IS NOT NULL THEN 'vector' ELSE 'fts' END AS match_type FROM a FULL JOIN b ON a.id = b.id""")
+def match_types(read):
+    """By which list a hit was found, in the older names."""
+    a = _bm25(read, 30).select("id", F.lit(True).alias("a"))
+    b = semantic_topk(read).select("id", F.lit(True).alias("b"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return a.join(b, "id", "full").select("id", S.match_type(yes("a"), yes("b")).alias("match_type"))
