@@ -66,12 +66,14 @@ def conflict(local: Column, synced: Column, remote: Column) -> Column:
 
 
 def file_change(size: Column, mtime: Column, digest: Column, parser: Column, old_size: Column, old_mtime: Column, old_digest: Column, old_parser: Column) -> Column:
+    """new, modified, truncated or unchanged: another parser reads a file again, equal size and time or an equal digest don't."""
     return (
         F.when(old_size.isNull(), "new")
+        .when(~parser.eqNullSafe(old_parser), "modified")
         .when(size < old_size, "truncated")
-        .when((parser != old_parser) | (digest != old_digest), "modified")
-        .when((size == old_size) & (mtime == old_mtime), "unchanged")
-        .otherwise("unchanged")
+        .when((size == old_size) & mtime.eqNullSafe(old_mtime), "unchanged")
+        .when(F.coalesce(digest == old_digest, F.lit(False)), "unchanged")
+        .otherwise("modified")
     )
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import shipping
 from ..functions import text as T
+from ..operators import chunks as K
 from ..operators import relational as R
 from .base import query
 
@@ -106,21 +107,73 @@ def citation_audit(read):
     return read("documents").select("doc_id", F.size(found).cast("long").alias("n_citations"), F.size(F.filter(found, lambda x: x.try_cast("bigint").between(1, 5))).cast("long").alias("n_valid"))
 
 
-@query()
+SHOWN_SQL = "'**' || CASE role WHEN 'user' THEN '用户' WHEN 'assistant' THEN '助手' WHEN 'tool' THEN '工具' END || '**: ' || text"
+
+
+def _chunks_sql(tokens: int, most: int) -> str:
+    return f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, length({SHOWN_SQL}) AS c FROM conversations WHERE role IN ('user', 'assistant', 'tool') AND text <> ''),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CAST(greatest(ceil(c / 3.5), 1) AS BIGINT) AS k FROM t),
+f AS (SELECT conv_id, turn, i, 0::BIGINT AS chunk, CASE WHEN k > {tokens} THEN 0 ELSE k END AS used, CASE WHEN k > {tokens} THEN 0 ELSE 1 END AS n, CASE WHEN k > {tokens} THEN CAST(ceil(c / {int(tokens * 3.5)}.0) AS BIGINT) ELSE 0 END AS pieces FROM m WHERE i = 1
+  UNION ALL SELECT m.conv_id, m.turn, m.i,
+    CASE WHEN f.pieces > 0 THEN f.chunk + f.pieces WHEN m.k > {tokens} THEN f.chunk + CASE WHEN f.n > 0 THEN 1 ELSE 0 END WHEN f.n > 0 AND (f.used + m.k > {tokens} OR f.n >= {most}) THEN f.chunk + 1 ELSE f.chunk END,
+    CASE WHEN m.k > {tokens} THEN 0 WHEN f.pieces > 0 OR (f.n > 0 AND (f.used + m.k > {tokens} OR f.n >= {most})) THEN m.k ELSE f.used + m.k END,
+    CASE WHEN m.k > {tokens} THEN 0 WHEN f.pieces > 0 OR (f.n > 0 AND (f.used + m.k > {tokens} OR f.n >= {most})) THEN 1 ELSE f.n + 1 END,
+    CASE WHEN m.k > {tokens} THEN CAST(ceil(m.c / {int(tokens * 3.5)}.0) AS BIGINT) ELSE 0 END
+  FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1)
+SELECT conv_id, turn, chunk + p AS chunk, p AS piece FROM (SELECT *, unnest(range(greatest(pieces, 1))) AS p FROM f)"""
+
+
+def _packed(read, **limits):
+    shown = K.rendered(F.col("role"), F.col("text"))
+    rows = read("conversations").select("conv_id", "turn", F.length(shown).alias("c")).filter("c is not null")
+    return K.greedy_chunks(rows, "conv_id", "turn", "c", **limits)
+
+
+@query(_chunks_sql(12_000, 80))
 def greedy_chunks(read):
-    """Messages packed in order into chunks of at most 1000 estimated tokens or 80 messages; a fold over one session at a time."""
+    """Rendered messages packed in order into chunks of at most 12 000 estimated tokens or 80 messages."""
+    return _packed(read)
+
+
+@query(_chunks_sql(120, 6))
+def small_chunks(read):
+    """The same for a model of a small context, where most messages are cut."""
+    return _packed(read, tokens=120, most=6)
+
+
+@query("SELECT doc_id, sha256(text) AS joined_sha, true AS all_fit FROM documents WHERE text IS NOT NULL")
+def loss_free_split(read):
+    """Documents split into parts of at most 1000 characters, put together again."""
+    docs = read("documents")
+    shipping.ship(docs.sparkSession)
+    cut = docs.filter("text is not null").select("doc_id", K.loss_free_split(F.col("text"), 1000).alias("v"))
+    return cut.select("doc_id", F.sha2(F.array_join("v", ""), 256).alias("joined_sha"), F.forall("v", lambda x: F.length(x) <= 1000).alias("all_fit"))
+
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk, used, n, out = 0, 0, 0, []
-        for t in rows.sort_values("turn")["tokens"]:
-            if n and (used + t > 1000 or n >= 80):
-                chunk, used, n = chunk + 1, 0, 0
-            used, n = used + t, n + 1
-            out.append(chunk)
-        return rows.sort_values("turn").assign(chunk=out)[["conv_id", "turn", "chunk"]]
+CANON_SQL = "lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')"
 
-    rows = read("conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("tokens"))
-    return rows.groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, chunk long")
+
+@query(f"SELECT page_id, {CANON_SQL} AS canonical FROM pages")
+def canonical_urls(read):
+    return read("pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, lower(substr(text, 1, 60)) AS a, lower(substr(text, 31, 60)) AS b FROM documents),
+g AS (SELECT doc_id, CASE WHEN length(a) > 1 THEN list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) ELSE [] END AS x, CASE WHEN length(b) > 1 THEN list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) ELSE [] END AS y FROM t)
+SELECT doc_id, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0)::DOUBLE, 0), 6) AS similarity FROM g""")
+def bigram_similarity(read):
+    """Overlap of the character bigrams of two places of a text."""
+    docs = read("documents").select("doc_id", F.lower(F.substring("text", 1, 60)).alias("a"), F.lower(F.substring("text", 31, 60)).alias("b"))
+    return docs.select("doc_id", F.round(T.bigram_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 40) || chr(10) || '...[中间内容已截断]...' || chr(10) || right(text, 20) ELSE text END AS middle,
+       CASE WHEN length(trim(text)) > 30 THEN substr(trim(text), 1, 30) || '…' ELSE trim(text) END AS preview FROM documents""")
+def truncated_texts(read):
+    return read("documents").select("doc_id", T.truncate_middle(F.col("text"), 40, 20).alias("middle"), T.safe_preview(F.col("text"), 30).alias("preview"))
 
 
 @query("""
@@ -136,15 +189,6 @@ def context_budget(read):
     return rows.select("conv_id", F.size("kept").cast("long").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda s, x: s + x.c).alias("n_chars"))
 
 
-@query("""
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)
-SELECT lang, source, count(*) AS n_items, min(doc_id) AS first_id, max(n_chars) AS most, sha256(string_agg(DISTINCT substr(text, 1, 40), '|' ORDER BY substr(text, 1, 40))) AS heads_sha FROM p GROUP BY lang, source""")
-def extraction_merge(read):
-    """Items of one (category, project) merged: the first item's scalars, the distinct list entries, the maxima."""
-    rows = read("documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_items"), F.min("doc_id").alias("first_id"), F.max("n_chars").alias("most"), F.collect_set(F.substring("text", 1, 40)).alias("heads"))
-    return rows.select("lang", "source", "n_items", "first_id", "most", F.sha2(F.array_join(F.array_sort("heads"), "|"), 256).alias("heads_sha"))
-
-
 @query("""
 SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role <> 'system') WHERE n <= 4""")
 def recent_history(read):
