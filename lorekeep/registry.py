@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import documents, knowledge, rollups, searches, texts  # noqa: F401  they register their queries
+from .plans import documents, knowledge, rollups, searches, texts, transcripts  # noqa: F401  they register their queries
 from .plans.base import QUERIES, SQL  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT = "type string, uuid string, sessionId string, cwd string, timestamp string, message struct<role: string, model: string, usage: struct<input_tokens: bigint, output_tokens: bigint>, content: string>"
+EVENT = "type string, uuid string, sessionId string, cwd string, timestamp string, message struct<role: string, model: string, usage: struct<input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>, content: string>"
 BLOCKS = "array<struct<type: string, text: string, thinking: string, name: string, content: string>>"
 #: Role aliases.
 ROLES = {"human": "user", "gemini": "assistant", "model": "assistant"}
@@ -18,11 +18,16 @@ def role(name: Column) -> Column:
     return F.when(out.isin("user", "assistant", "system", "tool"), out).otherwise("unknown")
 
 
+def _input(usage: Column) -> Column:
+    """Raw input tokens with those read from and written to the cache; null without a usage."""
+    return F.when(usage.isNotNull(), sum((F.coalesce(usage[c], F.lit(0)) for c in ("cache_read_input_tokens", "cache_creation_input_tokens")), F.coalesce(usage["input_tokens"], F.lit(0))))
+
+
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """One row per message event: path, line, session_id, id, role, model, ts, text, input_tokens, output_tokens.
 
     content is a string or an array of blocks, whose texts are joined.  Lines that are not
-    JSON objects are left out (see `quality`); an event without an id is named by its line.
+    JSON objects are left out (see `quality` and `whole`); an event without an id is named by its line.
     Files may be split between tasks, so line is an order within a file, not a count.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), "value")
@@ -32,14 +37,21 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return e.select(
         "path", "line", F.col("e.sessionId").alias("session_id"), F.coalesce("e.uuid", F.concat(F.lit("line-"), F.col("line").cast("string"))).alias("id"),
         role(F.coalesce("e.message.role", "e.type")).alias("role"), F.col("e.message.model").alias("model"), F.try_to_timestamp("e.timestamp").alias("ts"), text.alias("text"),
-        F.col("e.message.usage.input_tokens").alias("input_tokens"), F.col("e.message.usage.output_tokens").alias("output_tokens"),
+        _input(F.col("e.message.usage")).alias("input_tokens"), F.col("e.message.usage.output_tokens").alias("output_tokens"),
     )
 
 
 def quality(spark: SparkSession, path: str) -> DataFrame:
-    """(path, lines, malformed) of each file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").isNull().alias("bad"), (F.trim("value") == "").alias("blank"))
-    return lines.filter("not blank").groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("malformed"))
+    """(path, lines, malformed, partial_tail) of each file; partial_tail: the last line is malformed, as while it is being written."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta.file_path.alias("path"), F.struct(meta.file_block_start, F.monotonically_increasing_id()).alias("at"), F.try_parse_json("value").isNull().alias("bad"), (F.trim("value") == "").alias("blank"))
+    return lines.filter("not blank").groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("malformed"), F.max_by("bad", "at").alias("partial_tail"))
+
+
+def whole(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of files without a malformed line before the last, by their `quality`: others fail as a whole."""
+    broken = told.filter(F.col("malformed") > F.col("partial_tail").cast("int")).select("path")
+    return rows.join(broken, "path", "left_anti")
 
 
 def sessions(rows: DataFrame) -> DataFrame:
