@@ -6,12 +6,36 @@ all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import exact_dedup, jaccard, language, mixing, packing, scratch
 
 
+_tables: set[str] = set()
+
+
+def _stage(function):
+    """A stage that begins by dropping the intermediate tables of the stages before it.
+
+    Their results are written by then; tables that docs itself still reads stay.
+    """
+
+    @functools.wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _tables.difference_update(scratch.drop_unread(spark, _tables, docs))
+        before = scratch.names(spark)
+        out = function(spark, docs, sf_dir)
+        _tables.update(scratch.names(spark) - before)
+        return out
+
+    return stage
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those of no language in particular (best probability under 0.4).
 
@@ -23,8 +47,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs, written once with a number for each row: stages decide by row, as ids may be null or repeat."""
-    return scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "rows")
+    """(row, doc): docs with a number for each row, by which stages decide, as ids may be null or repeat.
+
+    That is the id where no two rows share one and none is null; else a hash of a row's file and
+    place in it; where that is not known, or two rows ever share it, docs is written once with
+    numbers.
+    """
+    doc = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    numbers = [F.xxhash64("_metadata.file_path", "_metadata.row_index")]
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
+        numbers.insert(0, docs["doc_id"].cast("long"))
+    for number in numbers:
+        try:
+            named = docs.select(number.alias("row"), doc)
+            seen = named.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("different")).first()
+            if seen.n == seen.different:
+                return named
+        except AnalysisException:  # no rows of files
+            pass
+    return scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), doc), "rows")
 
 
 def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -32,6 +73,7 @@ def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(scratch.table(kept.select("row"), "kept"), "row", "left_semi").select("doc.*")
 
 
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts one stays: the longest original, then the smallest id (null last), then the first row.
 
@@ -42,8 +84,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _only(rows, exact_dedup.exact_duplicates(named, id_col="name").filter("kept").select("name.row"))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by a Jaccard similarity of 0.8 or more on 5-word shingles the first stays.
+    """Of rows linked by a Jaccard similarity of 0.8 or more on 5-word shingles the smallest id stays; where ids are null or repeat, one row.
 
     Texts without a word are linked with nothing and stay.
     """
@@ -51,11 +94,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(rows, jaccard.similar_components(rows.select("row", F.col("doc.text").alias("text")), k=5, num=4, den=5, id_col="row").filter("component_id = row"))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes rows by the sources' target weights; one taken twice is two rows.  Texts without a word are not taken."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mixture into sequences of at most 4096 tokens; a null text is its end id alone."""
     return packing.pack(docs, packing.default_tokenizer(), balance=True)

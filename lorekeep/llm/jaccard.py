@@ -34,6 +34,8 @@ from .shingles import hashed_sets, mix
 
 BITS, SLICE = 24, 1 << 16
 BANDS, ROWS = 8, 3
+#: Entries of a list that meet in one task.
+BLOCK = 1024
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -303,10 +305,13 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = rows.filter("payload is null").drop("part", "slice", "payload")
     sets = scratch.table(rows.filter("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
 
-    # one leader for each min-hash bucket
+    # one leader for each min-hash bucket: the set that meets the most others in its buckets, as copies lie around their original
     keyed = sets.select("node", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("z")).filter("x < z").select("key", "x")
-    near = keyed.join(leaders, "key").filter("node > x").select("x", F.col("node").alias("y")).distinct()
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    keyed = scratch.table(keyed.join(shared, "key"), "keyed")
+    fame = keyed.groupBy("node").agg(F.sum("met").alias("fame"))
+    leaders = keyed.join(fame, "node").groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("leader"))
+    near = keyed.join(leaders, "key").filter("node <> leader").select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
     first = linked(texts, near, k, num, den)
     known = components(first.select("x", "y"))
 
@@ -314,8 +319,12 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     named = sets.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
     listed = scratch.table(lists(texts, heavy, boundary, k, num, den).join(named.hint("merge"), "node"), "lists")
     light, dark = entries_of(listed)
-    mixed = dark.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    pairs = _pairs(light, num, den).union(_heavy_pairs(dark.join(mixed, "key", "left_semi"), num, den)).distinct()
+    mixed = scratch.table(dark.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("long")).filter("low < high").select("key", "long"), "mixed")
+    some, many = (dark.join(mixed.filter(f"long {which} {BLOCK}").select("key"), "key", "left_semi") for which in ("<=", ">"))
+    pairs = _pairs(light.union(some), num, den)
+    if not mixed.filter(f"long > {BLOCK}").isEmpty():
+        pairs = pairs.union(_heavy_pairs(many, num, den))
+    pairs = pairs.distinct()
     second = linked(texts, pairs, k, num, den)
     final = components(first.select("x", "y").union(second.select("x", "y")))
     scratch.drop(listed)
@@ -340,8 +349,8 @@ def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.alias("x").join(entries.alias("y"), on).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
 
-def _heavy_pairs(entries: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
-    """The same of heavy lists.
+def _heavy_pairs(entries: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """The same of long heavy lists.
 
     A list is cut into classes of sizes so wide that partners are of one class or of neighbours,
     and only these meet; a class of many entries is cut into blocks, each one task's work.

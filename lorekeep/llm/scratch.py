@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,6 +40,22 @@ def drop(df: DataFrame) -> None:
         known.remove(path)
 
 
+def names(spark: SparkSession) -> set[str]:
+    """The paths of this application's tables."""
+    return set(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_unread(spark: SparkSession, paths: set[str], by: DataFrame) -> set[str]:
+    """Delete those of the tables that `by` does not read; the paths that were deleted."""
+    read = {m[1] for f in by.inputFiles() if (m := re.search(r"/lorekeep/([0-9a-f]{32}-[^/]+)/", f))}
+    known = _written.get(spark.sparkContext.applicationId, [])
+    gone = {p for p in paths if p.split("/")[-1] not in read}
+    for path in gone & set(known):
+        _delete(spark, path)
+        known.remove(path)
+    return gone
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete every table of this application; only when no DataFrame that reads them is still to run."""
     for path in _written.pop(spark.sparkContext.applicationId, []):

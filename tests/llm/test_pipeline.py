@@ -48,6 +48,15 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
+def test_rows_of_files_are_not_copied(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/d")
+    stored = spark.read.parquet(f"{tmp_path}/d")
+    before = pipeline.scratch.names(spark)
+    rows = pipeline._keyed(stored)
+    assert pipeline.scratch.names(spark) == before and rows.select("row").distinct().count() == len(ROWS)
+    assert texts(pipeline.exact_copies(spark, stored, "")) == texts(pipeline.exact_copies(spark, docs, ""))
+
+
 def test_near_stage(spark, docs):
     table = docs.filter("doc_id is null or doc_id <> 44")
     out = pipeline.near_copies(spark, table, "")
