@@ -94,7 +94,7 @@ ACCENTS = "".join(_ACCENTED), "".join(_ACCENTED.values())
 
 def folded(text: Column) -> Column:
     """Lower case without accents."""
-    return F.lower(F.translate(text, *ACCENTS))
+    return F.lower(F.when(text.rlike("[\u00c0-\u024f]"), F.translate(text, *ACCENTS)).otherwise(text))
 
 
 def words(text: Column) -> Column:
@@ -105,7 +105,7 @@ def words(text: Column) -> Column:
 def token_line(text: Column) -> Column:
     """The folded tokens of a text, each after a blank."""
     line = F.trim(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+", " "))
-    return F.when(line == "", "").otherwise(F.concat(F.lit(" "), line))
+    return F.transform(F.array(line), lambda x: F.when(x == "", "").otherwise(F.concat(F.lit(" "), x)))[0]
 
 
 def title_key(title: Column) -> Column:

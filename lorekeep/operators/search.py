@@ -53,13 +53,17 @@ def lexical(docs: DataFrame, id_col: str, weighted: dict[str, float], phrases: l
     they are counted in its token lines in one scan.  Frequencies and lengths are those of all
     documents; `visible` filters what is returned.
     """
-    lines = docs.select(F.col(id_col).alias("id"), (F.lit(True) if visible is None else visible).alias("visible"), *[token_line(F.col(c)).alias(f"l{i}") for i, c in enumerate(weighted)])
-    count = lambda line, p: (F.length(line) - F.length(F.replace(F.col(line), F.lit(p), F.lit("")))) / float(len(p))
-    names = [f"l{i}" for i in range(len(weighted))]
-    f = [sum((w * count(n, p) for n, w in zip(names, weighted.values(), strict=True)), F.lit(0.0)) for p in phrases]
-    any_of = [sum((count(n, p) for n in names), F.lit(0.0)) > 0 for p in phrases]
-    length = sum((count(n, " ") for n in names), F.lit(0.0))
-    rows = lines.select("id", "visible", F.array(*f).alias("f"), F.array(*any_of).alias("has"), length.alias("length"))
+    count = lambda line, p: (F.length(line) - F.length(F.replace(line, F.lit(p), F.lit("")))) / float(len(p))
+
+    def counted(lines: Column) -> Column:
+        own = [lines[f"l{i}"] for i in range(len(weighted))]
+        f = [sum((w * count(n, p) for n, w in zip(own, weighted.values(), strict=True)), F.lit(0.0)) for p in phrases]
+        has = [sum((count(n, p) for n in own), F.lit(0.0)) > 0 for p in phrases]
+        return F.struct(F.array(*f).alias("f"), F.array(*has).alias("has"), sum((count(n, " ") for n in own), F.lit(0.0)).alias("length"))
+
+    # one expression, so that no rule of the optimizer cuts a text once for each phrase
+    lines = F.struct(*[token_line(F.col(c)).alias(f"l{i}") for i, c in enumerate(weighted)])
+    rows = docs.select(F.col(id_col).alias("id"), (F.lit(True) if visible is None else visible).alias("visible"), F.transform(F.array(lines), counted)[0].alias("r")).select("id", "visible", "r.*")
     stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"), F.array(*[F.count_if(F.col("has")[i]) for i in range(len(phrases))]).alias("df"))
     idf = F.transform("df", lambda n: F.greatest(F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(1e-6)))
     weighed = F.broadcast(stats.select("avg_length", idf.alias("idf")))  # one row
