@@ -189,6 +189,20 @@ def context_budget(read):
     return rows.select("conv_id", F.size("kept").cast("long").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda s, x: s + x.c).alias("n_chars"))
 
 
+@query("""
+WITH c AS (SELECT lang, source, sha256(text) AS h FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT lang, source, n_items, first_id, most, n_contents, contents_sum FROM (SELECT lang, source, count(*) AS n_items, min(doc_id) AS first_id, max(n_chars) AS most FROM documents GROUP BY 1, 2)
+JOIN (SELECT lang, source, count(*) AS n_contents, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS contents_sum FROM c GROUP BY 1, 2) USING (lang, source)""")
+def extraction_merge(read):
+    """Items of one (category, project) merged: the first item, the maxima, and a digest of the distinct whole contents that needs no order."""
+    docs = read("documents")
+    first = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_items"), F.min("doc_id").alias("first_id"), F.max("n_chars").alias("most"))
+    once = docs.filter("text is not null").select("lang", "source", F.sha2("text", 256).alias("h")).distinct()
+    number = F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(20,0)")
+    contents = once.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_contents"), F.sum(number).cast("string").alias("contents_sum"))
+    return first.join(contents, ["lang", "source"])
+
+
 @query("""
 SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role <> 'system') WHERE n <= 4""")
 def recent_history(read):
