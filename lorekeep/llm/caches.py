@@ -19,6 +19,13 @@ def only(key: Any, make: Callable[[], Any] = object) -> Any:
     return _held[key]
 
 
+def also(key: Any, make: Callable[[], Any]) -> Any:
+    """A small thing kept under this key beside what else is kept, made if it isn't there."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def clear() -> None:
     """At the end of a task: an idle worker keeps nothing, and freed memory goes back to the system."""
     _held.clear()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, jaccard, knn, language, licenses, mixing, packing, quality, secrets, threads
+from . import collocations, exact_dedup, jaccard, knn, language, licenses, mixing, packing, quality, repeats, runs, secrets, threads
 
 QUERIES: dict[str, Callable] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,6 +17,9 @@ QUERIES: dict[str, Callable] = {
     "op8_quotation_linking": threads.op8_quotation_linking,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_substring_dedup": repeats.op13_substring_dedup,
 }
 
-SQL: dict[str, str] = {"op5_exact_top_k": knn.OP5_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
+SQL: dict[str, str] = {"op5_exact_top_k": knn.OP5_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op12_collocations": collocations.OP12_SQL, "op13_substring_dedup": repeats.OP13_SQL}

@@ -29,14 +29,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power["up"][:n], _power["down"][:n]
 
 
+def word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that stand in a buffer of bytes."""
+    up, down = _powers(len(buffer))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[buffer] * up, dtype=np.uint64)])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64), 1)
+
+
+class Stretches:
+    """64-bit hashes of any stretches of a line of word hashes; each salt gives hashes of its own."""
+
+    def __init__(self, words: np.ndarray, salt: int):
+        up, self.down = _powers(max(1, len(words)))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words, 100 + salt) * up[: len(words)], dtype=np.uint64)])
+        self.salt = salt
+
+    def of(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return mix((self.sums[after] - self.sums[first]) * self.down[first] + (after - first).astype(np.uint64), 200 + self.salt)
+
+
 def _joined(texts: list[bytes], k: int) -> list[np.ndarray]:
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    up, down = _powers(len(buffer))
     space = _SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[buffer] * up, dtype=np.uint64)])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64), 1)
+    words = word_hashes(buffer, starts, ends)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
     first = np.searchsorted(starts, begin)
     n = len(words)
