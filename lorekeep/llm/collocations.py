@@ -8,8 +8,8 @@ phrase's id is the least place (block, number in it) where it stands.  The two h
 are its parents; along them a phrase finds the counts of its beginnings and ends, for every cut,
 and a phrase sees the longer ones that contain it.
 
-What is shuffled are the distinct pairs of a block with their counts, and the blocks' lines of
-numbers in compressed form, never single places of words.
+What is shuffled are the distinct words and pairs of a block with their counts, and the blocks'
+lines of numbers, pairs and lines in packed form; never single places of words.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import shipping
 from . import caches, scratch, words
+from .shingles import mix
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 12 << 20
@@ -37,17 +38,19 @@ _KIND[[32, 9]] = 1
 _KIND[[*b".,;:!?", *range(10, 14)]] = 2
 
 _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("code", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("line", pa.binary())])
-_PAIR_SCHEMA = pa.schema([("block", pa.int64()), ("code", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("line", pa.binary())])
 
 
-def _packed(line: np.ndarray) -> bytes:
-    raw = line.astype("<i4").tobytes()
-    return len(line).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte by byte of their numbers, compressed."""
+    n = len(columns[0])
+    raw = np.ascontiguousarray(np.concatenate(columns).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return n.to_bytes(8, "little") + len(columns).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _line(packed: bytes) -> np.ndarray:
-    n = int.from_bytes(packed[:8], "little")
-    return np.frombuffer(pa.decompress(packed[8:], 4 * n, codec="zstd", asbytes=True), "<i4").astype(np.int64)
+def _unpacked(packed: bytes) -> np.ndarray:
+    n, k = int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:16], "little")
+    raw = pa.decompress(packed[16:], 8 * n * k, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(k, n)
 
 
 def block_of(number: int, langs: pa.Array, texts: pa.Array) -> pa.Table:
@@ -113,28 +116,64 @@ def named(rows: DataFrame, key: list[str], min_count: int, name: str) -> DataFra
     return scratch.table(told.filter(F.col("f") >= min_count).select("block", "code", *key, "own", "f", "id"), name)
 
 
-def pairs(lines: DataFrame, names: DataFrame, last: bool) -> DataFrame:
-    """Rows (block, code, left, right, n) of the blocks' distinct pairs of neighbouring frequent phrases and, but for the last level, rows (block, line)."""
+def pairs(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """A row (block, line, pairs, ids) for each block: its distinct pairs of neighbouring frequent phrases, and the line of their numbers.
+
+    pairs holds the pairs' parents, as steps between sorted numbers, and counts; ids the parents' ids.
+    """
 
     def go(line: pa.Table, known: pa.Table) -> pa.Table:
-        number = line.column("block")[0].as_py()
-        held = _line(line.column("line")[0].as_py())
+        held = _unpacked(line.column("line")[0].as_py())[0]
         ids = np.full(max(1, int(held.max(initial=-1)) + 1), -1, np.int64)
         ids[known.column("code").to_numpy()] = known.column("id").to_numpy()
         frequent = (held >= 0) & (ids[held] >= 0)
         at = np.flatnonzero(frequent[:-1] & frequent[1:])
         distinct, inverse, n = np.unique(held[at] * len(ids) + held[at + 1], return_inverse=True, return_counts=True)
-        m = len(distinct)
-        columns = [np.full(m, number), np.arange(m), ids[distinct // len(ids)], ids[distinct % len(ids)], n]
-        out = [pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.nulls(m, pa.binary())], schema=_PAIR_SCHEMA)]
-        if not last:
-            new = np.full(len(held), -1, np.int64)
-            new[at] = inverse
-            out.append(pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.nulls(1, f.type) for f in list(_PAIR_SCHEMA)[1:5]), pa.array([_packed(new)])], schema=_PAIR_SCHEMA))
-        return pa.Table.from_batches(out)
+        new = np.full(len(held), -1, np.int64)
+        new[at] = inverse
+        return pa.table({"block": line.column("block").slice(0, 1), "line": [_packed(new)], "pairs": [_packed(np.diff(distinct, prepend=0), n)], "ids": [_packed(ids)]})
 
     both = lines.filter("line is not null").select("block", "line").groupBy("block").cogroup(names.select("block", "code", "id").groupBy("block"))
-    return both.applyInArrow(go, "block long, code long, left long, right long, n long, line binary")
+    return both.applyInArrow(go, "block long, line binary, pairs binary, ids binary")
+
+
+def frequent_pairs(made: DataFrame, slices: int, min_count: int) -> DataFrame:
+    """Rows (block, code, left, right, own, f, id) of the blocks' pairs that are frequent over all blocks.
+
+    Pairs are dealt by a hash to `slices` slices, packed by block, and a slice adds up its own: a
+    block has one entry for a pair, however often it stands there.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
+                steps, n = _unpacked(held.as_py())
+                ids = _unpacked(ids.as_py())[0]
+                key = np.cumsum(steps)
+                left, right = ids[key // len(ids)], ids[key % len(ids)]
+                to = (mix(left.view(np.uint64), 31) ^ mix(right.view(np.uint64), 32)) % np.uint64(slices)
+                by = np.argsort(to, kind="stable")
+                cuts = np.flatnonzero(np.diff(to[by], prepend=np.uint64(slices)))
+                parts = np.split(by, cuts[1:])[: len(cuts)]
+                rows = [_packed(left[p], right[p], np.diff(p, prepend=0), n[p]) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(to[by][cuts].astype(np.int64)), pa.array([block.as_py()] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["slice", "block", "packed"])
+        caches.clear()
+
+    def add(held: pa.Table) -> pa.Table:
+        parts = [_unpacked(x.as_py()) for x in held.column("packed")]
+        left, right, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
+        own = np.concatenate([(b.as_py() << 31) + np.cumsum(p[2]) for b, p in zip(held.column("block"), parts, strict=True)])
+        by = np.lexsort((own, right, left))
+        left, right, own, n = left[by], right[by], own[by], n[by]
+        head = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        f, size = np.add.reduceat(n, head), np.diff(np.concatenate([head, [len(n)]]))
+        f, id_ = np.repeat(f, size), np.repeat(own[head], size)
+        good = f >= min_count
+        columns = {"block": own >> 31, "code": own & ((1 << 31) - 1), "left": left, "right": right, "own": own, "f": f, "id": id_}
+        return pa.table({name: pa.array(x[good], pa.int64()) for name, x in columns.items()})
+
+    dealt = made.select("block", "pairs", "ids").mapInArrow(deal, "slice long, block long, packed binary")
+    return dealt.groupBy("slice").applyInArrow(add, "block long, code long, left long, right long, own long, f long, id long")
 
 
 def levels(docs: DataFrame, max_words: int, min_count: int) -> tuple[list[DataFrame], DataFrame]:
@@ -144,22 +183,29 @@ def levels(docs: DataFrame, max_words: int, min_count: int) -> tuple[list[DataFr
     heads and tails: the counts of its first and of its last 1, 2, ... words.
     """
     rows = scratch.table(blocks(docs), "blocks")
-    total = rows.filter("line is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    total = scratch.table(rows.filter("line is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    places = total.agg(F.sum("n")).first()[0] or 0
+    slices = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), places >> 20)
     names = named(rows, ["lang", "word"], min_count, "names")
     none = F.array().cast("array<bigint>")
-    found = [names.filter("id = own").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("heads"), none.alias("tails"))]
+    words_ = names.filter("id = own").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), none.alias("heads"), none.alias("tails"))
+    found = [scratch.table(words_, "phrases")]
     for k in range(2, max_words + 1):
-        made = pairs(rows, names, k == max_words)
+        made = pairs(rows, names)
         if k < max_words:
-            rows = scratch.table(made, "pairs")
-            names = named(rows, ["left", "right"], min_count, "names")
-            own = names.filter("id = own").select("id", "left", "right", "f")
+            new = scratch.table(made, "pairs")
+            scratch.drop(rows)
+            scratch.drop(names)
+            rows, names = new, scratch.table(frequent_pairs(new, slices, min_count), "names")
+            own = names
         else:
-            own = made.groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count).select(F.lit(None).cast("long").alias("id"), "left", "right", "f")
+            own = frequent_pairs(made, slices, min_count)
         x = found[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), F.array_append("heads", F.col("f")).alias("heads"))
         y = found[-1].select(F.col("id").alias("right"), "last", F.array_append("tails", F.col("f")).alias("tails"))
-        whole = own.join(x, "left").join(y, "right").select("id", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f", "left", "right", "heads", "tails")
+        whole = own.filter("id = own").select("id", "left", "right", "f").join(x, "left").join(y, "right").select("id", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f", "left", "right", "heads", "tails")
         found.append(scratch.table(whole, "phrases"))
+    scratch.drop(rows)
+    scratch.drop(names)
     return found, total
 
 
