@@ -234,8 +234,11 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, most:
     l, r = "heads[j - 1]", "tails[size(heads) - j]"  # noqa: E741
     cuts = f"transform(sequence(1, size(heads)), j -> struct(cast(1000000 as decimal(7,0)) * ({d('f')} * {d('f')}) div ({d(l)} * {d(r)}) as score, j as k, {l} as l, {r} as r))"
     scored = kept.withColumn("cut", F.array_min(F.expr(cuts))).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    # a language's best are among the best of its 64 parts, so that no task sees more of it than 64 times `most` rows
+    parted = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    best = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    some = parted.withColumn("nth", best("lang", "part")).filter(F.col("nth") <= most)
+    top = some.withColumn("rank", best("lang")).filter(F.col("rank") <= most)
     return top.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
