@@ -99,15 +99,18 @@ def bunches(queries: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _blocks(widths: list, pivots: int) -> list[list[tuple[int, int, float]]]:
-    """All widths as blocks of (width, number of pivots, scale) whose pivots fit PIVOT_NUMBERS; pivots grow with the root of a width's rows."""
+def _blocks(widths: list, pivots: int) -> list[list[tuple[int, int, float, float]]]:
+    """All widths as blocks of (width, number of pivots, scale, share) whose pivots fit PIVOT_NUMBERS; pivots grow with the root of a width's rows.
+
+    share is the part of a width's rows among which its pivots are sought: some four times as many as wanted.
+    """
     out, held = [[]], 0
     for r in sorted(widths):
         n = max(1, min(pivots, math.ceil(math.sqrt(r.n)), PIVOT_NUMBERS // r.w))
         if held and held + n * r.w > PIVOT_NUMBERS:
             out.append([])
             held = 0
-        out[-1].append((r.w, n, 2.0 ** -math.frexp(r.most)[1]))
+        out[-1].append((r.w, n, 2.0 ** -math.frexp(r.most)[1], min(1.0, (4 * n + 64) / r.n)))
         held += n * r.w
     return out
 
@@ -135,18 +138,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 512, r
     return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _asked(rows: DataFrame, block: list[tuple[int, int, float]], k: int, rings: int, tile_rows: int, tile_queries: int) -> tuple[DataFrame, DataFrame]:
+def candidates(own: DataFrame) -> DataFrame:
+    """(w, h, v): the rows of own(w, id, v, share) of the least hashes h, about `share` of each width but one at least, repeated rows once."""
+    hashed = own.select("w", "v", "share", F.xxhash64("id", "v", F.lit(5)).alias("h"))
+    some = hashed.filter(F.shiftrightunsigned("h", 11) < F.col("share") * float(1 << 53)).groupBy("w", "h").agg(F.first("v").alias("v"))
+    least = hashed.groupBy("w").agg(F.min(F.struct("h", "v")).alias("x")).select("w", "x.h", "x.v")
+    return some.select("w", "h", "v").union(least).distinct()
+
+
+def _asked(rows: DataFrame, block: list[tuple[int, int, float, float]], k: int, rings: int, tile_rows: int, tile_queries: int) -> tuple[DataFrame, DataFrame]:
     """The queries as sent, (tile, bunch, row, id, v), and the data as sent, of the same columns."""
     spark = rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
-    wanted = F.broadcast(spark.createDataFrame([(w, n) for w, n, _ in block], "w int, pivots int"))  # within PIVOT_NUMBERS
+    wanted = F.broadcast(spark.createDataFrame([(w, share) for w, _, _, share in block], "w int, share double"))  # within PIVOT_NUMBERS
     own = rows.join(wanted, "w")
-    first = Window.partitionBy("w").orderBy("h", "v")
-    chosen = own.select("w", "v", "pivots", F.xxhash64("id", "v", F.lit(5)).alias("h")).withColumn("nth", F.row_number().over(first)).filter("nth <= pivots").select("w", "v").collect()  # PIVOT_NUMBERS at most
+    chosen = candidates(own).collect()  # some 4 * PIVOT_NUMBERS
     points, base, at = {}, {}, 0
-    scale = {w: s for w, _, s in block}
-    for w, _, s in block:
-        points[w] = _chained(np.unique(np.array([r.v for r in chosen if r.w == w], float) * s, axis=0))
+    scale = {w: s for w, _, s, _ in block}
+    for w, n, s, _ in block:
+        least = sorted((r.h, tuple(r.v)) for r in chosen if r.w == w)[:n]
+        points[w] = _chained(np.unique(np.array([v for _, v in least], float) * s, axis=0))
         base[w], at = at, at + len(points[w])
     given = spark.sparkContext.broadcast((points, base, scale))
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
+_owner: ContextVar[set[str] | None] = ContextVar("owner", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +32,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lorekeep/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (owner := _owner.get()) is not None:
+        owner.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,20 +46,32 @@ def drop(df: DataFrame) -> None:
         known.remove(path)
 
 
-def names(spark: SparkSession) -> set[str]:
-    """The paths of this application's tables."""
-    return set(_written.get(spark.sparkContext.applicationId, []))
+@contextmanager
+def owned() -> Iterator[set[str]]:
+    """The paths of the tables that this thread writes within the block; an outer block doesn't get them."""
+    paths: set[str] = set()
+    token = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(token)
 
 
-def drop_unread(spark: SparkSession, paths: set[str], by: DataFrame) -> set[str]:
-    """Delete those of the tables that `by` does not read; the paths that were deleted."""
+def hand_over(paths: set[str]) -> None:
+    """Give tables to the block around, if there is one."""
+    if (owner := _owner.get()) is not None:
+        owner |= paths
+
+
+def drop_unread(spark: SparkSession, paths: set[str], by: DataFrame) -> None:
+    """Delete those of the tables that `by` does not read, and take them out of paths."""
     read = {m[1] for f in by.inputFiles() if (m := re.search(r"/lorekeep/([0-9a-f]{32}-[^/]+)/", f))}
     known = _written.get(spark.sparkContext.applicationId, [])
     gone = {p for p in paths if p.split("/")[-1] not in read}
     for path in gone & set(known):
         _delete(spark, path)
         known.remove(path)
-    return gone
+    paths -= gone
 
 
 def drop_all(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import exact_dedup, jaccard, knn, language, licenses, mixing, packing, quality, secrets, shingles, spans, threads
 
@@ -306,6 +307,16 @@ def test_top_k_prunes_clusters(spark):
     assert asked_top_k(spark, rows, tile_rows=50) == brute_top_k(rows)
 
 
+def test_pivots_need_no_window_over_the_table(spark):
+    rows = spark.range(20_000).select(F.lit(2).alias("w"), F.pmod("id", F.lit(9000)).alias("id"), F.array(F.col("id") % 90 * 1.0, F.lit(1.0)).alias("v"), F.lit(0.05).alias("share"))
+    rows = rows.union(rows.filter("id = 7").withColumn("v", F.array(F.lit(3.0), F.lit(1.0))).join(spark.range(5000).select(F.lit(1).alias("x"))).drop("x"))
+    got = knn.candidates(rows)
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan and 500 < got.count() < 1500
+    one = knn.candidates(rows.filter("id = 7").withColumn("share", F.lit(0.0)))
+    assert one.count() == 1  # one at least
+
+
 def test_secrets_and_owners(spark):
     shared = "QWERTY0123456789qwertyZXCVB"
     rows = [(i, f"see {shared} here", f"s{i}") for i in range(4)] + [(10, "x OWN9x7K5z2L4q8abRdTfHhWw0 y", "s1"), (11, TEXTS[8], None), (12, None, "s1"), (12, TEXTS[9], "s1")]
