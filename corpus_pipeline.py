@@ -15,21 +15,15 @@ from pyspark.sql import functions as F
 from lorekeep.llm import exact_dedup, jaccard, language, mixing, packing, scratch
 
 
-_tables: set[str] = set()
-
-
 def _stage(function):
-    """A stage that begins by dropping the intermediate tables of the stages before it.
-
-    Their results are written by then; tables that docs itself still reads stay.
-    """
+    """A stage that deletes those of the tables it wrote itself that its result does not read."""
 
     @functools.wraps(function)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _tables.difference_update(scratch.drop_unread(spark, _tables, docs))
-        before = scratch.names(spark)
-        out = function(spark, docs, sf_dir)
-        _tables.update(scratch.names(spark) - before)
+        with scratch.owned() as tables:
+            out = function(spark, docs, sf_dir)
+        scratch.drop_unread(spark, tables, out)
+        scratch.hand_over(tables)
         return out
 
     return stage
@@ -119,7 +113,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus.  Each run has tables of its own and deletes those that its later stages no longer read; results of other runs stay whole."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch.owned() as tables:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+            scratch.drop_unread(spark, tables, docs)
+        out = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop_unread(spark, tables, out)
+    return out
