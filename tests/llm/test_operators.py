@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,7 +303,7 @@ def test_top_k_prunes_clusters(spark):
     centres = rng.normal(size=(20, 16))
     rows = [(i, [float(x) for x in centres[i % 20] + 0.02 * rng.normal(size=16)]) for i in range(2000)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select(knn.F.col("vec_id").alias("id"), knn.quantised(knn.F.col("embedding")).alias("v"), (knn.F.col("vec_id") % 50 == 0).alias("q"), knn.F.lit(16).alias("w"))
-    asked, data = knn._asked(table, [(16, 200, 2.0**-12)], 5, 4, 50, 4096)
+    asked, data = knn._asked(table, [(16, 200, 2.0**-12, 1.0)], 5, 4, 50, 4096)
     assert asked.count() < 40 * 40 / 4  # of 40 tiles or more, each of 40 queries is sent to fewer than a quarter
     assert asked_top_k(spark, rows, tile_rows=50) == brute_top_k(rows)
 
@@ -312,7 +313,7 @@ def test_pivots_need_no_window_over_the_table(spark):
     rows = rows.union(rows.filter("id = 7").withColumn("v", F.array(F.lit(3.0), F.lit(1.0))).join(spark.range(5000).select(F.lit(1).alias("x"))).drop("x"))
     got = knn.candidates(rows)
     plan = got._jdf.queryExecution().toString()
-    assert "Window" not in plan and 500 < got.count() < 1500
+    assert "Window" not in plan and 300 < got.count() < 700
     one = knn.candidates(rows.filter("id = 7").withColumn("share", F.lit(0.0)))
     assert one.count() == 1  # one at least
 
@@ -348,6 +349,7 @@ def test_secrets_count_repositories(spark):
 
 def _shortest(phrase):
     """A text that a phrase of the license rules matches: what may be left out is left out."""
+    phrase = re.sub(r"\(\?<![^()]*\)", "", phrase)
     while "(" in phrase:
         phrase = re.sub(r"\(([^()|]*)(\|[^()]*)?\)(\??)", lambda m: "" if m[3] else m[1], phrase, count=1)
     phrase = re.sub(r" \?|,\?|[a-z]\?", "", phrase).replace("\\d", "4")
@@ -355,10 +357,10 @@ def _shortest(phrase):
 
 
 def test_every_license_rule_fires_alone(spark):
-    shapes = [t for _, t, _ in licenses.PHRASINGS]
-    texts = [(label, t.format(name)) for label, (_, names) in licenses.NAMES.items() for name in names for t in [*shapes, *(["{}"] if any(b in label for b in licenses.BARE) else [])]]
+    whole = [(label, t, name) for label, (_, names) in licenses.NAMES.items() for name in names for _, t, _ in licenses.phrasings(label)]
+    texts = [(label, t.format(name)) for label, t, name in whole if "?<=" not in t]
     texts = [(label.removesuffix("-text"), _shortest(t)) for label, t in texts] + [(label, _shortest(t.replace("<some>", "some "))) for label, _, t in licenses.SIGNATURES]
-    assert len(texts) == len(licenses.rules()) and all(re.fullmatch(r"[a-z0-9 ]+", t) for _, t in texts)
+    assert len(texts) + sum("?<=" in t for _, t, _ in whole) == len(licenses.rules()) and all(re.fullmatch(r"[a-z0-9 ]+", t) for _, t in texts)
     rows = [(label, t.title().replace(" ", gap)) for label, t in texts for gap in (" ", "\n", "  ")]
     rows += [("gpl-3.0", "Released under the GPLv3"), ("apache-2.0", "Distributed under the terms of Apache 2.0"), ("mit", "released under Expat"), ("apache-2.0", "published under ASL 2.0")]
     out = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string").selectExpr("struct(doc_id, text) AS doc_id", "text")).collect()
@@ -367,7 +369,7 @@ def test_every_license_rule_fires_alone(spark):
 
 def _license_places(text):
     words = " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())) + " "
-    found = [(m.start() + 1, m.end() + 1, label, p) for p, label, _, _, rule, _ in licenses.rules() for m in re.finditer(rule, words)]
+    found = [(m.start() + 1, m.end() + 1, label, p) for p, label, _, _, rule, _ in licenses.rules() for m in regex.finditer(rule, words)]
     within = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[3] < x[3] or (y[3] == x[3] and y[1] - y[0] > x[1] - x[0]))
     return Counter(x for x in found if not any(within(x, y) for y in found))
 
@@ -377,7 +379,7 @@ def test_license_rules_report_all_places(spark):
     rng = np.random.default_rng(7)
     texts = ["Images are CC BY-SA 4.0, text is CC BY", "licensed under CC BY-SA 4.0 x licensed under CC BY"] + [". ".join(notices[int(i)] for i in rng.integers(len(notices), size=n)) for n in (2, 3, 5, 8, 13, 40)]
     out = {r.doc_id: r.found for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert all("cc-by-4.0" in {f.label for f in out[i]} for i in (0, 1))
+    assert [{f.label for f in out[i]} for i in (0, 1)] == [{"cc-by-sa-4.0", "cc-by"}] * 2
     assert all(Counter((f.start, f.end, f.label, f.priority) for f in out[i]) == _license_places(t) for i, t in enumerate(texts))
 
 
