@@ -5,36 +5,53 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import index as I  # noqa: E741
 from ..operators import search as S
-from .base import query
+from .base import query, shared_folder
 from .rollups import FEEDBACK_SQL, feedback
 
 QUERY = "erentha license under the thonre"
 TERMS = T.analyse(QUERY)
 
-WORDS_SQL = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+LINE_SQL = "(CASE WHEN trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = '' THEN '' ELSE ' ' || trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END)"
+TOKENS_SQL = "list_filter(string_split(" + LINE_SQL + ", ' '), lambda w: w <> '')"
 BM25_SQL = f"""
-t AS (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS term FROM documents WHERE text IS NOT NULL),
+d AS MATERIALIZED (SELECT doc_id AS id, {TOKENS_SQL.format('text')} AS ws FROM documents),
+t AS (SELECT id, unnest(ws) AS term FROM d),
 p AS (SELECT term, id, CAST(count(*) AS DOUBLE) AS f FROM t GROUP BY term, id),
-len AS (SELECT d.doc_id AS id, len({WORDS_SQL.format("coalesce(d.text, '')")}) AS length FROM documents d),
+len AS (SELECT id, len(ws) AS length FROM d),
 st AS (SELECT count(*) AS n_docs, avg(length) AS avg_length FROM len),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT q.query_id, p.id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score
   FROM q JOIN df USING (term) JOIN p USING (term) JOIN len ON len.id = p.id CROSS JOIN st GROUP BY q.query_id, p.id)"""
 
+_built: dict[tuple, str] = {}
+
+
+def indexed(read) -> str:
+    """The folder of the index of the documents' columns KNOWLEDGE, built when it is first asked for in an application."""
+    docs = read("documents")
+    key = docs.sparkSession.sparkContext.applicationId, *docs.inputFiles()
+    if key not in _built:
+        folder = shared_folder(docs.sparkSession, "index")
+        I.add(docs.select("doc_id", *[c.alias(n) for n, c in zip(KNOWLEDGE, (T.first_line(F.col("text")), F.col("source"), F.col("text"), F.col("lang")), strict=True)]), folder, "doc_id", list(KNOWLEDGE))
+        _built[key] = folder
+    return _built[key]
+
+
+KNOWLEDGE = {"title": 4.0, "source": 2.0, "text": 1.0, "lang": 1.0}
+COLUMN = {name: i for i, name in enumerate(KNOWLEDGE)}
+
 
 @query(f"""
-WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS_SQL.format('text')}) AS term FROM benchmark), {BM25_SQL},
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS_SQL.format('text')}) AS term FROM benchmark), {BM25_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def bm25_topk(read):
-    """Each benchmark passage as a query; its ten best documents."""
-    docs = read("documents")
-    asked = read("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    return S.bm25(S.postings(docs, "doc_id", {"text": 1.0}, asked), S.corpus_stats(docs, ["text"]), asked, 10).select("query_id", "id", "score", "rank")
-
-
-LINE_SQL = "(CASE WHEN trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = '' THEN '' ELSE ' ' || trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END)"
+    """Each benchmark passage as a query; its ten best documents, from the index."""
+    folder = indexed(read)
+    asked = read("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(I.tokens(F.col("text")))).alias("term"))
+    return I.top_terms(asked.sparkSession, folder, asked, COLUMN["text"], 10).select("query_id", "id", "score", "rank")
 
 
 def lexical_sql(table: str, key: str, weighted: dict[str, float], phrases: list[str]) -> str:
@@ -55,7 +72,7 @@ BEST_SQL = f"SELECT id, score FROM {lexical_sql('documents', 'doc_id', {'text':
 
 
 def _bm25(read, k):
-    hits = S.lexical(read("documents"), "doc_id", {"text": 1.0}, PHRASES)
+    hits = I.search(read("documents").sparkSession, indexed(read), PHRASES, {COLUMN["text"]: 1.0}, len(COLUMN))
     return S.ranked(hits.orderBy(F.desc("score"), "id").limit(k))
 
 
@@ -183,7 +200,6 @@ def rag_evidence(read):
     return listed.select(F.explode(F.aggregate("x", begin, step).kept).alias("k")).select("k.id", "k.c")
 
 
-KNOWLEDGE = {"title": 4.0, "source": 2.0, "text": 1.0, "lang": 1.0}
 TITLED_SQL = "(SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 80) AS title, source, text, lang FROM documents)"
 SESSION = {"role": 1.0, "text": 1.0}
 SESSIONS_SQL = "(SELECT conv_id, turn, role, text, conv_id * 100000 + turn AS id FROM conversations)"
@@ -204,10 +220,15 @@ def _shown():
     return F.col("gone").isNull() & (F.col("lang") == "en")
 
 
+def _visible_hits(read, shown):
+    hits = I.search(shown.sparkSession, indexed(read), SOUGHT_PHRASES, {COLUMN[c]: w for c, w in KNOWLEDGE.items()}, len(COLUMN))
+    return hits.join(shown.select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
 @query(f"SELECT id, score FROM ({KNOWLEDGE_SQL})")
 def lexical_knowledge(read):
     """Weighted BM25 over four columns of the knowledge corpus, with a filter and exclusions that bear on no frequency."""
-    return S.lexical(_knowledge(read), "doc_id", KNOWLEDGE, SOUGHT_PHRASES, _shown())
+    return _visible_hits(read, _knowledge(read).filter(_shown()))
 
 
 @query(f"SELECT id, score FROM {lexical_sql(SESSIONS_SQL, 'id', SESSION, SOUGHT_PHRASES)}")
@@ -235,7 +256,7 @@ SELECT id, title, score FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER
 def lexical_merged(read):
     """Both channels of a query with technical characters on one scale, each document once."""
     docs = _knowledge(read)
-    hits = S.lexical(docs, "doc_id", KNOWLEDGE, SOUGHT_PHRASES, _shown())
+    hits = _visible_hits(read, docs.filter(_shown()))
     found = hits.join(docs.select(F.col("doc_id").alias("id"), "title"), "id").select(F.lit("documents").alias("corpus"), "id", "title", "score")
     more = S.substrings(docs, SOUGHT, SOUGHT_TERMS, "doc_id", {"title": "title", "secondary": "source", "content": "text", "metadata": "lang"}, _shown())
     more = more.crossJoin(F.broadcast(S.needs_substrings(SOUGHT, hits, 30))).filter("run").select(F.lit("documents").alias("corpus"), "id", "title", "score")  # one row

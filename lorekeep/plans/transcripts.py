@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import jsonl, logs
-from .base import query
-
-
-def _folder(df: DataFrame) -> str:
-    """A new folder in the one that all executors share; a temporary one only on a local master that has none set."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-    return f"{base.rstrip('/')}/transcripts/{uuid.uuid4().hex}"
+from .base import query, shared_folder
 
 
 def _written(rows: DataFrame, line) -> str:
     """Lines of JSON, a folder for each conversation, in order of turns."""
-    path = _folder(rows)
+    path = shared_folder(rows.sparkSession, "transcripts")
     lines = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     lines.select("conv_id", F.to_json(line).alias("value")).write.partitionBy("conv_id").text(path)
     return path
@@ -68,7 +54,7 @@ def event_log(read):
     tokens = F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(F.struct(F.lit(1).alias("input_tokens"), F.length("text").alias("output_tokens")).alias("last_token_usage")).alias("info")).alias("payload"))
     start = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("conv_id").cast("string").alias("id")).alias("payload")))
     whole = F.concat_ws("\n", F.when(F.col("turn") == F.min("turn").over(_conv()), start), F.when(F.col("role") == "user", F.to_json(user)).when(F.col("role") == "assistant", F.concat(F.to_json(said), F.lit("\n"), F.to_json(tokens))).otherwise(F.to_json(error)))
-    path = _folder(turns)
+    path = shared_folder(turns.sparkSession, "transcripts")
     turns.select("conv_id", "turn", whole.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
     got = logs.event_log(turns.sparkSession, path)
     return _checked(got).join(got.select(F.col("session_id").cast("long").alias("conv_id"), F.col("ordinal").alias("n"), F.col("output_tokens")), ["conv_id", "n"])
@@ -85,7 +71,7 @@ def session_log(read):
     """One log of all sessions, told apart by the id on each line."""
     turns = _turns(read)
     line = F.struct(F.col("conv_id").cast("string").alias("sessionId"), F.struct("role", F.col("text").alias("content")).alias("message"))
-    path = _folder(turns)
+    path = shared_folder(turns.sparkSession, "transcripts")
     turns.repartitionByRange("conv_id").sortWithinPartitions("conv_id", "turn").select(F.to_json(line).alias("value")).write.text(path)
     return _checked(logs.many_sessions(turns.sparkSession, path))
 
@@ -118,7 +104,7 @@ def step_log(read):
     kind = F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("NOTE")
     source = F.when(F.col("role") == "user", "USER_EXPLICIT").when(F.col("role") == "assistant", "MODEL").otherwise("SYSTEM")
     line = F.to_json(F.struct(kind.alias("type"), source.alias("source"), F.col("turn").alias("step_index"), F.col("text").alias("content")))
-    path = _folder(turns)
+    path = shared_folder(turns.sparkSession, "transcripts")
     value = F.when(F.col("twice"), F.concat(line, F.lit("\n"), line)).otherwise(line)
     turns.select("conv_id", "turn", value.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
     got = logs.step_log(turns.sparkSession, path)
@@ -131,7 +117,7 @@ def patch_log(read):
     turns = _turns(read).filter("text <> ''")
     first = F.to_json(F.struct(F.lit(0).alias("kind"), F.struct(F.col("conv_id").cast("string").alias("sessionId")).alias("v")))
     push = F.to_json(F.struct(F.lit(2).alias("kind"), F.array(F.lit("requests")).alias("k"), F.array(F.struct(F.struct("text").alias("message"))).alias("v")))
-    path = _folder(turns)
+    path = shared_folder(turns.sparkSession, "transcripts")
     value = F.when(F.col("turn") == F.min("turn").over(_conv()), F.concat(first, F.lit("\n"), push)).otherwise(push)
     turns.select("conv_id", "turn", value.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
     return _checked(logs.patch_log(turns.sparkSession, path))
