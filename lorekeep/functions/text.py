@@ -26,10 +26,21 @@ REDACTIONS = (
 )
 
 
+#: Of each rule, in lower case, literals of which one stands in every text that it matches.
+_HINTS = (("bearer",), ("authorization",), ("sk-",), ("sk-",), ("aiza",), ("akia",), *[("key", "token", "secret", "password")] * 2, ("_key",))
+
+
 def redact(text: Column, custom: tuple[str, ...] = ()) -> Column:
     """Secrets replaced, rule by rule in order; custom patterns last."""
-    for pattern, instead in REDACTIONS:
-        text = F.regexp_replace(text, pattern, instead)
+    def rule(t: Column, pattern: str, instead: str, hints: tuple[str, ...]) -> Column:
+        low = F.lower(t)
+        may = F.contains(low, F.lit(hints[0]))
+        for h in hints[1:]:
+            may = may | F.contains(low, F.lit(h))
+        return F.when(may, F.regexp_replace(t, pattern, instead)).otherwise(t)
+
+    for (pattern, instead), hints in zip(REDACTIONS, _HINTS, strict=True):
+        text = F.transform(F.array(text), lambda t: rule(t, pattern, instead, hints))[0]  # noqa: B023
     for pattern in custom:
         text = F.regexp_replace(text, pattern, "[REDACTED_CUSTOM]")
     return text

@@ -56,8 +56,9 @@ def greedy_chunks(messages: DataFrame, session: str, order: str, chars: str, tok
                 out.append((s, o, chunk, 0))
             yield pd.DataFrame(out, columns=["s", "o", "chunk", "piece"])
 
-    rows = messages.select(F.col(session).cast("long").alias("s"), F.col(order).cast("long").alias("o"), F.col(chars).cast("long").alias("c"))
-    packed = rows.repartition("s").sortWithinPartitions("s", "o").mapInPandas(pack, "s long, o long, chunk long, piece long")
+    kind = messages.schema[session].dataType.simpleString()
+    rows = messages.select(F.col(session).alias("s"), F.col(order).cast("long").alias("o"), F.col(chars).cast("long").alias("c"))
+    packed = rows.repartition("s").sortWithinPartitions("s", "o").mapInPandas(pack, f"s {kind}, o long, chunk long, piece long")
     return packed.select(F.col("s").alias(session), F.col("o").alias(order), "chunk", "piece")
 
 

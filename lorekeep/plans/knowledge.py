@@ -239,9 +239,10 @@ SELECT source, array_to_string(list_filter(l, lambda x, i: list_position(l, x) =
 def ordered_union(read):
     """Two ordered lists joined, each entry where it first appears; 20 is the lists' length."""
     up, down = (Window.partitionBy("source").orderBy(o) for o in (F.asc("doc_id"), F.desc("doc_id")))
-    rows = read("documents").select("source", "lang", F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b"))
-    part = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col(n) <= 20, F.struct(n, "lang")))), lambda s: s.lang)
-    return rows.groupBy("source").agg(F.array_join(F.array_distinct(F.concat(part("a"), part("b"))), ",").alias("tags"))
+    docs = read("documents")
+    first, last = (docs.select("source", "lang", F.row_number().over(w).alias("n")).filter("n <= 20").select("source", "lang", F.lit(k).alias("k"), "n") for k, w in enumerate((up, down)))
+    part = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("n", "lang")))), lambda s: s.lang)
+    return first.unionByName(last).groupBy("source").agg(F.array_join(F.array_distinct(F.concat(part(0), part(1))), ",").alias("tags"))
 
 
 @query("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import index as I  # noqa: E741
 from ..operators import search as S
+from ..operators import semantic as V
 from .base import query, shared_folder
 from .rollups import FEEDBACK_SQL, feedback
 
@@ -146,30 +147,12 @@ def hybrid_search(read):
     return rows.select("id", "score", "kind", "title", S.snippet(F.col("text"), TERMS).alias("snippet"))
 
 
-def similar_pairs(vectors, threshold: float):
-    """(a, b, cosine) of equal label with cosine >= threshold.
-
-    Unit vectors that close lie within sqrt(2 - 2 t) of each other, so their first two
-    coordinates fall into neighbouring cells of a grid of that width: only neighbours meet.
-    """
-    width = (2 - 2 * threshold) ** 0.5 + 1e-9
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = vectors.filter(T.valid_vector(F.col("embedding"))).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") / norm).alias("v"))
-    cell = lambda i: F.floor(F.col("v")[i] / width)
-    rows = rows.select("*", cell(0).alias("g0"), cell(1).alias("g1"))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = rows.select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"), F.explode(near).alias("n"), "g0", "g1").select("a", "label", "va", (F.col("g0") + F.col("n.i")).alias("g0"), (F.col("g1") + F.col("n.j")).alias("g1"))
-    right = rows.select(F.col("vec_id").alias("b"), "label", F.col("v").alias("vb"), "g0", "g1")
-    dot = F.round(F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x), 6)
-    return left.join(right, ["label", "g0", "g1"]).filter("a < b").select("a", "b", "label", dot.alias("cosine")).filter(F.col("cosine") >= threshold)
-
-
 PAIRS_SQL = f"SELECT x.vec_id AS a, y.vec_id AS b, x.label, round({COS.format('x.embedding', 'y.embedding')}, 6) AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id"
 
 
 @query(f"SELECT * FROM ({PAIRS_SQL}) WHERE cosine >= 0.87")
 def dedup_candidates(read):
-    return similar_pairs(read("embeddings"), 0.87)
+    return V.similar_pairs(read("embeddings"), 0.87)
 
 
 @query(f"""
@@ -177,11 +160,37 @@ WITH p AS (SELECT * FROM ({PAIRS_SQL}) WHERE cosine >= 0.82), e AS (SELECT a AS
 SELECT item, candidate, cosine FROM e QUALIFY row_number() OVER (PARTITION BY item ORDER BY cosine DESC, candidate) <= 3""")
 def dedup_cross_capped(read):
     """The three closest candidates of each item; links only."""
-    p = similar_pairs(read("embeddings"), 0.82)
+    p = V.similar_pairs(read("embeddings"), 0.82)
     both = p.select(F.col("a").alias("item"), F.col("b").alias("candidate"), "cosine").unionByName(p.select(F.col("b").alias("item"), F.col("a").alias("candidate"), "cosine"))
     return S.top(both, ["item"], [F.desc("cosine"), F.asc("candidate")], 3).drop("rank")
 
 
+@query(f"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT label, a, b, row_number() OVER (PARTITION BY label ORDER BY a, b) AS n FROM ({PAIRS_SQL}) WHERE cosine >= 0.82 AND (a + b) % 3 <> 0),
+r AS (
+  SELECT DISTINCT label, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept, CAST([] AS BIGINT[]) AS removed FROM p
+  UNION ALL
+  SELECT r.label, p.n, CASE WHEN list_contains(removed, a) OR list_contains(removed, b) THEN kept ELSE list_append(kept, a) END,
+         CASE WHEN list_contains(removed, a) OR list_contains(removed, b) THEN removed ELSE list_append(removed, b) END
+  FROM r JOIN p ON p.label = r.label AND p.n = r.n + 1)
+SELECT label, unnest(kept) AS kept, unnest(removed) AS removed FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1)""")
+def semantic_merge(read):
+    """Near items of a label that a judge calls the same, merged in order."""
+    pairs = V.similar_pairs(read("embeddings"), 0.82)
+    return V.merge_in_order(pairs.filter(V.same(F.col("a"), F.col("b"))), "label")
+
+
+@query(f"""
+WITH p AS (SELECT * FROM ({PAIRS_SQL}) WHERE cosine >= 0.82), e AS (SELECT label, a AS item, b AS candidate, cosine FROM p UNION ALL SELECT label, b, a, cosine FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY cosine DESC, candidate) AS nth FROM e QUALIFY nth <= 3)
+SELECT label, item, candidate, cosine, row_number() OVER (PARTITION BY label ORDER BY item, nth) AS place FROM t QUALIFY place <= 24""")
+def semantic_relations(read):
+    """Each item's three closest candidates, 24 of a label in all."""
+    p = V.similar_pairs(read("embeddings"), 0.82)
+    both = p.select("label", F.col("a").alias("item"), F.col("b").alias("candidate"), "cosine").unionByName(p.select("label", F.col("b").alias("item"), F.col("a").alias("candidate"), "cosine"))
+    return V.capped_relations(both, "label")
+
+
 @query(f"""
 WITH h AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS n FROM ({SUBSTRING_SQL}) QUALIFY n <= 10),
 t AS (SELECT id, n, least(length(text), 1800) AS c FROM h JOIN documents ON doc_id = id)

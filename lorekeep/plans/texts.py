@@ -32,8 +32,8 @@ def meaningful_sessions(read):
 
 @query(f"SELECT doc_id, sha256({T.redact_sql('text')}) AS redacted_sha, {T.redact_sql('text')} <> text AS has_secrets FROM documents")
 def redact_documents(read):
-    clean = T.redact(F.col("text"))
-    return read("documents").select("doc_id", F.sha2(clean, 256).alias("redacted_sha"), (clean != F.col("text")).alias("has_secrets"))
+    each = F.transform(F.array(T.redact(F.col("text"))), lambda t: F.struct(F.sha2(t, 256).alias("redacted_sha"), (t != F.col("text")).alias("has_secrets")))[0]
+    return read("documents").select("doc_id", F.explode(F.array(each)).alias("r")).select("doc_id", "r.*")
 
 
 @query("""
