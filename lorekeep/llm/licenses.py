@@ -267,7 +267,7 @@ def compiled(phrase: str) -> str:
 
 def squeezed(text: Column) -> Column:
     """Lower-case words between single blanks, with a blank at either end."""
-    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), GAP, " ")), F.lit(" "))
 
 
 def _base(text: Column, phrase: str, k: int) -> Column:
@@ -322,8 +322,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     low = F.lower("t")
     base = F.when(F.contains(low, F.lit("license")), F.concat(*[_base(F.col("t"), p, k) for k, (p, _) in enumerate(BASE)])).otherwise(F.array().cast("array<struct<word:bigint,k:int>>"))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    rows = rows.select("id", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), base.alias("base"), F.when(F.greatest(*[F.contains(low, F.lit(w)) for w in keywords]), squeezed(F.col("t"))).alias("words"))
-    rows = rows.select("id", "n_words", "base", "words", F.filter(F.array(*[F.when(F.contains("words", F.lit(" " + w)), F.lit(w)) for w in keywords]), lambda w: w.isNotNull()).alias("keys"))
+    rows = rows.select("id", base.alias("base"), squeezed(F.col("t")).alias("words"))
+    n_words = F.when(F.col("words") == "  ", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) - 1).cast("long")
+    rows = rows.select("id", n_words.alias("n_words"), "base", "words", F.filter(F.array(*[F.when(F.contains("words", F.lit(" " + w)), F.lit(w)) for w in keywords]), lambda w: w.isNotNull()).alias("keys"))
     rows = rows.withColumn("words", F.when(F.size("keys") > 0, F.col("words")))
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "licenses")
     table = F.broadcast(spark.createDataFrame(every, "priority int, label string, keyword string, cue string, rule string, certainty double"))  # a fixed list
