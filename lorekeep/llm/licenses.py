@@ -270,6 +270,16 @@ def squeezed(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), GAP, " ")), F.lit(" "))
 
 
+def _keys(words: Column, keywords: list[str]) -> Column:
+    """Those of the keywords that stand at the start of a word, in one pass over the words."""
+    letters = sorted({k[0] for k in keywords})
+    longest = lambda c: "|".join(sorted((k[1:] for k in keywords if k[0] == c), key=lambda k: (-len(k), k)))
+    any_of = "|".join(f"{c}(?:{longest(c)})" for c in letters)
+    found = F.array_distinct(F.regexp_extract_all(words, F.lit(rf"(?<=\x20)(?:{any_of})"), F.lit(0)))
+    # a keyword that begins another one is found with it
+    return let(found, lambda own: F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.exists(own, lambda f: F.startswith(f, k))))
+
+
 def _base(text: Column, phrase: str, k: int) -> Column:
     """(word, k) of each place: the words of the phrase stand consecutively from that word on."""
     spelt = GAP.join("".join(f"[{c}{c.upper()}]" for c in w) for w in phrase.split())
@@ -324,7 +334,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
     rows = rows.select("id", base.alias("base"), squeezed(F.col("t")).alias("words"))
     n_words = F.when(F.col("words") == "  ", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) - 1).cast("long")
-    rows = rows.select("id", n_words.alias("n_words"), "base", "words", F.filter(F.array(*[F.when(F.contains("words", F.lit(" " + w)), F.lit(w)) for w in keywords]), lambda w: w.isNotNull()).alias("keys"))
+    rows = rows.select("id", n_words.alias("n_words"), "base", "words", _keys(F.col("words"), keywords).alias("keys"))
     rows = rows.withColumn("words", F.when(F.size("keys") > 0, F.col("words")))
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "licenses")
     table = F.broadcast(spark.createDataFrame(every, "priority int, label string, keyword string, cue string, rule string, certainty double"))  # a fixed list
