@@ -74,3 +74,9 @@ def test_merge_keeps_order_and_distinct(spark):
     rows = [("k", 2, "second", ["b", "a"], 5, "two"), ("k", 1, "first", ["a", "c"], 3, "one"), ("k", 3, "third", ["c", "d"], 4, "one")]
     out = K.merged(spark.createDataFrame(rows, "k string, pos int, title string, tags array<string>, score int, content string"), ["k"], ["pos"], ["title"], ["tags"], ["score"], "content").first()
     assert (out.title, out.tags, out.score, out.content, out.n_items) == ("first", ["a", "c", "b", "d"], 5, ["one", "two"], 3)
+
+
+def test_sessions_have_ids_of_any_type(spark):
+    rows = [("s-1", i, 40) for i in range(5)] + [("s-2", 0, 40)]
+    out = chunks.greedy_chunks(spark.createDataFrame(rows, "s string, o long, c long"), "s", "o", "c", most=2).collect()
+    assert sorted((r.s, r.o, r.chunk) for r in out) == [("s-1", 0, 0), ("s-1", 1, 0), ("s-1", 2, 1), ("s-1", 3, 1), ("s-1", 4, 2), ("s-2", 0, 0)]
