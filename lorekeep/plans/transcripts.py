@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import jsonl, logs
+from ..sources import jsonl, logs, wire
 from .base import query, shared_folder
 
 
@@ -121,3 +121,31 @@ def patch_log(read):
     value = F.when(F.col("turn") == F.min("turn").over(_conv()), F.concat(first, F.lit("\n"), push)).otherwise(push)
     turns.select("conv_id", "turn", value.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
     return _checked(logs.patch_log(turns.sparkSession, path))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(length(text), 0) AS l FROM conversations),
+h AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t BIGINT, u BOOLEAN)[]) AS kept FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN l % 13 = 5 THEN CAST([] AS STRUCT(t BIGINT, u BOOLEAN)[]) WHEN l % 11 = 4 THEN [{'t': -turn - 1, 'u': false}]
+    WHEN l % 5 = 3 THEN CASE WHEN len(users) >= 1 + l % 2 THEN more[1:users[len(users) - l % 2] - 1] ELSE more END ELSE more END AS kept
+  FROM (SELECT *, [k FOR k IN range(1, len(more) + 1) IF more[k].u] AS users
+    FROM (SELECT c.conv_id, c.i, c.l, c.turn, list_append(h.kept, {'t': CAST(c.turn AS BIGINT), 'u': c.role = 'user'}) AS more FROM h JOIN c ON c.conv_id = h.conv_id AND c.i = h.i + 1))),
+last AS (SELECT conv_id, arg_max(kept, i) AS kept FROM h GROUP BY conv_id),
+m AS (SELECT conv_id, unnest(kept).t AS t, generate_subscripts(kept, 1) - 1 AS n FROM last)
+SELECT m.conv_id, m.n, CASE WHEN m.t < 0 THEN 'user' ELSE c.role END AS role, sha256(CASE WHEN m.t < 0 THEN 'summary ' || (-m.t - 1) ELSE coalesce(c.text, '') END) AS text_sha FROM m LEFT JOIN c ON c.conv_id = m.conv_id AND c.turn = m.t""")
+def wire_log(read):
+    """Wire logs replayed: lengths of texts decide where one is followed by an undo of one or two prompts, a clear or a compaction that keeps none."""
+    turns = _turns(read)
+    c = F.coalesce(F.length("text"), F.lit(0))
+    append = F.struct(F.lit("context.append_message").alias("type"), F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", F.col("text").alias("content")).alias("message"))
+    clear = F.struct(F.lit("context.clear").alias("type"))
+    compact = F.struct(F.lit("context.apply_compaction").alias("type"), F.lit(0).alias("compactedCount"), F.lit(0).alias("keptUserMessageCount"), F.concat(F.lit("summary "), F.col("turn").cast("string")).alias("summary"))
+    undo = F.struct(F.lit("context.undo").alias("type"), (1 + c % 2).alias("count"))
+    then = F.when(c % 13 == 5, F.to_json(clear)).when(c % 11 == 4, F.to_json(compact)).when(c % 5 == 3, F.to_json(undo))
+    path = shared_folder(turns.sparkSession, "transcripts")
+    lines = turns.select("conv_id", "turn", F.concat_ws("\n", F.to_json(append), then).alias("value"))
+    lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
+    got = wire.wire_log(turns.sparkSession, path)
+    return _checked(got.withColumn("session_id", F.regexp_extract("path", r"conv_id=(\d+)/", 1)))

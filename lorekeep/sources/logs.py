@@ -166,6 +166,8 @@ def patched(state, event: dict):
     if kind == 0:
         return event["v"]
     path = event["k"]
+    if kind not in (1, 2, 3):
+        raise ValueError("a patch of an unknown kind")
     if not path:
         return event["v"] if kind == 1 else [*(state or [])[: event.get("i")], *event.get("v", [])]
     here, last = _place(state, path), path[-1]

@@ -35,6 +35,7 @@ def test_patch_log(spark, tmp_path):
         {"kind": 2, "k": ["requests", 0, "response"], "v": [{"value": "b"}, {"value": "c"}]}, {"kind": 2, "k": ["requests", 0, "response"], "i": 2}, {"kind": 3, "k": ["requests", 1]}, {"kind": 1, "k": ["requests", 1, "message", "text"], "v": "late"},
     )
     write(tmp_path / "bad.jsonl", {"kind": 1, "k": ["x"], "v": 1})
+    write(tmp_path / "unknown.jsonl", {"kind": 0, "v": {"sessionId": "u", "requests": [{"message": {"text": "x"}}]}}, {"kind": 7, "k": ["requests"], "v": []})
     got = [(r.session_id, r.ordinal, r.role, r.text) for r in logs.patch_log(spark, str(tmp_path)).orderBy("ordinal").collect()]
     assert got == [("p", 0, "user", "first"), ("p", 1, "assistant", "a\nb"), ("p", 2, "user", "late")]
 
