@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import shipping
 from ..functions import text as T
 from ..operators import chunks as K
+from ..operators import containment, log_lines
 from ..operators import relational as R
 from .base import query
 
@@ -209,3 +210,32 @@ def recent_history(read):
     """The last four turns of each session, for a prompt."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return read("conversations").filter("role <> 'system'").withColumn("n", F.row_number().over(w)).filter("n <= 4").select("conv_id", "turn", "text")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS p, coalesce(lang, '') || ':' || coalesce(source, '') AS key FROM documents),
+i AS (SELECT key, doc_id, p, content FROM l UNION ALL SELECT coalesce(lang, '') || ':' || coalesce(source, ''), doc_id, 1 + len(string_split(text, chr(10))), text FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY key ORDER BY doc_id, p) AS n FROM i)
+SELECT key, doc_id, p, sha256(content) AS content_sha FROM t a
+WHERE n = 1 OR (t <> '' AND NOT EXISTS (SELECT 1 FROM t b WHERE b.key = a.key AND b.n < a.n AND contains(b.t, a.t)))""")
+def contents_kept(read):
+    """What a merge of all lines and whole texts of a language and source keeps: contents that no earlier one contains."""
+    docs = read("documents").filter("text is not null").select("doc_id", "text", F.concat_ws(":", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("key"), F.split("text", "\n", -1).alias("l"))
+    parts = docs.select("key", "doc_id", F.posexplode(F.concat("l", F.array("text"))).alias("p", "content"))
+    kept = containment.uncontained(parts, ["key"], ["doc_id", "p"], "content")
+    return kept.select("key", "doc_id", (F.col("p") + 1).cast("long").alias("p"), F.sha2("content", 256).alias("content_sha"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
+m AS (SELECT *, regexp_matches(line, '^\S{1,12}$') AS f, regexp_matches(line, '\S') AS may FROM l WHERE i < n OR line <> ''),
+u AS (SELECT *, sum(f::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 0 AND NOT f AND may AS free FROM m),
+a AS (SELECT *, coalesce(free AND lag(free) OVER w AND line = lag(line) OVER w, false) AS again FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, sum((NOT again)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM a),
+k AS (SELECT doc_id, run, any_value(CASE WHEN NOT again THEN line || CASE WHEN i < n THEN chr(10) ELSE '' END END) AS line, count(*) - 1 AS repeats FROM r GROUP BY 1, 2),
+t AS (SELECT doc_id, sum(repeats + 1) AS n_lines, sum(repeats) AS n_folded, string_agg(line || CASE WHEN repeats > 0 THEN '[' || repeats || ']' || chr(10) ELSE '' END, '' ORDER BY run) AS c FROM k GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_folded, 0) AS BIGINT) AS n_folded, sha256(coalesce(c, '')) AS compacted_sha FROM documents LEFT JOIN t USING (doc_id)""")
+def folded_lines(read):
+    """Any repeated line of a text folded outside blocks, which single short words open and close."""
+    out = log_lines.compacted(read("documents"), "doc_id", "text", note=("[", "]\n"), repeatable=r"\S", fence=r"^\S{1,12}$")
+    return out.select("doc_id", "n_lines", "n_folded", F.sha2("compacted", 256).alias("compacted_sha"))
