@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,3 +243,23 @@ def discover(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | N
         except Exception as e:  # noqa: BLE001  whatever a source raises is its own failure
             failed[name] = str(e).splitlines()[0]
     return found, failed
+
+
+def imported(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], folder: str, at_once: int = 4) -> tuple[DataFrame | None, dict[str, str]]:
+    """Like `discover`, but each source is a job of its own, `at_once` at a time, and written to a new folder below folder/<name>: one that breaks while it is read leaves the others' rows."""
+
+    def one(name: str) -> tuple[str, str | None]:
+        new = f"{folder}/{name}/{uuid.uuid4().hex}"
+        try:
+            sources[name]().select(F.lit(name).alias("source"), *COLUMNS).write.parquet(new)
+        except Exception as e:  # noqa: BLE001  whatever a source raises is its own failure
+            return name, (str(e).splitlines() or [type(e).__name__])[0]
+        paths[name] = new
+        return name, None
+
+    paths: dict[str, str] = {}
+    with ThreadPoolExecutor(at_once) as pool:
+        ran = list(pool.map(inheritable_thread_target(spark)(one), sources))
+    failed = {name: why for name, why in ran if why is not None}
+    written = [paths[name] for name in sources if name in paths]
+    return (spark.read.parquet(*written) if written else None), failed
