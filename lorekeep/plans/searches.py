@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import blobs
 from ..functions import text as T
 from ..operators import index as I  # noqa: E741
 from ..operators import search as S
@@ -290,3 +291,15 @@ def match_types(read):
     b = semantic_topk(read).select("id", F.lit(True).alias("b"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     return a.join(b, "id", "full").select("id", S.match_type(yes("a"), yes("b")).alias("match_type"))
+
+
+@query("""
+SELECT vec_id, len(embedding) AS dims, CASE WHEN embedding IS NULL OR list_contains(list_transform(embedding, lambda x: x IS NULL), true) THEN 'missing' WHEN vec_id % 7 = 3 THEN 'odd' WHEN len(embedding) <> 64 THEN 'width' ELSE 'ok' END AS state,
+       CASE WHEN vec_id % 7 <> 3 THEN CAST(list_sum(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1048576) AS BIGINT))) AS BIGINT) END AS total
+FROM embeddings""")
+def vector_blobs(read):
+    """Vectors written as blobs, some with a byte too many, then audited and read back."""
+    rows = read("embeddings").select("vec_id", F.size("embedding").cast("long").alias("dims"), blobs.blob(F.col("embedding")).alias("b"))
+    rows = rows.withColumn("b", F.when(F.col("vec_id") % 7 == 3, F.concat("b", F.lit(b"\0"))).otherwise(F.col("b"))).withColumn("v", blobs.floats(F.col("b")))
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 1048576))
+    return rows.select("vec_id", "dims", blobs.blob_state(F.col("b"), F.lit(64)).alias("state"), total.alias("total"))
