@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import jsonl, logs, wire
+from ..sources import jsonl, logs, share, wire
 from .base import query, shared_folder
 
 
@@ -149,3 +149,29 @@ def wire_log(read):
     lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
     got = wire.wire_log(turns.sparkSession, path)
     return _checked(got.withColumn("session_id", F.regexp_extract("path", r"conv_id=(\d+)/", 1)))
+
+
+SHOWN_SQL = r"regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[ \t\r\f\v]*(?:citeturn|navlist|turn\d+\w*)[^,\s]*,?', '', 'g'), '(?m)[ \t\r\f\v]+$', '', 'g')"
+
+
+@query(f"""
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'legacy' ELSE 'table' END AS form, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, CASE WHEN role IN ('user', 'tool') THEN role ELSE 'assistant' END AS role, sha256(shown) AS text_sha
+FROM (SELECT *, {SHOWN_SQL} AS shown FROM conversations WHERE role <> 'system' AND text IS NOT NULL) WHERE shown <> ''""")
+def share_page(read):
+    """Pages of shared conversations, every third in the older form; in the others roles and texts stand at places of a flat table."""
+    turns = _turns(read)
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    literal = lambda x: F.coalesce(F.regexp_replace(F.to_json(F.array(x)), r"\A\[|\]\z", ""), F.lit("null"))
+
+    def data(role, text):
+        said = F.transform("ts", lambda t, i: F.concat(F.lit('{"id": "'), t.turn.cast("string"), F.lit('", "message": {"author": {"role": '), role(t, i), F.lit('}, "content": {"content_type": "text", "parts": ['), text(t, i), F.lit("]}}}")))
+        return F.concat(F.lit('{"conversation_id": "'), F.col("conv_id").cast("string"), F.lit('", "linear_conversation": ['), F.array_join(said, ","), F.lit("]}"))
+
+    place = lambda k: lambda t, i: (2 * i + 3 + k).cast("string")  # noqa: E731  roles and texts follow the first three values in turns
+    values = F.array_join(F.transform("ts", lambda t: F.concat(literal(t.role), F.lit(","), literal(t.text))), ",")
+    flat = F.concat(F.lit('[0,"loaderData",{"' + share.ROUTE + '": {"serverResponse": {"data": '), data(place(0), place(1)), F.lit("}}},"), values, F.lit("]"))
+    old = F.concat(F.lit('{"props": {"pageProps": {"serverResponse": {"data": '), data(lambda t, i: literal(t.role), lambda t, i: literal(t.text)), F.lit("}}}}"))
+    script = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(f'<script id="{share.LEGACY_ID}">'), old, F.lit("</script>"))).otherwise(F.concat(F.lit("<script>w.streamController.enqueue("), literal(flat), F.lit(");</script>")))
+    pages = listed.select("conv_id", F.concat(F.lit("<html><script>f(1)</script>"), script, F.lit("</html>")).alias("html"))
+    got = share.share_pages(pages)
+    return got.select("conv_id", "form", F.col("ordinal").alias("n"), "role", F.sha2("text", 256).alias("text_sha"))
