@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import blobs
 from ..functions import text as T
 from ..operators import index as I  # noqa: E741
+from ..operators import rebuild as B
 from ..operators import search as S
+from ..operators.progressive import progressive
 from ..operators import semantic as V
 from .base import query, shared_folder
 from .rollups import FEEDBACK_SQL, feedback
@@ -303,3 +305,44 @@ def vector_blobs(read):
     rows = rows.withColumn("b", F.when(F.col("vec_id") % 7 == 3, F.concat("b", F.lit(b"\0"))).otherwise(F.col("b"))).withColumn("v", blobs.floats(F.col("b")))
     total = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 1048576))
     return rows.select("vec_id", "dims", blobs.blob_state(F.col("b"), F.lit(64)).alias("state"), total.alias("total"))
+
+
+@query(f"""
+WITH l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({SUBSTRING_SQL})), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({SEMANTIC_SQL})),
+a AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS r FROM l UNION ALL SELECT id, 1.0::DOUBLE / (60 + rank) FROM v)
+SELECT 0 AS stage, id, round(1.0::DOUBLE / (60 + rank), 9) AS rrf FROM l UNION ALL SELECT 1, id, round(sum(r), 9) FROM a GROUP BY id""")
+def progressive_search(read):
+    """What is published of a search: stage 0 the lexical hits, stage 1 those fused with the semantic ones; 30 hits a list."""
+    docs = read("documents")
+    spark, told = docs.sparkSession, []
+    text = S.ranked(substring_topk(read))
+
+    def recall(vector):
+        near = S.semantic(read("embeddings"), F.lit(vector), "vec_id", "embedding", 30)
+        return S.fuse({"substring": text, "semantic": S.ranked(near)}).select("id", "rrf")
+
+    progressive(S.fuse({"substring": text}).select("id", "rrf"), QUERY, lambda _: [float(x) for x in _probe(read).first().probe], recall, told.append, 600, 600)
+    rows = [(stage, r.id, r.rrf) for stage, outcome in enumerate(told) for r in outcome.rows]
+    return spark.createDataFrame(rows, "stage int, id long, rrf double")
+
+
+def _measured(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model: characters, blanks and lines of a text; it refuses texts with a sharp s."""
+    if any("ß" in t for t in texts):
+        raise ValueError("refused")
+    return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+
+@query("""
+SELECT doc_id, CASE WHEN contains(text, 'ß') THEN 'failed' ELSE 'ok' END AS state,
+       CASE WHEN NOT contains(text, 'ß') THEN length(text) END AS chars, CASE WHEN NOT contains(text, 'ß') THEN length(text) - length(replace(text, ' ', '')) END AS blanks, CASE WHEN NOT contains(text, 'ß') THEN length(text) - length(replace(text, chr(10), '')) END AS lines
+FROM documents WHERE regexp_matches(text, '\\S')""")
+def index_rebuild(read):
+    """The vectors of all documents' chunks, written in parts; the sums over a document's chunks are those of its whole text."""
+    docs = read("documents")
+    folder = shared_folder(docs.sparkSession, "rebuild")
+    B.rebuild(docs, folder, _measured, "doc_id", "text", parts=4)
+    rows = B.vectors(docs.sparkSession, folder)
+    sums = rows.groupBy("id").agg(*[F.sum(F.col("vector")[i].cast("double")).cast("long").alias(c) for i, c in enumerate(("chars", "blanks", "lines"))])
+    whole = F.col("state") == "ok"
+    return B.states(rows).join(sums, "id").select(F.col("id").alias("doc_id"), "state", *[F.when(whole, F.col(c)).alias(c) for c in ("chars", "blanks", "lines")])
