@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import blobs
 from ..functions import text as T
+from ..operators import evidence as E
 from ..operators import index as I  # noqa: E741
 from ..operators import rebuild as B
 from ..operators import search as S
 from ..operators.progressive import progressive
 from ..operators import semantic as V
 from .base import query, shared_folder
-from .rollups import FEEDBACK_SQL, feedback
+from .knowledge import LATEST_SQL, latest_kind
 
 QUERY = "erentha license under the thonre"
 TERMS = T.analyse(QUERY)
@@ -126,12 +127,26 @@ def hybrid_rrf(read):
     return S.fuse(lists)
 
 
+#: Events about a document stand for feedback on it, so that items have a history of which the latest holds.
+TOLD = {"signup": "useful", "click": "incorrect", "view": "outdated", "error": "duplicate", "purchase": "needs_detail"}
+HELD_SQL = f"SELECT user_id AS doc_id, CASE kind {' '.join(f"WHEN '{e}' THEN '{k}'" for e, k in TOLD.items())} END AS kind FROM ({LATEST_SQL})"
+FACTOR_SQL = f"CASE kind {' '.join(f"WHEN '{k}' THEN {x}" for k, x in S.FEEDBACK.items())} ELSE 1.0 END"
+
+
+def _held(read):
+    """(doc_id, kind): the latest feedback on each document, one row each."""
+    kind = F.lit(None).cast("string")
+    for event, told in TOLD.items():
+        kind = F.when(F.col("kind") == event, told).otherwise(kind)
+    return latest_kind(read).select(F.col("user_id").alias("doc_id"), kind.alias("kind"))
+
+
 @query(f"""
-WITH {RRF_SQL}, k AS ({FEEDBACK_SQL}),
-x AS (SELECT f.id, coalesce(kind, 'none') AS kind, round(rrf * CASE kind WHEN 'useful' THEN 1.15 WHEN 'incorrect' THEN 0.3 WHEN 'needs_detail' THEN 0.85 ELSE 1.0 END, 9) AS score FROM f LEFT JOIN k ON k.doc_id = f.id)
+WITH {RRF_SQL}, k AS ({HELD_SQL}),
+x AS (SELECT f.id, coalesce(kind, 'none') AS kind, round(rrf * {FACTOR_SQL}, 9) AS score FROM f LEFT JOIN k ON k.doc_id = f.id)
 SELECT id, kind, score FROM x ORDER BY score DESC, id LIMIT 20""")
 def feedback_rerank(read):
-    told = feedback(read).select(F.col("doc_id").alias("id"), "kind")
+    told = _held(read).withColumnRenamed("doc_id", "id")
     return S.rerank(hybrid_rrf(read), told, 20).select("id", F.coalesce("kind", F.lit("none")).alias("kind"), "score")
 
 
@@ -140,8 +155,8 @@ SNIPPET_SQL = f"CASE WHEN least({', '.join(FOUND)}) IS NOT NULL THEN substr(text
 
 
 @query(f"""
-WITH {RRF_SQL}, k AS ({FEEDBACK_SQL}),
-x AS (SELECT f.id, coalesce(kind, 'none') AS kind, round(rrf * CASE kind WHEN 'useful' THEN 1.15 WHEN 'incorrect' THEN 0.3 WHEN 'needs_detail' THEN 0.85 ELSE 1.0 END, 9) AS score FROM f LEFT JOIN k ON k.doc_id = f.id),
+WITH {RRF_SQL}, k AS ({HELD_SQL}),
+x AS (SELECT f.id, coalesce(kind, 'none') AS kind, round(rrf * {FACTOR_SQL}, 9) AS score FROM f LEFT JOIN k ON k.doc_id = f.id),
 y AS (SELECT * FROM x ORDER BY score DESC, id LIMIT 20)
 SELECT id, score, kind, substr(string_split(text, chr(10))[1], 1, 80) AS title, {SNIPPET_SQL} AS snippet FROM y LEFT JOIN documents ON doc_id = id""")
 def hybrid_search(read):
@@ -346,3 +361,34 @@ def index_rebuild(read):
     sums = rows.groupBy("id").agg(*[F.sum(F.col("vector")[i].cast("double")).cast("long").alias(c) for i, c in enumerate(("chars", "blanks", "lines"))])
     whole = F.col("state") == "ok"
     return B.states(rows).join(sums, "id").select(F.col("id").alias("doc_id"), "state", *[F.when(whole, F.col(c)).alias(c) for c in ("chars", "blanks", "lines")])
+
+
+ANCHOR = E.anchor(QUERY)
+LABEL_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '【{v}】' || chr(10)" for k, v in E.DISPUTED.items()) + " ELSE '' END"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id AS id, kind FROM ({HELD_SQL})),
+h AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({SUBSTRING_SQL}) QUALIFY rank <= 10),
+t AS (SELECT h.rank, h.id, substr(string_split(text, chr(10))[1], 1, 80) AS title, k.kind, regexp_replace(substr(text, CASE WHEN contains(lower(text), '{ANCHOR}') THEN greatest(1, instr(lower(text), '{ANCHOR}') - 700) ELSE 1 END, 3800), '^\\s+|\\s+$', '', 'g') AS body
+  FROM h JOIN documents d ON d.doc_id = h.id LEFT JOIN k ON k.id = h.id),
+c AS (SELECT *, row_number() OVER (ORDER BY rank) AS index, substr({LABEL_SQL} || body, 1, 1800) AS text FROM t WHERE body <> '' QUALIFY index <= 5),
+u AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM c)
+SELECT index, id, title, kind, sha256(substr(text, 1, CAST(8000 - used AS BIGINT))) AS text_sha FROM u WHERE used < 8000""")
+def rag_excerpts(read):
+    """The evidence of one question: excerpts around its longest term, disputed ones labelled by their latest feedback."""
+    hits = S.ranked(substring_topk(read)).filter("rank <= 10")
+    told = _held(read).withColumnRenamed("doc_id", "id")
+    rows = hits.join(_titled(read), F.col("id") == F.col("doc_id")).join(told, "id", "left")
+    rows = rows.select(F.lit(0).alias("query_id"), "rank", F.lit("documents").alias("corpus"), "id", F.lit(None).cast("long").alias("chunk"), "title", "text", "kind")
+    return E.evidence(rows, F.lit(ANCHOR)).select("index", "id", "title", "kind", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, CASE WHEN lower(trim(role)) = 'assistant' THEN '{E.ANSWERER}' ELSE '{E.ASKER}' END AS name, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS said FROM conversations QUALIFY back <= 4),
+f AS (SELECT conv_id, max(back) + 1 AS back, '' AS h FROM m GROUP BY conv_id
+  UNION ALL SELECT f.conv_id, m.back, CASE WHEN length(h) < 3000 AND said <> '' THEN h || name || '：' || substr(said, 1, 3000 - length(h)) || chr(10) ELSE h END FROM f JOIN m ON m.conv_id = f.conv_id AND m.back = f.back - 1)
+SELECT conv_id, sha256(CASE WHEN h = '' THEN '{E.NONE}' ELSE regexp_replace(h, '\\s+$', '') END) AS history_sha FROM f WHERE back = 1""")
+def talk_history(read):
+    """The last four turns of every session in 3000 characters, as they precede a question."""
+    return E.history(read("conversations"), "conv_id", "turn").select("conv_id", F.sha2("history", 256).alias("history_sha"))
