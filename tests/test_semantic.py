@@ -20,6 +20,21 @@ def test_pairs_by_brute_force_with_few_compared(spark):
     assert semantic.compared(table, 0.95, "vec_id", "label", "embedding").count() < len(good) ** 2 / 2 / 10
 
 
+def test_pairs_of_unclustered_vectors_by_tiles(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 64))
+    x[600:700] = x[:100] + 0.1 * rng.normal(size=(100, 64))
+    x[700:720] = x[0]
+    rows = [(f"v{i}", "one" if i % 3 else None, [float(c) for c in v]) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id string, label string, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(min(a, b), max(a, b)) for i, (a, la, _) in enumerate(rows) for j, (b, lb, _) in enumerate(rows[:i]) if la == lb and round(float(unit[i] @ unit[j]), 6) >= 0.82}
+    for tile in (64 * 64, semantic.TILE):
+        found = semantic.compared(table, 0.82, "vec_id", "label", "embedding", tile=tile)
+        got = [(r.a, r.b) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_merge_in_order_and_caps(spark):
     rng = np.random.default_rng(6)
     pairs = sorted({(f"s{rng.integers(4)}", int(a), int(b)) for a, b in rng.integers(0, 30, (300, 2)) if a < b})
