@@ -9,12 +9,12 @@ from ..sources import jsonl, logs, share, wire
 from .base import query, shared_folder
 
 
-def _written(rows: DataFrame, line) -> str:
-    """Lines of JSON, a folder for each conversation, in order of turns."""
+def _written(rows: DataFrame, value) -> DataFrame:
+    """The lines of a log for each conversation, in order of turns, as a collector of logs leaves them: in few files, each line after its log's name.  value is one line or some."""
     path = shared_folder(rows.sparkSession, "transcripts")
-    lines = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    lines.select("conv_id", F.to_json(line).alias("value")).write.partitionBy("conv_id").text(path)
-    return path
+    ordered = rows.select("conv_id", "turn", value.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    ordered.select(F.concat(F.lit("conv_id="), F.col("conv_id").cast("string"), F.lit("/log.txt\t")).alias("name"), F.explode(F.split("value", "\n")).alias("value")).select(F.concat("name", "value")).write.text(path)
+    return logs.collected(rows.sparkSession, path)
 
 
 def _turns(read) -> DataFrame:
@@ -38,7 +38,7 @@ def message_log(read):
     usage = F.when(F.col("role") == "assistant", F.struct(F.lit(10).alias("input_tokens"), c.alias("output_tokens"), (2 * c).alias("cache_read_input_tokens"), F.lit(50).alias("cache_creation_input_tokens")))
     line = F.struct(F.col("role").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.col("conv_id").cast("string").alias("sessionId"), F.struct("role", usage.alias("usage"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message"))
     turns = _turns(read)
-    got = jsonl.messages(turns.sparkSession, _written(turns, line))
+    got = jsonl.messages(turns.sparkSession, _written(turns, F.to_json(line)))
     return got.groupBy(F.col("session_id").cast("long").alias("conv_id"), "role").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -54,9 +54,7 @@ def event_log(read):
     tokens = F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(F.struct(F.lit(1).alias("input_tokens"), F.length("text").alias("output_tokens")).alias("last_token_usage")).alias("info")).alias("payload"))
     start = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.col("conv_id").cast("string").alias("id")).alias("payload")))
     whole = F.concat_ws("\n", F.when(F.col("turn") == F.min("turn").over(_conv()), start), F.when(F.col("role") == "user", F.to_json(user)).when(F.col("role") == "assistant", F.concat(F.to_json(said), F.lit("\n"), F.to_json(tokens))).otherwise(F.to_json(error)))
-    path = shared_folder(turns.sparkSession, "transcripts")
-    turns.select("conv_id", "turn", whole.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    got = logs.event_log(turns.sparkSession, path)
+    got = logs.event_log(turns.sparkSession, _written(turns, whole))
     return _checked(got).join(got.select(F.col("session_id").cast("long").alias("conv_id"), F.col("ordinal").alias("n"), F.col("output_tokens")), ["conv_id", "n"])
 
 
@@ -82,9 +80,9 @@ def session_log_summary(read):
     turns = _turns(read)
     ts = F.date_format(F.timestamp_seconds("turn"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = F.struct(F.col("conv_id").cast("string").alias("sessionId"), F.col("role").alias("title"), ts.alias("timestamp"), F.struct("role", F.lit("x").alias("content")).alias("message"))
-    path = _written(turns, line)
-    n = logs.many_sessions(turns.sparkSession, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = logs.many_sessions_summary(turns.sparkSession, path).join(n, "session_id")
+    lines = _written(turns, F.to_json(line))
+    n = logs.many_sessions(turns.sparkSession, lines).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = logs.many_sessions_summary(turns.sparkSession, lines).join(n, "session_id")
     return rows.select(F.col("session_id").cast("long").alias("conv_id"), "n", "title", F.unix_timestamp("started").alias("first_second"), F.unix_timestamp("updated").alias("last_second"))
 
 
@@ -93,7 +91,7 @@ def agent_log(read):
     """Agents' logs, whose users' queries stand between tags."""
     turns = _turns(read)
     content = F.when(F.col("role") == "user", F.concat(F.lit("<context>x</context>\n<user_query>\n"), "text", F.lit("\n</user_query>"))).otherwise(F.col("text"))
-    got = logs.agent_log(turns.sparkSession, _written(turns, F.struct("role", F.struct(content.alias("content")).alias("message"))))
+    got = logs.agent_log(turns.sparkSession, _written(turns, F.to_json(F.struct("role", F.struct(content.alias("content")).alias("message")))))
     return _checked(got.withColumn("session_id", F.regexp_extract("path", r"conv_id=(\d+)/", 1)))
 
 
@@ -104,10 +102,8 @@ def step_log(read):
     kind = F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("NOTE")
     source = F.when(F.col("role") == "user", "USER_EXPLICIT").when(F.col("role") == "assistant", "MODEL").otherwise("SYSTEM")
     line = F.to_json(F.struct(kind.alias("type"), source.alias("source"), F.col("turn").alias("step_index"), F.col("text").alias("content")))
-    path = shared_folder(turns.sparkSession, "transcripts")
     value = F.when(F.col("twice"), F.concat(line, F.lit("\n"), line)).otherwise(line)
-    turns.select("conv_id", "turn", value.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    got = logs.step_log(turns.sparkSession, path)
+    got = logs.step_log(turns.sparkSession, _written(turns, value))
     return _checked(got.withColumn("session_id", F.regexp_extract("session_id", r"conv_id=(\d+)", 1)))
 
 
@@ -117,10 +113,8 @@ def patch_log(read):
     turns = _turns(read).filter("text <> ''")
     first = F.to_json(F.struct(F.lit(0).alias("kind"), F.struct(F.col("conv_id").cast("string").alias("sessionId")).alias("v")))
     push = F.to_json(F.struct(F.lit(2).alias("kind"), F.array(F.lit("requests")).alias("k"), F.array(F.struct(F.struct("text").alias("message"))).alias("v")))
-    path = shared_folder(turns.sparkSession, "transcripts")
     value = F.when(F.col("turn") == F.min("turn").over(_conv()), F.concat(first, F.lit("\n"), push)).otherwise(push)
-    turns.select("conv_id", "turn", value.alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    return _checked(logs.patch_log(turns.sparkSession, path))
+    return _checked(logs.patch_log(turns.sparkSession, _written(turns, value)))
 
 
 @query("""
@@ -144,10 +138,7 @@ def wire_log(read):
     compact = F.struct(F.lit("context.apply_compaction").alias("type"), F.lit(0).alias("compactedCount"), F.lit(0).alias("keptUserMessageCount"), F.concat(F.lit("summary "), F.col("turn").cast("string")).alias("summary"))
     undo = F.struct(F.lit("context.undo").alias("type"), (1 + c % 2).alias("count"))
     then = F.when(c % 13 == 5, F.to_json(clear)).when(c % 11 == 4, F.to_json(compact)).when(c % 5 == 3, F.to_json(undo))
-    path = shared_folder(turns.sparkSession, "transcripts")
-    lines = turns.select("conv_id", "turn", F.concat_ws("\n", F.to_json(append), then).alias("value"))
-    lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    got = wire.wire_log(turns.sparkSession, path)
+    got = wire.wire_log(turns.sparkSession, _written(turns, F.concat_ws("\n", F.to_json(append), then)))
     return _checked(got.withColumn("session_id", F.regexp_extract("path", r"conv_id=(\d+)/", 1)))
 
 

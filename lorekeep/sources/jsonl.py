@@ -23,15 +23,33 @@ def _input(usage: Column) -> Column:
     return F.when(usage.isNotNull(), sum((F.coalesce(usage[c], F.lit(0)) for c in ("cache_read_input_tokens", "cache_creation_input_tokens")), F.coalesce(usage["input_tokens"], F.lit(0))))
 
 
-def messages(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(path, block, line, value) of all lines; large files are read in parts, each in order.  Lines that are at hand, such as `collected` ones, are taken as they are."""
+    if isinstance(path, DataFrame):
+        return path
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(meta.file_path.alias("path"), meta.file_block_start.alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
+def collected(spark: SparkSession, path: str) -> DataFrame:
+    """The `lines` of many logs in few files, each line after its log's name and a tab.
+
+    A small file a log costs an opening each, and a place in the driver's list of files.  Here
+    lines of different logs may alternate; those of one log stand in order in one file.
+    """
+    at = F.instr("value", "\t")
+    named = lines(spark, path).filter(at > 0)
+    return named.select(F.col("value").substr(F.lit(1), at - 1).alias("path"), "block", "line", F.col("value").substr(at + 1, F.length("value")).alias("value"))
+
+
+def messages(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """One row per message event: path, line, session_id, id, role, model, ts, text, input_tokens, output_tokens.
 
     content is a string or an array of blocks, whose texts are joined.  Lines that are not
     JSON objects are left out (see `quality` and `whole`); an event without an id is named by its line.
     Files may be split between tasks, so line is an order within a file, not a count.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), "value")
-    e = lines.withColumn("e", F.from_json("value", EVENT)).filter(F.col("e.type").isin("user", "human", "assistant", "system"))
+    e = lines(spark, path).drop("block").withColumn("e", F.from_json("value", EVENT)).filter(F.col("e.type").isin("user", "human", "assistant", "system"))
     blocks = F.from_json("e.message.content", BLOCKS)
     text = F.when(F.col("e.message.content").startswith("["), F.array_join(F.transform(blocks, lambda b: F.coalesce(b.text, b.thinking, b.content, F.lit(""))), "\n")).otherwise(F.col("e.message.content"))
     return e.select(

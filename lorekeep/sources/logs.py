@@ -1,4 +1,4 @@
-"""Event logs, logs of many sessions, step logs and patch logs as the same rows of messages."""
+"""Event logs, logs of many sessions, step logs and patch logs as the same rows of messages; from a path, or from lines at hand."""
 
 from __future__ import annotations
 
@@ -13,18 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import shipping
-from .jsonl import role
+from .jsonl import collected, lines, role  # noqa: F401
 from .transcripts import COLUMNS, _rows, _text
 
 LINE = ["path", "block", "line"]  #: where a line stands: its file, the part of the file, and its order within that
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, line, value) of all lines; large files are read in parts, each in order."""
-    meta = F.col("_metadata")
-    return spark.read.text(path).select(meta.file_path.alias("path"), meta.file_block_start.alias("block"), F.monotonically_increasing_id().alias("line"), "value")
-
-
 def _in_file(*more: str) -> Window:
     return Window.partitionBy("path", *more).orderBy("block", "line")
 
@@ -39,7 +33,7 @@ EVENT = (
 )
 
 
-def event_log(spark: SparkSession, path: str) -> DataFrame:
+def event_log(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Session, message and response events, one file a session.
 
     Users' messages come in two dialects, of which a file's first counts.  A token count fills the
@@ -88,18 +82,18 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
 MIXED = "sessionId string, cwd string, title string, model string, timestamp string, uuid string, message struct<role: string, content: string>"
 
 
-def _mixed(spark: SparkSession, path: str) -> DataFrame:
+def _mixed(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return lines(spark, path).select(*LINE, F.from_json("value", MIXED).alias("e")).select(*LINE, "e.*").filter("sessionId is not null")
 
 
-def many_sessions(spark: SparkSession, path: str) -> DataFrame:
+def many_sessions(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Messages of logs that hold many sessions, each line naming its own."""
     m = _mixed(spark, path).filter("message is not null").withColumn("text", _text(F.col("message.content"))).filter("coalesce(text, '') <> ''")
     n = F.row_number().over(_in_file("sessionId")) - 1
     return _rows(m.withColumn("n", n), path=F.col("path"), session_id=F.col("sessionId"), ordinal=F.col("n"), id=F.coalesce("uuid", F.concat(F.lit("line-"), F.col("line").cast("string"))), role=role(F.col("message.role")), model=F.col("model"), ts=F.try_to_timestamp("timestamp"), text=F.col("text"))
 
 
-def many_sessions_summary(spark: SparkSession, path: str) -> DataFrame:
+def many_sessions_summary(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, session_id, title, project, model, started, updated): of each value the last that is given; the least and greatest time."""
     at = F.struct("block", "line")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
@@ -107,7 +101,7 @@ def many_sessions_summary(spark: SparkSession, path: str) -> DataFrame:
     return _mixed(spark, path).groupBy("path", F.col("sessionId").alias("session_id")).agg(last("title").alias("title"), last("cwd").alias("project"), last("model").alias("model"), F.min(ts).alias("started"), F.max(ts).alias("updated"))
 
 
-def agent_log(spark: SparkSession, path: str) -> DataFrame:
+def agent_log(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Messages of agents' logs; a user's query stands between <user_query> tags, if there are any.  A session is named by its file's whole path, as file names repeat."""
     e = lines(spark, path).select(*LINE, F.from_json("value", "role string, content string, message struct<role: string, content: string>").alias("e")).filter("e is not null")
     who, text = role(F.coalesce("e.role", "e.message.role")), _text(F.coalesce("e.message.content", "e.content"))
@@ -118,7 +112,7 @@ def agent_log(spark: SparkSession, path: str) -> DataFrame:
     return _rows(m, path=F.col("path"), session_id=name, ordinal=F.col("n"), id=F.concat(F.lit("line-"), F.col("n").cast("string")), role=F.col("role"), text=F.col("text"))
 
 
-def step_log(spark: SparkSession, path: str) -> DataFrame:
+def step_log(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Messages of step logs, `<conversation>/<file>`; source and type tell the role.
 
     A file that repeats a step, or names another conversation, is ambiguous: none of its rows are
@@ -132,7 +126,7 @@ def step_log(spark: SparkSession, path: str) -> DataFrame:
     return _rows(m, path=F.col("path"), session_id=F.col("conversation"), ordinal=F.col("n"), id=F.concat(F.lit("step-"), F.coalesce(F.col("step_index").cast("string"), F.concat(F.lit("line-"), F.col("line").cast("string")))), role=F.col("role"), ts=F.try_to_timestamp("created_at"), text=F.col("text"))
 
 
-def _steps(spark: SparkSession, path: str) -> DataFrame:
+def _steps(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     kind = "type string, source string, step_index bigint, conversationId string, content string, created_at string"
     e = lines(spark, path).select(*LINE, "value", F.from_json("value", kind).alias("e")).filter("e.type is not null and e.source is not null")
     return e.select(*LINE, "value", "e.*").withColumn("conversation", F.element_at(F.split("path", "/"), -2))
@@ -143,7 +137,7 @@ def _ambiguous(e: DataFrame) -> DataFrame:
     return per.filter("n > different or foreign > 0")
 
 
-def ambiguous_steps(spark: SparkSession, path: str) -> DataFrame:
+def ambiguous_steps(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, repeated, foreign) of the step logs that `step_log` leaves out."""
     return _ambiguous(_steps(spark, path)).select("path", (F.col("n") - F.col("different")).alias("repeated"), "foreign")
 
@@ -190,7 +184,7 @@ def patched(state, event: dict):
     return state
 
 
-def patch_log(spark: SparkSession, path: str) -> DataFrame:
+def patch_log(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Messages of the states that patch logs add up to: a request's message, then its response's parts.
 
     A file's patches are streamed through a task in order; what it holds is the state of one file.

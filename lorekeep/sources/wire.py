@@ -178,11 +178,11 @@ def _time(c: Column) -> Column:
     return F.coalesce(F.timestamp_millis(F.when(c.rlike(r"^-?\d+$"), c).try_cast("long")), F.try_to_timestamp(c))
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
+def _records(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     return lines(spark, path).filter("trim(value) <> ''").select(*LINE, F.from_json("value", RECORD).alias("e"))
 
 
-def wire_log(spark: SparkSession, path: str) -> DataFrame:
+def wire_log(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Messages of the histories that wire logs add up to, one file a session.
 
     A message appended while calls wait for results comes after the last of them; a step's parts and
@@ -232,7 +232,7 @@ def _models(marks: DataFrame) -> DataFrame:
     return marks.withColumn("model", F.last("model", ignorenulls=True).over(w)).filter("begins").drop("begins")
 
 
-def wire_states(spark: SparkSession, path: str) -> DataFrame:
+def wire_states(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, state, messages, interrupted, orphans) of each file: `ok` or `failed`, its messages, those whose calls had no result, results without a call."""
     shipping.ship(spark)
     left = _replayed(_told(_records(spark, path)))

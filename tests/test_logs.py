@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from lorekeep.sources import jsonl, logs
 
 
@@ -60,3 +62,25 @@ def test_quality_and_usage(spark, tmp_path):
     assert sorted((r.path.split("/")[-1], r.lines, r.malformed, r.partial_tail) for r in told.collect()) == [("broken.jsonl", 3, 1, False), ("tail.jsonl", 2, 1, True)]
     rows = jsonl.whole(jsonl.messages(spark, str(tmp_path)), told).collect()
     assert [(r.path.split("/")[-1], r.input_tokens, r.output_tokens) for r in rows] == [("tail.jsonl", 321, 5)]
+
+
+def test_collected_logs_are_read_as_their_files_are(spark, tmp_path):
+    texts = {f"s{i}": [json.dumps({"role": "user", "content": f"{i} asks\t{n}"}) for n in range(i % 5 + 1)] for i in range(40)}
+    for name, rows in texts.items():
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / f"{name}.txt").write_text("\n".join(rows) + "\n")
+    (tmp_path / "all").mkdir()
+    (tmp_path / "all" / "part.txt").write_text("".join(f"{name}.txt\t{r}\n" for name, rows in texts.items() for r in rows) + "no name\n")
+    told = lambda df: sorted((r.path.rsplit("/", 1)[-1], r.ordinal, r.role, r.text) for r in df.collect())
+    want = told(logs.agent_log(spark, str(tmp_path / "files")))
+    assert told(logs.agent_log(spark, logs.collected(spark, str(tmp_path / "all")))) == want and len(want) == sum(map(len, texts.values()))
+
+
+def test_transcripts_are_written_to_few_files(spark):
+    from lorekeep.plans import transcripts
+
+    turns = spark.range(3000).selectExpr("id % 1000 as conv_id", "id as turn")
+    lines = transcripts._written(turns, F.concat_ws("\n", F.col("turn").cast("string"), F.lit("more")))
+    assert len(lines.inputFiles()) <= 8
+    got = [(r.path, r.value) for r in lines.orderBy("path", "block", "line").collect()]
+    assert got == [(f"conv_id={c}/log.txt", v) for c in sorted(range(1000), key=lambda c: f"conv_id={c}/log.txt") for t in (c, c + 1000, c + 2000) for v in (str(t), "more")]
