@@ -2,8 +2,10 @@
 
 A segment is a Parquet table with a row for each term, column and block of documents: the
 documents' ids with the term's number in each and the lengths of its column and of the whole
-document, and the term's places.  Rows are sorted by term in files of term ranges with small row groups, so that
-their statistics let a scan of exact terms or of prefixes skip nearly all of them.  Each row
+document, and the term's places.  A segment of FEW documents is sorted by term in files of term
+ranges; postings of more are not shuffled: the tasks that read the documents write them in runs
+of RUN bytes, each sorted by term, until `compact` sorts them all.  Row groups are small, so that
+their statistics let a scan of exact terms or of prefixes skip most of them.  Each row
 carries the greatest frequency and the least length in its block, which bounds the scores that
 the block can give: `top_terms` asks the blocks with the best bounds first and then only those
 that can still reach the k-th best score.  Rows of the term "" hold the lengths of all documents.
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,10 @@ K1, B = 1.2, 0.75
 BLOCK = 256
 #: Bytes of a row group: what a scan skips or reads.
 GROUP = 1 << 20
+#: Documents of a segment that is sorted by term as a whole at once.
+FEW = 1 << 15
+#: Bytes of the rows that a task sorts by term before it writes them.
+RUN = 96 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -73,8 +80,9 @@ def add(docs: DataFrame, folder: str, id_col: str, columns: list[str]) -> None:
         docs = docs.repartition(at_once)
     rows = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["term", "col", "block", "n", "most", "least", "docs", "places"]
+    names = ["term", "col", "block", "n", "most", "least", "docs", "places"]
+
+    def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for whole in batches:
             for lo in range(0, whole.num_rows, BLOCK):
@@ -85,16 +93,43 @@ def add(docs: DataFrame, folder: str, id_col: str, columns: list[str]) -> None:
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
                 block += 1
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held = [], 0
+        for part in inverted(batches):
+            run.append(part)
+            held += part.nbytes
+            if held >= RUN:
+                yield from _in_order(run)
+                run, held = [], 0
+        if run:
+            yield from _in_order(run)
+
     shape = f"term string, col int, block long, n int, most int, least int, docs array<struct<id:{kind},f:int,l:int,d:int>>, places array<array<int>>"
+    inverted_rows, segment = rows.mapInArrow(go, shape), f"{folder}/segment-{uuid.uuid4().hex}"
+    if docs.count() > FEW:
+        _written(inverted_rows, segment)
+        return
     raw = f"{folder}/raw-{uuid.uuid4().hex}"
-    rows.mapInArrow(go, shape).write.parquet(raw)
-    _sorted(spark.read.schema(shape).parquet(raw), f"{folder}/segment-{uuid.uuid4().hex}")
+    inverted_rows.write.parquet(raw)
+    _sorted(spark.read.schema(shape).parquet(raw), segment)
     _delete(spark, raw)
 
 
+def _in_order(run: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of some blocks by term, column and block, in batches."""
+    rows = pa.Table.from_batches(run)
+    by = pc.sort_indices(rows.select(["term", "col", "block"]), sort_keys=[("term", "ascending"), ("col", "ascending"), ("block", "ascending")])
+    for lo in range(0, len(by), 4096):
+        yield from rows.take(by.slice(lo, 4096)).combine_chunks().to_batches()
+
+
 def _sorted(rows: DataFrame, path: str) -> None:
     """Terms by ranges of files; the blocks of a frequent term may lie in several."""
-    rows.repartitionByRange("term", "col", "block").sortWithinPartitions("term", "col", "block").write.option("parquet.block.size", GROUP).option("compression", "zstd").parquet(path)
+    _written(rows.repartitionByRange("term", "col", "block").sortWithinPartitions("term", "col", "block"), path)
+
+
+def _written(rows: DataFrame, path: str) -> None:
+    rows.write.option("parquet.block.size", GROUP).option("compression", "zstd").parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -94,3 +94,18 @@ def test_few_row_groups_hold_a_term(spark, tmp_path, monkeypatch):
     assert {r.term for r in rows.select("term").collect()} >= {"w1234", "w777", "w7771"}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,w777)" in plan and "term" in plan.split("PushedFilters")[1]
+
+
+def test_a_segment_is_written_where_its_documents_are_read(spark, tmp_path, monkeypatch):
+    """No shuffle of postings: each file holds the blocks of its own documents, in runs sorted by term."""
+    folder = f"file://{tmp_path}/i"
+    rows = corpus(np.random.default_rng(3), 2500)
+    monkeypatch.setattr(I, "RUN", 1)
+    monkeypatch.setattr(I, "FEW", 1000, raising=False)
+    I.add(spark.createDataFrame(rows, "name string, head string, body string").repartition(9), folder, "name", ["head", "body"])
+    files = [pq.read_table(f) for f in sorted(glob.glob(f"{tmp_path}/i/segment-*/*.parquet"))]
+    assert len(files) == 9 and not glob.glob(f"{tmp_path}/i/raw-*")
+    assert sum(sum(n for t, c, n in zip(f["term"].to_pylist(), f["col"].to_pylist(), f["n"].to_pylist()) if t == "" and c == 0) for f in files) == len(rows)
+    assert all("" in f["term"].to_pylist() for f in files)
+    asked = [" alpha", " aa aa", " b"]
+    close({r.id: r.score for r in I.search(spark, folder, asked, {0: 3.0, 1: 1.0}, 2).collect()}, brute(rows, asked, {0: 3.0, 1: 1.0}))
