@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .. import shipping
 
 K, W = 8, 8  #: an anchor is the least hash of W neighbouring grams of K characters
 LONG = K + W - 1  #: the characters from which a text has an anchor
+#: (k, w) for texts of k + w - 1 characters or more: the longer a text, the longer and rarer the grams by which it looks for others.
+LEVELS = ((K, W), (16, 16), (32, 32))  # powers of 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,35 +54,90 @@ def pieces(text: str, known: np.ndarray) -> list[str]:
     return sorted({text[j : j + n] for n, at in bits(text, min(LONG - 1, len(text) - 1)) for j in np.flatnonzero(known[at])})
 
 
-def _dealt(batch: pd.DataFrame, name: str, parts: Iterator, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Each row's parts as rows of (_k, _id, name), in frames of about `most` rows."""
-    who, found, n = [], [], 0
+def _doubled(text: str, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each of the first `most` LEVELS that the text is long enough for: k, w and its mixed grams of k characters; grams are made of two halves."""
+    grams, n, power = _points(text), 1, np.array([ODD])  # an array wraps around without a warning
+    for k, w in LEVELS[:most]:
+        while n < k:
+            grams, n, power = grams[:-n] * power + grams[n:], 2 * n, power ** 2
+        if len(grams) < w:
+            return
+        yield k, w, _mixed(grams)
 
-    def frame() -> pd.DataFrame:
-        at = np.repeat(who, [len(f) for f in found])
-        return pd.DataFrame({"_k": batch["_k"].to_numpy()[at], "_id": batch["_id"].to_numpy()[at], name: np.concatenate(found)})
 
-    for row, f in enumerate(parts):
-        if len(f):
-            who.append(row)
-            found.append(f)
-            n += len(f)
-        if n >= most:
-            yield frame()
-            who, found, n = [], [], 0
-    if found:
-        yield frame()
+def _level(text: str) -> int:
+    """How many of LEVELS a text is long enough for."""
+    return sum(len(text) >= k + w - 1 for k, w in LEVELS)
 
 
-def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield from _dealt(batch, "_h", (anchors(t) if len(t) >= LONG else () for t in batch["_t"]))
+def _grams(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """For each level of a text its anchors, each the least hash of w neighbouring grams of k characters; some more than once."""
+    for k, w, least in _doubled(text, _level(text)):
+        n = 1
+        while n < w:
+            least, n = np.minimum(least[:-n], least[n:]), 2 * n
+        yield k, least[np.concatenate([[True], least[1:] != least[:-1]])]
+
+
+def _of_key(anchors: np.ndarray, k: int, seed: int) -> np.ndarray:
+    return _mixed(_mixed(anchors ^ np.uint64(seed & (2**64 - 1))) + np.uint64(k))
+
+
+def _asked(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+    """The anchor by which a text looks for those that contain it, of its longest grams; null for short ones."""
+    out = []
+    with np.errstate(over="ignore"):
+        for t, seed in zip(texts, seeds, strict=True):
+            last = None
+            for k, _, grams in _doubled(t, _level(t)):
+                last = k, grams
+            out.append(None if last is None else int(_of_key(last[1].min(keepdims=True), last[0], seed).view(np.int64)[0]))
+    return pd.Series(out, dtype="Int64")
+
+
+def _probes(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Two bits of each hash in a map of `size`."""
+    yield (h & np.uint64(size - 1)).astype(np.int64)
+    yield (_mixed(h + ODD) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
 
+def _marked(asked: DataFrame, n: int) -> np.ndarray:
+    """The map of `n` asked anchors, 16 bits each, 2^30 at most: packed, as it reaches the driver and the tasks.  A fuller map only lets more anchors through to the join."""
+    size = 1 << min(30, max(16, (16 * n).bit_length()))
 
-def _cut(known: np.ndarray):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from _dealt(batch, "_p", (np.array(pieces(t, known), dtype=object) for t in batch["_t"]))
+            yield pd.DataFrame({"bit": np.concatenate(list(_probes(batch["_h"].to_numpy().view(np.uint64), size))) + 1})
+
+    rows = asked.select("_h").mapInPandas(two, "bit long")
+    packed = rows.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
+    marked = np.zeros(size // 8, np.uint8)
+    for b, m in packed.collect():
+        marked[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)[: size // 8]
+    return marked
+
+
+def _posted(marked: Broadcast):
+    def posted(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        """The anchors of a text that any text of its key asks for."""
+        known, out = marked.value, []
+        for t, seed in zip(texts, seeds, strict=True):
+            found = []
+            for k, anchors in _grams(t):
+                h = _of_key(anchors, k, seed)
+                for bit in range(2):
+                    at = list(_probes(h, len(known) * 8))[bit]
+                    h = h[(known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                found.append(np.unique(h).view(np.int64))
+            out.append(np.concatenate(found) if found else np.zeros(0, np.int64))
+        return pd.Series(out)
+
+    return posted
+
+
+def _cut(known: Broadcast):
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([pieces(t, known.value) for t in texts])
 
     return cut
 
@@ -108,39 +166,49 @@ def uncontained(items: DataFrame, keys: list[str], order: list[str], content: st
 
     Containment is transitive, so items left out need not be told from those kept: an item goes if any
     earlier item of its key contains it.  Equal contents meet first, in an aggregation; the first
-    stays.  A content of LONG characters or more then looks for its rarest anchor among the anchors of
-    longer ones, and what is found is compared whole; of shorter ones a
-    map of fixed size is made, by which pieces of other texts are chosen that may equal one.  Contents are compared one by one: one that spans two others and the rule between
+    stays.  A content of LONG characters or more then looks for its least anchor among those of the
+    others, which post only anchors that a map of all asked ones holds; what is found is compared
+    whole.  Of shorter ones a map of fixed size is made, by which pieces of other texts are chosen that may equal one.  Contents are compared one by one: one that spans two others and the rule between
     them is kept.
 
     Blank and null contents go, unless they come first in their key (a null one stays null).  Null
     keys are keys of their own.  Rows of equal order are ordered by content.  Other columns are not
     carried.  No rows give no rows.
     """
-    shipping.ship(items.sparkSession)
+    spark = items.sparkSession
+    shipping.ship(spark)
     key = F.sha2(F.to_json(F.struct(*keys)), 256) if keys else F.lit("")
     t = trimmed(F.coalesce(F.col(content), F.lit("")))
-    rows = items.select(key.alias("_k"), F.struct(*order, t.alias("_tie")).alias("_o"), F.struct(*keys, *order, content).alias("_row"), t.alias("_t"))
-    first = rows.groupBy("_k").agg(F.min_by(F.struct("_row", "_t"), "_o").alias("_f")).filter("_f._t = ''").select("_f._row.*")
-
-    rows = rows.filter("_t <> ''").withColumn("_o", F.struct(*[F.col(f"_o.{c}").alias(c) for c in order], F.sha2("_t", 256).alias("_tie")))
-    once = rows.groupBy("_k", F.sha2("_t", 256).alias("_id")).agg(F.min("_o").alias("_o"), F.min_by("_row", "_o").alias("_row"), F.any_value("_t").alias("_t"))
-    orders = once.select("_k", "_id", "_o")
-
-    grams = once.select("_k", "_id", "_t").mapInPandas(_anchored, "_k string, _id string, _h long")
-    many = grams.groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_n"))
-    rare = grams.join(many.filter("_n > 1"), ["_k", "_h"], "left").groupBy("_k", "_id").agg(F.count_if(F.col("_n").isNull()).alias("_alone"), F.min(F.struct("_n", "_h")).alias("_best"))
-    asked = rare.filter("_alone = 0").select("_k", "_id", F.col("_best._h").alias("_h")).join(orders, ["_k", "_id"])
-    holds = grams.join(orders, ["_k", "_id"]).select("_k", "_h", F.col("_id").alias("_in"), F.col("_o").alias("_in_o"))
-    found = asked.join(holds, ["_k", "_h"]).filter("_in_o < _o").select("_k", "_id", "_in")
-    texts = once.select("_k", "_id", "_t")
-    both = found.join(texts, ["_k", "_id"]).join(texts.select("_k", F.col("_id").alias("_in"), F.col("_t").alias("_in_t")), ["_k", "_in"])
-    long = both.filter(F.expr("contains(_in_t, _t)")).select("_k", "_id")
-
-    few = once.filter(F.length("_t") < LONG)
-    cut = once.select("_k", "_id", "_t").mapInPandas(_cut(_known(few)), "_k string, _id string, _p string")
-    earliest = cut.join(orders, ["_k", "_id"]).groupBy("_k", F.col("_p").alias("_t")).agg(F.min("_o").alias("_in_o"))
-    short = few.join(earliest, ["_k", "_t"]).filter("_in_o < _o").select("_k", "_id")
-
-    kept = once.join(long.unionByName(short).distinct(), ["_k", "_id"], "left_anti").select("_row.*")
+    rows = items.select(key.alias("_key"), F.struct(*order, t.alias("_tie")).alias("_o"), F.struct(*keys, *order, content).alias("_row"), t.alias("_t"))
+    # only what is blank may be such a first one; the least order of the others tells whether it is
+    blank = rows.filter("_t = ''").groupBy("_key").agg(F.min_by("_row", "_o").alias("_row"), F.min("_o").alias("_o"))
+    least = rows.filter("_t <> ''").groupBy("_key").agg(F.min(F.struct(*[F.col(f"_o.{c}").alias(c) for c in order])).alias("_least"))
+    own = F.struct(*[F.col(f"_o.{c}").alias(c) for c in order])
+    first = blank.join(least, "_key", "left").filter(F.col("_least").isNull() | (own <= F.col("_least"))).select("_row.*")
+
+    half = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 16)  # noqa: E731  128 bits
+    rows = rows.filter("_t <> ''").select(half(F.col("_key")).alias("_k"), half(F.concat("_key", "_t")).alias("_id"), F.struct(*[F.col(f"_o.{c}").alias(c) for c in order], half(F.col("_t")).alias("_tie")).alias("_o"), "_row", "_t")
+    seed = F.xxhash64("_k")
+    asked = F.pandas_udf(_asked, "long")("_t", seed)
+    few = F.when(F.length("_t") < LONG, F.col("_t"))
+    once = rows.select("_id", "_k", "_o", asked.alias("_h"), few.alias("_few")).groupBy("_id").agg(F.min("_o").alias("_o"), *[F.first(c).alias(c) for c in ("_k", "_h", "_few")])  # no long text is shuffled
+
+    ask = once.filter("_h is not null").select("_h", "_id", "_k", "_o")
+    marked = spark.sparkContext.broadcast(_marked(ask, once.filter("_few is null").count()))
+    posted = F.pandas_udf(_posted(marked), "array<long>")("_t", seed)
+    holds = rows.select(F.explode(posted).alias("_h"), F.col("_id").alias("_in"), F.col("_k").alias("_in_k"), F.col("_o").alias("_in_o"))
+    found = ask.join(holds, "_h").filter("_k = _in_k and _in_o < _o").select("_id", "_in").distinct()
+    texts = rows.select("_id", "_t")
+    contained = found.join(texts.join(found.select("_id"), "_id", "left_semi").dropDuplicates(["_id"]), "_id")
+    inside = texts.join(found.select(F.col("_in").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
+    long = contained.join(inside.select(F.col("_id").alias("_in"), F.col("_t").alias("_in_t")), "_in").filter(F.expr("contains(_in_t, _t)")).select("_id")
+
+    few = once.filter("_few is not null").select("_id", "_k", "_o", F.col("_few").alias("_t"))
+    known = spark.sparkContext.broadcast(_known(few))
+    cut = rows.select("_k", "_o", F.explode(F.pandas_udf(_cut(known), "array<string>")("_t")).alias("_t"))
+    earliest = cut.groupBy("_k", "_t").agg(F.min("_o").alias("_in_o"))
+    short = few.join(earliest, ["_k", "_t"]).filter("_in_o < _o").select("_id")
+
+    stays = once.join(long.unionByName(short).distinct(), "_id", "left_anti").select("_id", F.col("_o").alias("_first"))
+    kept = rows.join(stays, "_id").filter("_o = _first").groupBy("_id").agg(F.first("_row").alias("_row")).select("_row.*")
     return kept.unionByName(first)

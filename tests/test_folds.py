@@ -79,3 +79,20 @@ def test_compacted_equals_a_loop(spark):
             assert got[i].compacted == want, (i, segment)
         assert (got[202].n_lines, got[202].n_folded, got[204].n_folded, got[201].n_lines) == (50, 49, 8, 0)
     assert log_lines.compacted(df.limit(0), "id", "text").count() == 0
+
+
+def test_only_asked_anchors_are_posted():
+    import types
+
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(6)
+    texts = pd.Series(["".join(r.choice("abcdefgh ") for _ in range(5000)) for _ in range(20)])
+    part, seeds = texts[3][700:900], pd.Series([9] * 20)
+    h = containment._asked(pd.Series([part]), seeds[:1]).to_numpy(np.int64)
+    marked = np.zeros(1 << 13, np.uint8)
+    for at in containment._probes(h.view(np.uint64), 1 << 16):
+        marked[at >> 3] |= (1 << (at & 7)).astype(np.uint8)
+    found = containment._posted(types.SimpleNamespace(value=marked))(texts, seeds)
+    assert h[0] in found[3] and sum(map(len, found)) < 5  # all anchors were posted before: some 20 000
