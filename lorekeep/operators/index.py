@@ -7,8 +7,8 @@ ranges; postings of more are not shuffled: the tasks that read the documents wri
 of RUN bytes, each sorted by term, until `compact` sorts them all.  Row groups are small, so that
 their statistics let a scan of exact terms or of prefixes skip most of them.  Each row
 carries the greatest frequency and the least length in its block, which bounds the scores that
-the block can give: `top_terms` asks the blocks with the best bounds first and then only those
-that can still reach the k-th best score.  Rows of the term "" hold the lengths of all documents.
+the block can give.  Rows of the term "" hold the lengths of all documents.  `top_terms` brings a
+block's asked postings together and scores all queries on the block at once.
 
 New documents become a new segment without touching the others; `compact` makes one of them all.
 """
@@ -37,6 +37,8 @@ GROUP = 1 << 20
 FEW = 1 << 15
 #: Bytes of the rows that a task sorts by term before it writes them.
 RUN = 96 << 20
+#: Queries that are scored at once, about, and terms of a block that are multiplied at once.
+QUERIES, TERMS = 512, 1024
 
 
 def tokens(text: Column) -> Column:
@@ -214,30 +216,73 @@ def search(spark: SparkSession, folder: str, phrases: list[str], weights: dict[i
     return scored.groupBy("id").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
-def top_terms(spark: SparkSession, folder: str, queries: DataFrame, col: int, k: int, first: int = 2) -> DataFrame:
+def top_terms(spark: SparkSession, folder: str, queries: DataFrame, col: int, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k best documents for each query of queries(query_id, term), scored in one column.
 
-    The `first` blocks of the best bounds give each query a score that k documents reach; blocks
-    whose bound is lower are not evaluated.
+    The asked postings are dealt by block, once for each QUERIES queries.  A block's task scores all
+    of its documents for all of these queries and passes on those that can be among a query's k
+    best, so no row is shuffled for each query and document.  Documents of one id are added up.
     """
+    shipping.ship(spark)
     queries = queries.select("query_id", "term").distinct()
-    used = spark.read.parquet(*segments(spark, folder)).filter(F.col("col") == col).join(queries.select("term").distinct(), "term", "left_semi")
-    path = f"{folder}/asked-{uuid.uuid4().hex}"  # read four times
-    used.select("term", "block", "n", "most", "least", "docs").write.parquet(path)
-    rows = spark.read.schema(used.select("term", "block", "n", "most", "least", "docs").schema).parquet(path)
-    df = rows.groupBy("term").agg(F.sum("n").alias("df")).join(F.broadcast(lengths(spark, folder, col)))
-    asked = queries.join(df.select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length"), "term")
-    bound = F.col("idf") * part(F.col("most").cast("double"), F.col("least"), F.col("avg_length"))
-    bounds = asked.join(rows.select("term", "block", "most", "least"), "term").groupBy("query_id", "block").agg(F.sum(bound).alias("bound"))
-
-    def evaluated(chosen: DataFrame) -> DataFrame:
-        own = chosen.join(asked, "query_id").join(rows.select("term", "block", "docs"), ["term", "block"])
-        each = own.select("query_id", "idf", "avg_length", F.explode("docs").alias("x"))
-        return each.groupBy("query_id", "x.id").agg(F.round(F.sum(F.col("idf") * part(F.col("x.f").cast("double"), F.col("x.l"), F.col("avg_length"))), 6).alias("score"))
-
+    index = spark.read.parquet(*segments(spark, folder)).filter(F.col("col") == col)
+    kept = lambda df, name: (df.write.parquet(path := f"{folder}/{name}-{uuid.uuid4().hex}"), spark.read.schema(df.schema).parquet(path))[1]
+    queries = kept(queries, "queries")  # from here on Spark knows the size
+    df = index.select("term", "n").join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    known = df.join(F.broadcast(lengths(spark, folder, col))).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
+    groups = -(-queries.select("query_id").distinct().count() // QUERIES)
+    deal = F.pmod(F.xxhash64("query_id"), F.lit(max(1, groups))).cast("int")
+    asked = kept(queries.groupBy("term", deal.alias("part")).agg(F.collect_list(F.struct("query_id")).alias("q")).join(known, "term"), "asked")
+    own = index.join(asked, "term").select("part", "block", "q.query_id", "idf", "avg_length", F.col("docs.id").alias("id"), F.col("docs.f").alias("f"), F.col("docs.l").alias("l"))
+
+    # ids of several documents: rows of ids alone name them to the tasks of their blocks
+    listed = index.filter("term = ''").select("block", F.explode("docs.id").alias("id"))
+    twice = kept(listed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "twice")
+    several = not twice.isEmpty()
+    if several:
+        named = listed.alias("x").join(twice.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id"))).groupBy("block").agg(F.collect_list(F.struct("x.id")).alias("ids"))
+        none = {f.name: F.lit(None).cast(f.dataType) for f in own.schema if f.name not in ("part", "block", "id")}
+        own = own.unionByName(named.select("block", F.col("ids.id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(max(1, groups) - 1))).alias("part")).withColumns(none))
+
+    types = {f.name: f.dataType for f in own.schema}
+    shape = f"query_id {types['query_id'].elementType.simpleString()}, id {types['id'].elementType.simpleString()}, score double"
+    out = own.groupBy("part", "block").applyInArrow(lambda rows: _best(rows, k), shape)
+    hits = out.groupBy("query_id", "id").agg(F.sum("score").alias("score")) if several else out
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    head = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).filter(F.col("nth") <= first)
-    reached = ranked(evaluated(head.select("query_id", "block"))).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
-    open_ = bounds.join(reached, "query_id", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-5)
-    return ranked(evaluated(open_.select("query_id", "block"))).withColumn("rank", F.col("rank").cast("long"))
+    ranked = hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _best(rows: pa.Table, k: int) -> pa.Table:
+    """(query_id, id, score) of one block: all that can be among a query's k best, and the ids of several documents.
+
+    rows(query_id, idf, avg_length, id, f, l) has a row for each term, with the queries that ask it
+    and the documents that hold it; a row without queries names ids of several documents.
+    """
+    coded = lambda c: pc.dictionary_encode(c.combine_chunks().flatten(), null_encoding="encode")
+    owner = lambda c: pc.list_parent_indices(c.combine_chunks()).to_numpy()
+    asked = rows.filter(pc.is_valid(rows["query_id"]))
+    queries, ids = coded(asked["query_id"]), coded(rows["id"])
+    n, m = len(queries.dictionary), len(ids.dictionary)
+    single = np.ones(m, bool)
+    named = rows.filter(pc.is_null(rows["query_id"]))
+    if len(named):
+        single[pc.index_in(named["id"].combine_chunks().flatten(), ids.dictionary).to_numpy()] = False
+    doc = pc.index_in(asked["id"].combine_chunks().flatten(), ids.dictionary).to_numpy()
+    f, length = (asked[c].combine_chunks().flatten().to_numpy().astype(float) for c in ("f", "l"))
+    term, average, weight = owner(asked["id"]), asked["avg_length"].to_numpy(), asked["idf"].to_numpy()
+    value = part(f, length, average[term])
+    asks, query = owner(asked["query_id"]), queries.indices.to_numpy()
+    scores = np.zeros((n, m))
+    for lo in range(0, len(asked), TERMS):
+        hi = min(lo + TERMS, len(asked))
+        a, b = np.searchsorted(asks, [lo, hi])
+        weights = np.zeros((n, hi - lo))
+        weights[query[a:b], asks[a:b] - lo] = weight[asks[a:b]]
+        a, b = np.searchsorted(term, [lo, hi])
+        scores += weights @ np.bincount((term[a:b] - lo) * m + doc[a:b], value[a:b], (hi - lo) * m).reshape(hi - lo, m)
+    kept = scores > 0
+    if m > k:  # scores are rounded later
+        kept &= (scores >= np.partition(scores, m - k, axis=1)[:, m - k, None] - 2e-6) | ~single
+    x, y = np.nonzero(kept)
+    return pa.table({"query_id": queries.dictionary.take(pa.array(x)), "id": ids.dictionary.take(pa.array(y)), "score": scores[x, y]})

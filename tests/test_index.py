@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import index as I  # noqa: E741
@@ -109,3 +110,38 @@ def test_a_segment_is_written_where_its_documents_are_read(spark, tmp_path, monk
     assert all("" in f["term"].to_pylist() for f in files)
     asked = [" alpha", " aa aa", " b"]
     close({r.id: r.score for r in I.search(spark, folder, asked, {0: 3.0, 1: 1.0}, 2).collect()}, brute(rows, asked, {0: 3.0, 1: 1.0}))
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_no_row_is_shuffled_for_each_query_and_document(spark, tmp_path, monkeypatch, repeated):
+    """Many queries of frequent words, in several groups; documents of one id, in several blocks, are added up."""
+    monkeypatch.setattr(I, "BLOCK", 16)
+    monkeypatch.setattr(I, "QUERIES", 30, raising=False)
+    monkeypatch.setattr(I, "TERMS", 2, raising=False)
+    folder = f"file://{tmp_path}/i"
+    rows = corpus(np.random.default_rng(4), 600)
+    if repeated:
+        rows = [(None if i % 100 == 7 else "same" if i % 50 == 3 else name, *r) for i, (name, *r) in enumerate(rows)]
+    I.add(spark.createDataFrame(rows, "name string, head string, body string"), folder, "name", ["head", "body"])
+    rng = np.random.default_rng(5)
+    asked = {q: sorted(set(rng.choice([*WORDS, "nowhere"], 5))) for q in range(100)}
+    q = spark.createDataFrame([(i, cut(str(t))[0]) for i, ts in asked.items() for t in ts], "query_id long, term string")
+
+    def shuffled():
+        nothing = spark._sc._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, nothing, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = I.top_terms(spark, folder, q, 1, 3).collect()
+    assert repeated or shuffled() - before < 10_000  # 13 484 when each query and document had a row
+    texts = [(i, cut(b)) for i, _, b in rows]
+    avg = sum(len(w) for _, w in texts) / len(rows)
+    df = {t: sum(t in w for _, w in texts) for t in {c for w in [*WORDS, "nowhere"] for c in cut(w)}}
+    for query, terms in asked.items():
+        score = {}
+        for i, w in texts:
+            for t in {cut(str(t))[0] for t in terms} & set(w):
+                score[i] = score.get(i, 0) + max(math.log((600 - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / avg))
+        best = sorted(((i, round(s, 6)) for i, s in score.items()), key=lambda x: (-x[1], x[0] or ""))[:3]
+        assert [(r.id, r.score) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == best
