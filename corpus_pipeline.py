@@ -62,9 +62,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), doc), "rows")
 
 
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents of the rows that are kept; their numbers are written first, so that Spark knows their size."""
-    return rows.join(scratch.table(kept.select("row"), "kept"), "row", "left_semi").select("doc.*")
+#: Bits of the map of the rows that go.
+BITS = 24
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of all rows but those that go.
+
+    Most rows stay, which a map of 2 ** BITS bits tells without a shuffle of their texts at any
+    size; only rows that meet a bit are joined with the numbers themselves.
+    """
+    gone = scratch.table(gone.select("row"), "gone")
+    at = F.pmod(F.xxhash64("row"), F.lit(1 << BITS))
+    word, bit = F.shiftright(at, 6).cast("int"), (at % 64).cast("int")
+    words = gone.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    told = rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left")  # 2 ** BITS bits at most
+    may = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    return told.filter(~may).select("doc.*").unionByName(told.filter(may).join(gone, "row", "left_anti").select("doc.*"))
 
 
 @_stage
@@ -75,7 +89,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     rows = _keyed(docs)
     named = rows.select(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row").alias("name"), F.col("doc.text").alias("text"))
-    return _only(rows, exact_dedup.exact_duplicates(named, id_col="name").filter("kept").select("name.row"))
+    return _without(rows, exact_dedup.exact_duplicates(named, id_col="name").filter("not kept").select("name.row"))
 
 
 @_stage
@@ -85,7 +99,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without a word are linked with nothing and stay.
     """
     rows = _keyed(docs)
-    return _only(rows, jaccard.similar_components(rows.select("row", F.col("doc.text").alias("text")), k=5, num=4, den=5, id_col="row").filter("component_id = row"))
+    return _without(rows, jaccard.similar_components(rows.select("row", F.col("doc.text").alias("text")), k=5, num=4, den=5, id_col="row").filter("component_id <> row"))
 
 
 @_stage

@@ -1,5 +1,6 @@
 """The pipeline's stages, each on a table of its own against brute force, and all of them in a row."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -57,6 +58,34 @@ def test_rows_of_files_are_not_copied(spark, docs, tmp_path):
     assert texts(pipeline.exact_copies(spark, stored, "")) == texts(pipeline.exact_copies(spark, docs, ""))
 
 
+@pytest.mark.parametrize("bits", [6, 22])
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path, monkeypatch, bits):
+    """What a stage keeps is told by a map; with few bits most rows meet the numbers themselves."""
+    monkeypatch.setattr(pipeline, "BITS", bits, raising=False)
+    r = random.Random(7)
+    own = [" ".join("%08x" % r.getrandbits(32) for _ in range(400)) for _ in range(300)]
+    rows = [(i, own[i % 300]) for i in range(330)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    stored = spark.read.parquet(f"{tmp_path}/d")
+
+    def shuffled():
+        nothing = spark._sc._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, nothing, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where more rows are kept than can be sent to all tasks
+    try:
+        for stage in (pipeline.exact_copies, pipeline.near_copies):
+            out = stage(spark, stored, "")
+            before = shuffled()
+            out.write.parquet(f"{tmp_path}/{stage.__name__}")
+            assert bits < 20 or shuffled() - before < 300_000  # 330 texts of 3600 bytes; 30 of them go
+            assert texts(spark.read.parquet(f"{tmp_path}/{stage.__name__}")) == Counter(rows[:300])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_near_stage(spark, docs):
     table = docs.filter("doc_id is null or doc_id <> 44")
     out = pipeline.near_copies(spark, table, "")
