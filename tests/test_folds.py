@@ -96,3 +96,23 @@ def test_only_asked_anchors_are_posted():
         marked[at >> 3] |= (1 << (at & 7)).astype(np.uint8)
     found = containment._posted(types.SimpleNamespace(value=marked))(texts, seeds)
     assert h[0] in found[3] and sum(map(len, found)) < 5  # all anchors were posted before: some 20 000
+
+
+def test_texts_of_one_segment_are_folded_in_their_own_rows(spark):
+    r = random.Random(8)
+    lines = ["INFO a", "INFO a\r", "[WARN] b", "plain", "```", ""]
+    texts = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 300)))) for i in range(60)]
+    df = spark.createDataFrame(texts, "id long, text string")
+
+    def shuffled():
+        nothing = spark._sc._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, nothing, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = {g.id: g.compacted for g in log_lines.compacted(df, "id", "text").collect()}
+    rows = log_lines.folded(df, "id", "text").collect()
+    assert shuffled() == before  # some 9000 lines were shuffled several times
+    assert got == {i: compacted_by_loop(t) for i, t in texts}
+    by_segments = log_lines.folded(df, "id", "text", segment=4).collect()
+    assert sorted(rows) == sorted(by_segments) and len(rows) > 5000
