@@ -78,25 +78,38 @@ def bands(s: np.ndarray) -> list[int]:
     return keys[least.any(axis=1)].astype(np.int64).tolist()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The counts of a slice below 2 ** 32, byte by byte of the numbers: the upper bytes are mostly none."""
+    bytewise = counts.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(bytewise[: 1 + max(np.flatnonzero(bytewise.any(axis=1)), default=0)].tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    bytewise = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, SLICE)
+    return sum(row.astype(np.int64) << 8 * i for i, row in enumerate(bytewise))
+
+
 def summaries(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents (doc_id, n, a, b, keys) and rows of token counts (part, slice, payload).
 
     a, b: 128 bits that stand for the set; keys: min-hash bands.  A payload holds the bucket
-    counts of one slice, added up over the task.
+    counts of one slice, added up over the task, up to 65535.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("keys", pa.list_(pa.int64())), ("part", pa.int32()), ("slice", pa.int32()), ("payload", pa.binary())])
 
-    def counted(seen: list[np.ndarray]) -> pa.RecordBatch:
+    def add(counts: np.ndarray, seen: list[np.ndarray]) -> None:
         bucket, n = np.unique(np.concatenate(seen), return_counts=True)
-        cut = np.searchsorted(bucket, np.arange(0, (1 << BITS) + 1, SLICE))
-        rows = [(s, zlib.compress((bucket[i:j] % SLICE).astype("<u2").tobytes() + n[i:j].astype("<u4").tobytes(), 1)) for s, (i, j) in enumerate(itertools.pairwise(cut)) if j > i]
+        counts[bucket] = np.minimum(counts[bucket] + n, 65535)
+
+    def counted(counts: np.ndarray) -> pa.RecordBatch:
+        rows = [(s, _packed(n)) for s, n in enumerate(counts.reshape(-1, SLICE)) if n.any()]
         m, part = len(rows), TaskContext.get().partitionId()
         none = [pa.nulls(m, f.type) for f in schema][:5]
         return pa.RecordBatch.from_arrays([*none, pa.array([part] * m, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches.only("shingles")
-        seen, size = [], 0
+        counts, seen, size = np.zeros(1 << BITS, np.uint16), [], 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
@@ -111,11 +124,12 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
                 if size > 2_000_000:
-                    yield counted(seen)
+                    add(counts, seen)
                     seen, size = [], 0
         if size:
-            yield counted(seen)
-        del seen
+            add(counts, seen)
+        yield counted(counts)
+        del counts, seen
         caches.clear()
 
     return docs.mapInArrow(go, "doc_id long, n long, a long, b long, keys array<long>, part int, slice int, payload binary")
@@ -124,39 +138,32 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
 def heavy_tokens(counts: DataFrame) -> tuple[np.ndarray, float]:
     """A bit per token bucket (set: heavy) and the mean length of a light token's list.
 
-    A bucket is heavy if it holds more than four times the mean, and more than 8.  The
-    result has 2 ** BITS bits at any size of the corpus; it sets an order of tokens, so it
-    bears on the work only, never on the result.
+    A bucket is heavy if it holds more than rare tokens fill a bucket with by chance (the mean
+    and four times its root), and more than 8.  The result has 2 ** BITS bits at any size of the
+    corpus; it sets an order of tokens, so it bears on the work only, never on the result.
     """
 
     def add(frames: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLICE, np.int64)
         for raw in frames["payload"]:
-            raw = zlib.decompress(raw)
-            m = len(raw) // 6
-            total[np.frombuffer(raw[: 2 * m], "<u2")] += np.frombuffer(raw[2 * m :], "<u4")
-        at = np.flatnonzero(total)
-        # counts beyond 32 bits are heavy anyway
-        payload = zlib.compress(at.astype("<u2").tobytes() + np.minimum(total[at], 2**32 - 1).astype("<u4").tobytes(), 1)
+            total += _unpacked(raw)
+        payload = _packed(np.minimum(total, 2**32 - 1))  # counts beyond 32 bits are heavy anyway
         return pd.DataFrame({"part": [int(frames["part"].iloc[0]) // 64], "slice": [int(frames["slice"].iloc[0])], "payload": [payload], "n": [int(total.sum())], "squares": [float((total.astype(float) ** 2).sum())]})
 
     kind = "part int, slice int, payload binary, n long, squares double"
     some = counts.groupBy("slice", F.floor(F.col("part") / 64)).applyInPandas(add, kind)  # at most 64 tasks' payloads meet
     sums = scratch.table(some.select("part", "slice", "payload").groupBy("slice").applyInPandas(add, kind), "counts")
     tokens = sums.agg(F.sum("n")).first()[0] or 0
-    limit = max(8.0, 4 * tokens / (1 << BITS))
+    mean = tokens / (1 << BITS)
+    limit = max(8.0, mean + 4 * math.sqrt(mean))
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for s, raw in zip(f["slice"], f["payload"], strict=True):
-                raw = zlib.decompress(raw)
-                m = len(raw) // 6
-                at, n = np.frombuffer(raw[: 2 * m], "<u2"), np.frombuffer(raw[2 * m :], "<u4")
-                bits = np.zeros(SLICE, np.uint8)
-                bits[at[n > limit]] = 1
+                n = _unpacked(raw)
                 light = n[n <= limit].astype(float)
-                out.append((s, np.packbits(bits).tobytes(), float((light**2).sum()), float(light.sum())))
+                out.append((s, np.packbits(n > limit).tobytes(), float((light**2).sum()), float(light.sum())))
             yield pd.DataFrame(out, columns=["slice", "bits", "squares", "n"])
 
     heavy = np.zeros((1 << BITS) // 8, np.uint8)
@@ -198,12 +205,12 @@ def lists(docs: DataFrame, heavy, boundary: int, k: int, num: int, den: int) ->
 
 
 def entries_of(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Light and heavy list entries (key, pos, n, node, comp); pos is the place in the order of tokens, -1 for a subset."""
+    """Light and heavy list entries (key, pos, n, calm, node, comp); pos is the place in the order of tokens, -1 for a subset."""
     subsets = F.transform("subsets", lambda x: F.struct(F.lit(-1).alias("pos"), x.alias("key")))
     tokens = F.transform("keys", lambda x, i: F.struct(i.alias("pos"), x.alias("key")))
     light = F.concat(F.slice(tokens, F.lit(1), F.col("calm")), subsets)
     dark = F.slice(tokens, F.col("calm") + 1, F.size("keys"))
-    return tuple(listed.filter(F.size(e) > 0).select(F.explode(e).alias("e"), "n", "node", "comp").select("e.key", "e.pos", "n", "node", "comp") for e in (light, dark))
+    return tuple(listed.filter(F.size(e) > 0).select(F.explode(e).alias("e"), "n", "calm", "node", "comp").select("e.key", "e.pos", "n", "calm", "node", "comp") for e in (light, dark))
 
 
 def bitmap_of(ids: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -298,20 +305,21 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component) of texts(doc_id long, text binary), whose ids are all different: the least id reachable."""
     spark = texts.sparkSession
     shipping.ship(spark)
-    rows = scratch.table(summaries(texts, k), "summaries")
-    marked, list_length = heavy_tokens(rows.filter("payload is not null").select("part", "slice", "payload"))
+    told = scratch.table(summaries(texts, k), "summaries")
+    marked, list_length = heavy_tokens(told.filter("payload is not null").select("part", "slice", "payload"))
     heavy = spark.sparkContext.broadcast(marked)
     boundary = choose_boundary(list_length, num, den)
-    rows = rows.filter("payload is null").drop("part", "slice", "payload")
+    rows = scratch.table(told.filter("payload is null").drop("part", "slice", "payload"), "summaries")
+    scratch.drop(told)  # the counts
     sets = scratch.table(rows.filter("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
 
     # one leader for each min-hash bucket: the set that meets the most others in its buckets, as copies lie around their original
-    keyed = sets.select("node", F.explode("keys").alias("key"))
+    keyed = sets.select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
     keyed = scratch.table(keyed.join(shared, "key"), "keyed")
     fame = keyed.groupBy("node").agg(F.sum("met").alias("fame"))
-    leaders = keyed.join(fame, "node").groupBy("key").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("leader"))
-    near = keyed.join(leaders, "key").filter("node <> leader").select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
+    leaders = keyed.join(fame, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("fame", -F.col("node"))).alias("leader")).select("key", F.col("leader.node").alias("leader"), F.col("leader.n").alias("m"))
+    near = keyed.join(leaders, "key").filter(f"node <> leader and {den} * least(n, m) >= {num} * greatest(n, m)").select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
     first = linked(texts, near, k, num, den)
     known = components(first.select("x", "y"))
 
@@ -321,11 +329,10 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     light, dark = entries_of(listed)
     mixed = scratch.table(dark.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("long")).filter("low < high").select("key", "long"), "mixed")
     some, many = (dark.join(mixed.filter(f"long {which} {BLOCK}").select("key"), "key", "left_semi") for which in ("<=", ">"))
-    pairs = _pairs(light.union(some), num, den)
+    met = _pairs(light.union(some), num, den)
     if not mixed.filter(f"long > {BLOCK}").isEmpty():
-        pairs = pairs.union(_heavy_pairs(many, num, den))
-    pairs = pairs.distinct()
-    second = linked(texts, pairs, k, num, den)
+        met = met.union(_heavy_pairs(many, num, den))
+    second = linked(texts, _often(met), k, num, den)
     final = components(first.select("x", "y").union(second.select("x", "y")))
     scratch.drop(listed)
 
@@ -334,27 +341,64 @@ def _components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component"))
 
 
+def _need(num: int, den: int):
+    """The shingles that the sets of list entries x and y must share."""
+    return F.ceil(F.lit(num) * (F.col("x.n") + F.col("y.n")) / F.lit(float(num + den)) - 1e-9)
+
+
+def _rest(num: int, den: int):
+    """At most so many more than they need can be shared if the token of entries x and y is the first shared one."""
+    return F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - _need(num, den)
+
+
 def _may_link(num: int, den: int):
-    """Of list entries x and y: different components, and enough overlap possible by their sizes and their places in the order."""
+    """Of list entries x and y: different components, sizes that can link, and a token worth a row.
+
+    A light token is one, as shared ones are counted, and a subset; a heavy one only where it can be
+    the first shared token, as those are not counted.
+    """
     c = F.col
-    need = F.ceil(F.lit(num) * (c("x.n") + c("y.n")) / F.lit(float(num + den)) - 1e-9)
-    rest = F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos"))  # at most so many can be shared if this is the first shared token
     sizes = den * F.least(c("x.n"), c("y.n")) >= num * F.greatest(c("x.n"), c("y.n"))
-    return (c("x.comp") != c("y.comp")) & sizes & ((c("x.pos") < 0) == (c("y.pos") < 0)) & ((c("x.pos") < 0) | (rest >= need))
+    return (c("x.comp") != c("y.comp")) & sizes & ((c("x.pos") < 0) == (c("y.pos") < 0)) & ((c("x.pos") < c("x.calm")) | (_rest(num, den) >= 0))
+
+
+def _met(x, y, num: int, den: int) -> list:
+    """The columns (x, y, light, rest, ask) of entries x and y that share a token or a subset.
+
+    Shared tokens up to where the shorter of both prefixes ends stand in both prefixes, and at most
+    the rest of that set can be shared beyond it.  So of the light tokens of their prefixes sets
+    that link share `ask` at least, even if all heavy ones there are shared; a subset asks for none.
+    """
+    c, subset = F.col, F.col("x.pos") < 0
+    beyond = [F.ceil(num * c(f"{i}.n") / F.lit(float(den)) - 1e-9) - 1 for i in "xy"]  # n less the prefix
+    heavy = [c(f"{i}.n") - b - c(f"{i}.calm") for i, b in zip("xy", beyond, strict=True)]
+    ask = _need(num, den) - F.greatest(*beyond) - F.least(*heavy)
+    kinds = (c("x.pos") < c("x.calm"), F.when(subset, 0).otherwise(_rest(num, den)), F.when(subset, 0).otherwise(ask))
+    return [x.alias("x"), y.alias("y"), *[k.cast("int").alias(i) for i, k in zip(("light", "rest", "ask"), kinds, strict=True)]]
+
+
+def _often(met: DataFrame) -> DataFrame:
+    """The pairs (x, y) that share enough of their prefixes to link, and can share enough after the first and the last light token there."""
+    rest = F.when(F.col("light") == 1, F.col("rest"))
+    told = met.groupBy("x", "y").agg(F.sum("light").alias("n"), F.max("rest").alias("first"), F.min(rest).alias("last"), F.min("ask").alias("ask"))
+    return told.filter("first >= 0 and n >= ask and (last is null or n + last >= 1)").select("x", "y")
 
 
 def _pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes of different components that share a light list and may link."""
+    """What nodes of different components that share a list have in common there."""
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & _may_link(num, den)
-    return entries.alias("x").join(entries.alias("y"), on).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    return entries.alias("x").join(entries.alias("y"), on).select(*_met(F.col("x.node"), F.col("y.node"), num, den))
 
 
 def _heavy_pairs(entries: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """The same of long heavy lists.
 
     A list is cut into classes of sizes so wide that partners are of one class or of neighbours,
-    and only these meet; a class of many entries is cut into blocks, each one task's work.
+    and only these meet; a class of many entries is cut into blocks, each one task's work.  Without
+    `calm` no token of a prefix is light.
     """
+    if "calm" not in entries.columns:
+        entries = entries.withColumn("calm", F.lit(0))
     size = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9))).cast("int") if den > num else F.col("n")
     entries = entries.withColumn("size", size)
     parts = entries.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
@@ -363,7 +407,7 @@ def _heavy_pairs(entries: DataFrame, num: int, den: int, block: int = BLOCK) ->
     y = y.join(parts, ["key", "size"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.part") == F.col("y.part"))
     once = (F.col("x.size") < F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
-    return x.alias("x").join(y.alias("y"), same & once & _may_link(num, den)).select(F.least("x.node", "y.node").alias("x"), F.greatest("x.node", "y.node").alias("y"))
+    return x.alias("x").join(y.alias("y"), same & once & _may_link(num, den)).select(*_met(F.least("x.node", "y.node"), F.greatest("x.node", "y.node"), num, den))
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

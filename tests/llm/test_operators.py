@@ -206,6 +206,44 @@ def test_heavy_pairs_by_brute_force(spark):
         assert Counter((r.x, r.y) for r in jaccard._heavy_pairs(entries, num, den, block=16).collect()) == Counter(want)
 
 
+@pytest.mark.parametrize("num,den", [(85, 100), (4, 5)])
+def test_few_shared_shingles_make_no_pair(spark, num, den):
+    """Of sets that share some shingles only those are compared whole that share enough of their prefixes; none that links is lost."""
+    rng = np.random.default_rng(8)
+    words = lambda n: rng.integers(0, 10**6, n).astype(str).tolist()
+    common, texts = words(5), []
+    for n in (60, 150, 300):
+        for _ in range(12):
+            w = words(n)
+            w[10:15] = common
+            texts.append(w)
+            for edits in (1, 3, 5):
+                v = list(w)
+                for at in rng.integers(0, n, edits * n // 60):
+                    v[at] = words(1)[0]
+                texts.append(v[: n - 3 * edits])
+    docs = spark.createDataFrame([(i, " ".join(w).encode()) for i, w in enumerate(texts)], "doc_id long, text binary")
+    sets = [set(itertools.pairwise(w)) for w in texts]
+    all_pairs = list(itertools.combinations(range(len(sets)), 2))
+    linked = {(a, b) for a, b in all_pairs if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    assert len(linked) > 30
+    for share in (0.0, 0.1, 0.5):
+        heavy = spark.sparkContext.broadcast(rng.random(1 << jaccard.BITS) < share)
+        listed = jaccard.lists(docs, heavy, 0, 2, num, den).withColumn("comp", F.col("node"))
+        light, dark = jaccard.entries_of(listed)
+        found = [(r.x, r.y) for r in jaccard._often(jaccard._pairs(light.union(dark), num, den)).collect()]
+        assert linked <= set(found) and len(found) == len(set(found))
+        if not share:  # the common passage alone stands in every text
+            assert all(len(sets[a] & sets[b]) > 4 for a, b in found)
+
+
+def test_counts_of_slices():
+    for top in (1, 255, 256, 70_000, 2**32 - 1):
+        counts = np.zeros(jaccard.SLICE, np.int64)
+        counts[[0, 5, -1]] = 1, 3, top
+        assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+
+
 def test_shingles_ignore_blocks():
     texts = [(t or "").encode() for t in TEXTS]
     assert [x.tolist() for x in shingles.hashed_sets(texts, 4)] == [x.tolist() for x in shingles.hashed_sets(texts, 4, block=50)]
