@@ -116,3 +116,41 @@ def test_texts_of_one_segment_are_folded_in_their_own_rows(spark):
     assert got == {i: compacted_by_loop(t) for i, t in texts}
     by_segments = log_lines.folded(df, "id", "text", segment=4).collect()
     assert sorted(rows) == sorted(by_segments) and len(rows) > 5000
+
+
+def test_texts_hashed_together_give_what_each_gives_alone():
+    import types
+
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(7)
+    words = ["alpha", "be", "c", "δέλτα", "𝄞𝄞", "長い", "\n", "e f"]
+    texts = ["", "c", *["".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 6, 20, 300]))) for _ in range(400)], "", "x" * (containment.BLOCK + 5), "be", ""]
+    short = sorted({t for t in texts if 0 < len(t) < containment.LONG})
+    known = np.zeros(containment.BITS, bool)
+    known[[int(at[0]) for t in short for n, at in containment.bits(t, len(t)) if n == len(t)]] = True
+    heads = containment._beginnings(np.zeros(containment.HEADS, bool), short)
+    cut = containment._cut(types.SimpleNamespace(value=(known, heads)))(pd.Series(texts))
+    for t, got in zip(texts, cut, strict=True):
+        assert [p for p in got if p in short] == [p for p in short if p in t and p != t] and len(set(got) - set(short)) < 3
+
+    seeds = pd.Series([i % 3 for i in range(len(texts))])
+    every = types.SimpleNamespace(value=np.full(1 << 13, 255, np.uint8))
+    asked, posted = containment._asked(pd.Series(texts), seeds), containment._posted(every)(pd.Series(texts), seeds)
+    for i, t in enumerate(texts):
+        one, own = pd.Series([t]), seeds[i : i + 1].reset_index(drop=True)
+        alone = containment._asked(one, own)[0]
+        assert (asked[i] is pd.NA) == (alone is pd.NA) == (len(t) < containment.LONG) and (alone is pd.NA or asked[i] == alone)
+        assert np.array_equal(posted[i], containment._posted(every)(one, own)[0])
+        if len(t) > 80:  # a part's anchor is among those of the whole
+            a = r.randrange(len(t) - 70)
+            part = pd.Series([t[a : a + r.randint(15, 70)]])
+            assert int(containment._asked(part, own)[0]) in posted[i]
+
+
+def test_no_text_goes_to_python_for_the_result(spark):
+    rows = [("k", i, f"line {i} of some length " * (1 + i % 3)) for i in range(50)] + [("k", 60 + i, f"line {i}") for i in range(9)]
+    out = containment.uncontained(spark.createDataFrame(rows, "key string, n int, content string"), ["key"], ["n"], "content")
+    assert sorted(r.n for r in out.collect()) == sorted(n for _, n, _ in kept_by_loop(rows))
+    assert "EvalPython" not in out._jdf.queryExecution().toString()  # it did for each of several joins before
