@@ -93,20 +93,23 @@ def _doubled(block: _Block) -> Iterator[tuple[int, int, np.ndarray]]:
         yield k, w, _mixed(grams)
 
 
-def _grams(block: _Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each level the texts' anchors, each the least hash of w neighbouring grams of k characters, and the numbers of their texts; some more than once."""
-    for k, w, least in _doubled(block):
+def _grams(block: _Block, maps: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level that has a map the texts' anchors, each the least hash of w neighbouring grams of k characters, the numbers of their texts, and the map; some more than once."""
+    for (k, w, least), known in zip(_doubled(block), maps, strict=False):
+        if not len(known):
+            continue
         n = 1
         while n < w:
             least, n = np.minimum(least[:-n], least[n:]), 2 * n
         new = np.concatenate([[True], least[1:] != least[:-1]])
         new[block.starts[block.starts < len(new)]] = True
         at = np.flatnonzero(new & (block.room[: len(new)] >= k + w - 1))
-        yield k, least[at], block.text[at]
+        yield k, least[at], block.text[at], known
 
 
 def _of_key(anchors: np.ndarray, k: int, seeds: np.ndarray) -> np.ndarray:
-    return _mixed(anchors ^ seeds) + np.uint64(k)
+    """The lowest three bits tell the level."""
+    return _mixed(anchors ^ seeds) & ~np.uint64(7) | np.uint64([level[0] for level in LEVELS].index(k))
 
 
 def _asked(texts: pd.Series, seeds: pd.Series) -> pd.Series:
@@ -128,34 +131,43 @@ PROBES = 4
 
 def _probes(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """PROBES bits of each hash in a map of `size`, each worked out when it is asked for."""
-    yield (h & np.uint64(size - 1)).astype(np.int64)
+    yield ((h >> np.uint64(3)) & np.uint64(size - 1)).astype(np.int64)
     for i in range(1, PROBES):
         yield (_mixed(h + np.array([i], np.uint64) * ODD) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
 
-def _marked(asked: DataFrame, n: int) -> np.ndarray:
-    """The map of `n` asked anchors, 16 bits each, 2^30 at most: packed, as it reaches the driver and the tasks.  A fuller map only lets more anchors through to the join."""
-    size = 1 << min(30, max(16, (16 * n).bit_length()))
+def _marked(asked: DataFrame) -> list[np.ndarray]:
+    """For each of LEVELS the map of its asked anchors, 16 bits each, 2^30 in all at most, none if there are none: packed, as they reach the driver and the tasks.
+
+    A fuller map only lets more anchors through to the join.
+    """
+    counts = dict(asked.groupBy((F.col("_h").bitwiseAND(F.lit(7))).cast("int")).count().collect())
+    sizes = [1 << min(27, max(16, (16 * counts[i]).bit_length())) if counts.get(i) else 0 for i in range(len(LEVELS))]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"bit": np.concatenate(list(_probes(batch["_h"].to_numpy().view(np.uint64), size))) + 1})
+            h = batch["_h"].to_numpy().view(np.uint64)
+            level = (h & np.uint64(7)).astype(np.int64)
+            for i in np.unique(level).tolist():
+                yield pd.DataFrame({"bit": np.concatenate(list(_probes(h[level == i], sizes[i]))) + int(starts[i]) + 1})
 
     rows = asked.select("_h").mapInPandas(probed, "bit long")
     packed = rows.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
-    marked = np.zeros(size // 8, np.uint8)
+    marked = np.zeros(int(starts[-1]) // 8, np.uint8)
     for b, m in packed.collect():
-        marked[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)[: size // 8]
-    return marked
+        marked[(b - 1) * 4096 : b * 4096] = np.frombuffer(m, np.uint8)[: len(marked) - (b - 1) * 4096]
+    return np.split(marked, starts[1:-1] // 8)
 
 
 def _posted(marked: Broadcast):
     def posted(texts: pd.Series, seeds: pd.Series) -> pd.Series:
         """The anchors of a text that any text of its key asks for."""
-        known, own, out = marked.value, _mixed(seeds.to_numpy(np.int64).view(np.uint64)), [np.zeros(0, np.int64)] * len(texts)
+        maps, own, out = marked.value, _mixed(seeds.to_numpy(np.int64).view(np.uint64)), [np.zeros(0, np.int64)] * len(texts)
+        maps = maps if isinstance(maps, list) else [maps] * len(LEVELS)
         for block in _blocks(texts):
             found = []
-            for k, anchors, at in _grams(block):
+            for k, anchors, at, known in _grams(block, maps):
                 h = _of_key(anchors, k, own[block.first + at])
                 for i in range(PROBES):
                     places = next(itertools.islice(_probes(h, len(known) * 8), i, None))
@@ -291,7 +303,7 @@ def uncontained(items: DataFrame, keys: list[str], order: list[str], content: st
     once = _table(once, "once")
     ask = once.filter("_h is not null").select("_h", "_id", "_k", "_o")
     few = once.filter("_few is not null").select("_id", "_k", "_o", F.col("_few").alias("_t"))
-    marked = spark.sparkContext.broadcast(_marked(ask, ask.count()))
+    marked = spark.sparkContext.broadcast(_marked(ask))
     known = spark.sparkContext.broadcast(_known(few))
     posted, cut = F.pandas_udf(_posted(marked), "array<long>")("_t", F.xxhash64("_k")), F.pandas_udf(_cut(known), "array<string>")("_t")
     hits = _table(rows.select("_id", "_k", "_o", posted.alias("_h"), cut.alias("_t")).filter("size(_h) > 0 or size(_t) > 0"), "hits")
